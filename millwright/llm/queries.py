@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millwright.llm import bpe, pii, urls
+from millwright.llm import bpe, pii, quality, secrets, urls
 from millwright.llm.common import table
 
 
@@ -15,6 +15,14 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -40,10 +48,38 @@ fit AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM fit
 """
 
+_WORDS = "'" + "', '".join(dict.fromkeys(quality.STOP_WORDS)) + "'"
+OP3_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+windows AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) AS u(i)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n >= 2),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, len(w) AS n_words, length(list_aggregate(list_concat([''], w), 'string_agg', '')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+         coalesce(c.n, 0) AS n_repeat_words, len(list_filter(w, lambda x: lower(x) IN ({_WORDS}))) AS stop_words, len(l) AS n_lines,
+         length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS upper_chars,
+         len(list_filter(l, lambda x: regexp_matches(x, '^\s*[-*•]'))) AS bullets,
+         len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS ellipses
+  FROM d LEFT JOIN covered AS c USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 15 * n_words AND n_symbols <= n_words / 10.0 AND stop_words >= 2
+         AND n_dup_lines <= 0.3::DOUBLE * n_lines AND upper_chars <= 0.5::DOUBLE * word_chars AND bullets <= 0.9::DOUBLE * n_lines AND ellipses <= 0.3::DOUBLE * n_lines AS kept
+FROM f
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_secrets": op2_secrets,
+    "op3_quality_rules": op3_quality_rules,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_url_filter": op7_url_filter,
 }
 
-SQL: dict[str, str] = {"op7_url_filter": OP7_SQL}
+SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op7_url_filter": OP7_SQL}
