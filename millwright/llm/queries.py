@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millwright.llm import bpe, jaccard, pii, quality, secrets, urls
+from millwright.llm import bpe, decontaminate, jaccard, pii, quality, secrets, site_quality, substrings, toxicity, urls
 from millwright.llm.common import table
 
 
@@ -35,6 +35,23 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.rules_frame(spark, urls.RULES), [len(r.path) for r in urls.RULES])
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no URL: their source stands for the host, their language for the path below it."""
+    return site_quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), host_col="source", path_col="lang")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated(table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP7_SQL = """
 WITH u AS (
   SELECT page_id,
@@ -82,9 +99,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_secrets": op2_secrets,
     "op3_quality_rules": op3_quality_rules,
+    "op4_toxicity": op4_toxicity,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_url_filter": op7_url_filter,
+    "op8_site_quality": op8_site_quality,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
 SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op7_url_filter": OP7_SQL}
