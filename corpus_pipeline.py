@@ -1,12 +1,65 @@
-"""The document pipeline."""
+"""The document pipeline: five stages from raw documents to token ids.
+
+Each stage gets all rows that the one before it kept, written as Parquet in the shared folder and read again, and its decisions take
+effect: rejected documents, copies and contaminated documents go, personal data is replaced. All stages but the last return the columns of
+``documents``; the last returns ids. Rows with a null doc_id pass through the stages that judge rows by themselves; the two that join
+by doc_id treat equal ids as one document.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millwright.llm import bpe, decontaminate, jaccard, pii, quality
+from millwright.llm.common import table
+from millwright.llm.scratch import saved
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the base rule or the threshold table rejects."""
+    return quality.keep(docs)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of documents with a similarity of 0.8 or more over five-word shingles, the smallest id stays."""
+    found = jaccard.join(docs, size=5, num=4, den=5)
+    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    hit = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind in brackets, and counts the characters anew."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("PII", personal_data),
+    ("byte-level BPE", byte_bpe),
+]
 
-STAGES = []
+#: SQL can't express decontamination by SimHash or byte-pair merges; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
