@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column
@@ -65,16 +66,24 @@ def format_relation(c: Column) -> Column:
     return F.upper(F.replace(c, F.lit(" "), F.lit("_")))
 
 
-def _last_mapped(c: Column, known: Column) -> Column:
-    """The words of ``c`` with the last one mapped, joined by single spaces."""
-    tokens = F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    last = F.element_at(tokens, -1)
-    return F.when(F.size(tokens) == 0, F.lit("")).otherwise(F.array_join(F.concat(F.slice(tokens, 1, F.size(tokens) - 1), F.array(F.coalesce(known[last], last))), " "))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once: without it, nested steps would copy each other's expressions many times over."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _last_mapped(c: Column, mapped: Callable[[Column], Column]) -> Column:
+    """The words of ``c`` with the last one mapped, if the map has it, joined by single spaces."""
+
+    def made(words: Column) -> Column:
+        last = F.element_at(words, -1)
+        return F.when(F.size(words) == 0, F.lit("")).otherwise(F.array_join(F.concat(F.slice(words, 1, F.size(words) - 1), F.array(F.coalesce(mapped(last), last))), " "))
+
+    return let(F.filter(F.split(c, r"\s+"), lambda w: w != ""), made)
 
 
 def colloquial(c: Column) -> Column:
     """The last word in standard form."""
-    return _last_mapped(c, literal_map(COLLOQUIALISMS))
+    return _last_mapped(c, lambda last: literal_map(COLLOQUIALISMS)[last])
 
 
 def negated(c: Column) -> Column:
@@ -89,19 +98,20 @@ def lemmatized(c: Column, root: Column) -> Column:
     forms = {f"{p} {f}": w for (p, f), w in lexicon().items()}
     known = literal_map(forms)
     pos = F.when(root.isin("object", "property"), "n").otherwise("v")
-    tokens = F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    last = F.element_at(tokens, -1)
-    return F.when(F.size(tokens) == 0, F.lit("")).otherwise(F.array_join(F.concat(F.slice(tokens, 1, F.size(tokens) - 1), F.array(F.coalesce(known[F.concat_ws(" ", pos, last)], last))), " "))
+    return _last_mapped(c, lambda last: known[F.concat_ws(" ", pos, last)])
 
 
 def normalised(name: Column, type_: Column) -> Column:
     """struct(name, ops): colloquialism, then negation for states, then lemma; ops that changed the name."""
     root = F.lower(F.substring_index(type_, "/", 1))
-    one = F.when(F.trim(name) == "", name).otherwise(colloquial(name))
-    two = F.when(root == "state", negated(one)).otherwise(one)
-    three = lemmatized(two, root)
-    ops = F.array_compact(F.array(F.when(one != name, "colloquialism"), F.when(two != one, "negation"), F.when(three != two, "lemmatize")))
-    return F.struct(three.alias("name"), ops.alias("ops"))
+
+    def told(one: Column, two: Column, three: Column) -> Column:
+        ops = F.array_compact(F.array(F.when(one != name, "colloquialism"), F.when(two != one, "negation"), F.when(three != two, "lemmatize")))
+        return F.struct(three.alias("name"), ops.alias("ops"))
+
+    first = F.when(F.trim(name) == "", name).otherwise(colloquial(name))
+    second = lambda one: F.when(root == "state", negated(one)).otherwise(one)
+    return let(first, lambda one: let(second(one), lambda two: let(lemmatized(two, root), lambda three: told(one, two, three))))
 
 
 #: In the order in which they are tested.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millwright.functions.naming import let
+
 # The scheme of the model's outputs.
 ENTITY_TAGS = ("<object>", "<process>", "<state>", "<activity>", "<property>")
 RELATION_NAMES = ("has agent", "has patient", "is a", "has part", "has property", "contains", "has participant")
@@ -20,11 +22,6 @@ PAIR_RULES = (
 )
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def tokens(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millwright.sources.sinks import stage
+
 #: Shapiro-Wilk is published for up to this many values; larger samples are judged by as many evenly spaced quantiles.
 MOST_VALUES = 5000
 
@@ -27,7 +29,7 @@ def node_stats(triples: DataFrame) -> DataFrame:
 
 def scored(triples: DataFrame) -> DataFrame:
     """``head, relation, tail, frequency, probability, pmi``. Marginals are sums over the distinct triples, not over occurrences."""
-    counts = triple_counts(triples)
+    counts = stage(triple_counts(triples))
     total = counts.agg(F.sum("frequency").alias("_n"))
     marginal = lambda c: counts.groupBy(c).agg(F.sum("frequency").alias(f"_{c}"))
     df = counts.join(marginal("head"), "head").join(marginal("relation"), "relation").join(marginal("tail"), "tail").crossJoin(total)

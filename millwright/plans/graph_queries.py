@@ -10,13 +10,15 @@ from millwright.operators import graph, score
 from millwright.plans.oracle import sql
 from millwright.plans.registry import query
 from millwright.plans.triple_queries import surviving, triples
+from millwright.sources.sinks import stage
 from millwright.sources.tables import work_orders
 
 FAILED = "State/UndesirableState/FailedState"
 
 
 def the_graph(spark: SparkSession, d: str) -> graph.Graph:
-    return graph.build(work_orders(spark, d), surviving(spark, d))
+    g = graph.build(work_orders(spark, d), surviving(spark, d))
+    return g._replace(record_edges=stage(g.record_edges))
 
 
 @query("g01_k05_nodes", sql("SELECT DISTINCT label, name FROM mentions", "stats"))

@@ -10,6 +10,7 @@ from millwright.operators import evaluate, refine, score, summary
 from millwright.plans.oracle import sql
 from millwright.plans.registry import query
 from millwright.sources import tables
+from millwright.sources.sinks import stage
 from millwright.sources.tables import raw_triples, table
 
 
@@ -80,19 +81,20 @@ def a16(spark, d):
 
 @query("j06_triples_with_scores", sql("SELECT record_id, head, relation, tail, round(pmi, 9) AS pmi, count(*) AS n FROM occurrences GROUP BY ALL", "stats"))
 def j06(spark, d):
-    t = triples(spark, d)
+    t = stage(triples(spark, d))
     df = t.join(score.scored(t), ["head", "relation", "tail"])
     return df.groupBy("record_id", "head", "relation", "tail", F.round("pmi", 9).alias("pmi")).agg(F.count("*").alias("n"))
 
 
 @query("a18_thresholds", sql("SELECT round(median, 9) AS median, round(lower, 9) AS lower, round(upper, 9) AS upper FROM bounds", "stats"))
 def a18(spark, d):
-    return score.thresholds(score.scored(triples(spark, d))).select(*(F.round(c, 9).alias(c) for c in ("median", "lower", "upper")))
+    return score.thresholds(stage(score.scored(triples(spark, d)))).select(*(F.round(c, 9).alias(c) for c in ("median", "lower", "upper")))
 
 
 def surviving(spark: SparkSession, d: str) -> DataFrame:
-    t = triples(spark, d)
-    stats = score.scored(t)
+    """Refined triples are read by counts, thresholds and the final join, so they are a written stage, as is the far smaller table of scores."""
+    t = stage(triples(spark, d))
+    stats = stage(score.scored(t))
     return score.without_rare_outliers(t, stats, score.thresholds(stats))
 
 
@@ -103,8 +105,8 @@ def p22(spark, d):
 
 @query("a19_removal_ratio", sql("SELECT round(1 - (SELECT count(*) FROM surviving) / n.n, 9) AS ratio FROM n", "stats"))
 def a19(spark, d):
-    t = triples(spark, d)
-    stats = score.scored(t)
+    t = stage(triples(spark, d))
+    stats = stage(score.scored(t))
     kept = score.without_rare_outliers(t, stats, score.thresholds(stats))
     return t.agg(F.count("*").alias("n")).crossJoin(kept.agg(F.count("*").alias("k"))).select(F.round(1 - F.col("k") / F.nullif("n", F.lit(0)), 9).alias("ratio"))
 

@@ -49,3 +49,10 @@ def append_passed(df: DataFrame, path: str | None) -> str:
     path = path or new_path(spark)
     new.write.mode("append").parquet(path)
     return path
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """The rows of a stage that several later ones read, written once as Parquet: not computed again, and not lost with an executor."""
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
