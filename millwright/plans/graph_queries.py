@@ -65,7 +65,7 @@ def _cq1(spark, d):
 query("cq1_j08_p16_undesirable_states", sql(CQ1, "wo", "stats"))(_cq1)
 
 
-@query("cq1_j12_j13_grid", sql(f"WITH c AS ({CQ1}) SELECT asset, component, state, coalesce(\"count\", 0) AS \"count\" FROM (SELECT DISTINCT asset FROM c), (SELECT DISTINCT component FROM c), (SELECT DISTINCT state FROM c) NATURAL LEFT JOIN c".replace("WITH c AS", "SELECT * FROM (WITH c AS", 1) + ")", "wo", "stats"))
+@query("cq1_j12_j13_grid", sql(f"SELECT * FROM (WITH c AS ({CQ1}) SELECT asset, component, state, coalesce(\"count\", 0) AS \"count\" FROM (SELECT * FROM (SELECT DISTINCT asset FROM c) CROSS JOIN (SELECT DISTINCT component FROM c) CROSS JOIN (SELECT DISTINCT state FROM c)) LEFT JOIN c USING (asset, component, state))", "wo", "stats"))
 def cq1_grid(spark, d):
     return cq.grid(_cq1(spark, d), ["asset", "component", "state"], "count")
 
@@ -148,7 +148,7 @@ def cq6(spark, d):
     return cq.activity_costs(the_graph(spark, d)).withColumn("totalCost", F.round("totalCost", 4))
 
 
-@query("cq6_grid", sql(f"SELECT * FROM (WITH c AS (SELECT year, asset, string_split(activity, '/')[-1] AS activity, totalCost / 1e6 AS totalCost FROM ({CQ6})) SELECT asset, activity, year, round(coalesce(totalCost, 0), 6) AS totalCost FROM (SELECT DISTINCT asset FROM c), (SELECT DISTINCT activity FROM c), (SELECT DISTINCT year FROM c) NATURAL LEFT JOIN c)", "wo", "stats"))
+@query("cq6_grid", sql(f"SELECT * FROM (WITH c AS (SELECT year, asset, string_split(activity, '/')[-1] AS activity, totalCost / 1e6 AS totalCost FROM ({CQ6})) SELECT asset, activity, year, round(coalesce(totalCost, 0), 6) AS totalCost FROM (SELECT * FROM (SELECT DISTINCT asset FROM c) CROSS JOIN (SELECT DISTINCT activity FROM c) CROSS JOIN (SELECT DISTINCT year FROM c)) LEFT JOIN c USING (asset, activity, year))", "wo", "stats"))
 def cq6_grid(spark, d):
     df = cq6(spark, d).select("year", "asset", F.element_at(F.split("activity", "/"), -1).alias("activity"), (F.col("totalCost") / 1e6).alias("totalCost"))
     return cq.grid(df, ["asset", "activity", "year"], "totalCost").withColumn("totalCost", F.round("totalCost", 6))
