@@ -8,7 +8,7 @@ joins:
   their orders. A shingle of level 0 occurs in one document only and is left out of the index.
 * Index lists are read in order of set size and cut into blocks by position: a block whose positions leave too little room for the overlap
   that is needed is skipped as a whole.
-* Of each list, only the sets that could link are compared with a leading set first. What is known about the leading set
+* At first a set is compared only with a few leading sets of one list, if their sizes let them link. What is known about a leading set
   then answers for the sets like it: sets that link with it are in its component without being compared with each other, and sets
   of other components are compared only with those that no chain of links joins yet. This goes on round by round until no
   list holds an uncompared pair of different components, so the components are exact although most pairs of a group of
@@ -28,6 +28,7 @@ from itertools import count, groupby
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millwright.llm import fingerprints as fp
@@ -40,8 +41,11 @@ INFO, ENTRY, SET = 0, 1, 2
 BLOCK = 8
 #: Nodes of a task whose entries are not sent twice.
 NODES_KEPT = 500_000
-#: Rounds in which every list has one leading set for each run of similar sizes; after them, all pairs that are left are compared.
-LEADER_ROUNDS = 4
+#: Rounds in which each set is compared with LEADERS random sets of one of its lists: twice of its largest one, then of the next one, and
+#: so on. After them, all pairs that are left are compared.
+LEADER_ROUNDS, LEADERS = 8, 8
+#: They end sooner once a round finds less than this share of all links so far.
+WORTH = 0.02
 
 
 def _ceil(a: int, b: int) -> int:
@@ -95,14 +99,15 @@ def _room(n: int, m: int, i: int, j: int, num: int, den: int) -> bool:
 
 
 def _pairs_of_list(entries: Iterator[tuple], num: int, den: int, leaders_only: bool) -> Iterator[tuple[bytes, bytes]]:
-    """Pairs of different components from one list of (n, node, pos, component), ascending by n."""
+    """Pairs of different components from one list of (n, node, pos, component), ascending by n or, for leaders, in random order."""
     if leaders_only:
-        n0, lead, i0, c0 = next(entries)
-        for n, node, j, c in entries:
-            if den * n0 < num * n:
-                n0, lead, i0, c0 = n, node, j, c
-            elif c != c0 and node != lead and _room(n0, n, i0, j, num, den):
-                yield lead, node
+        leads = []
+        for n, node, _, c in entries:  # positions tell nothing here: this need not be the first shingle that two sets share
+            for n0, lead, c0 in leads:
+                if c != c0 and node != lead and den * min(n, n0) >= num * max(n, n0):
+                    yield lead, node
+            if len(leads) < LEADERS:
+                leads.append((n, node, c))
         return
     blocks: dict[int, deque[tuple]] = {}
     for n, node, j, c in entries:
@@ -117,7 +122,7 @@ def _pairs_of_list(entries: Iterator[tuple], num: int, den: int, leaders_only: b
         blocks.setdefault(j // BLOCK, deque()).append((n, node, j, c))
 
 
-def _candidates(entries: DataFrame, num: int, den: int, leaders_only: bool) -> DataFrame:
+def _candidates(entries: DataFrame, num: int, den: int, leaders_only: bool, turn: int) -> DataFrame:
     """Distinct pairs (a, b) of nodes; ``entries``: token, n, node, pos, comp, of lists with several components."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
@@ -135,7 +140,8 @@ def _candidates(entries: DataFrame, num: int, den: int, leaders_only: bool) -> D
                     yield out.take()
         yield out.take()
 
-    return entries.select("token", "n", "node", "pos", "comp").repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(each, "a binary, b binary").distinct()
+    order = [F.xxhash64("node", F.lit(turn)), "node"] if leaders_only else ["n", "node"]
+    return entries.select("token", "n", "node", "pos", "comp").repartition("token").sortWithinPartitions("token", *order).mapInArrow(each, "a binary, b binary").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -162,32 +168,37 @@ def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, id_col: str
     info = made.filter(F.col("kind") == INFO).select("doc_id", "node", "n")
     reps = saved(info.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")))
     entries = made.filter(F.col("kind") == ENTRY).select("token", "n", "node", "pos").dropDuplicates(["token", "node"])
-    lists = entries.groupBy("token").count().filter("count > 1").select("token")
-    entries = saved(entries.join(lists, "token").join(reps, "node"))
+    lists = entries.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
+    own = W.partitionBy("node")  # as many rows as a set's prefix has
+    entries = saved(entries.join(lists, "token").join(reps, "node").withColumn("rank", F.row_number().over(own.orderBy(F.desc("size"), "token"))))
     sets = made.filter(F.col("kind") == SET).dropDuplicates(["node"]).select("node", "set")
 
     links = labels = compared = None
+    n_links = 0
     leaders_only = True
     for k in count(1):
         if labels is None:
             current = entries.withColumn("comp", F.col("rep"))
         else:
             current = entries.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+        if leaders_only:
+            current = current.filter(F.col("rank") == (k + 1) // 2)
         mixed = current.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
-        pairs = _candidates(current.join(mixed, "token"), num, den, leaders_only)
+        pairs = _candidates(current.join(mixed, "token"), num, den, leaders_only, k)
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         result = saved(_verified(pairs, sets, num, den))
         compared = result.select("a", "b") if compared is None else compared.union(result.select("a", "b"))
         linked = result.filter("linked")
-        more = linked.limit(1).count() > 0
-        if more:
+        new = linked.count()
+        n_links += new
+        if new:
             ids = linked.join(reps.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b")
             ids = ids.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
             links = ids if links is None else links.union(ids)
             labels = components(links)
         if not leaders_only:
             break
-        leaders_only = more and k < LEADER_ROUNDS
+        leaders_only = new > WORTH * n_links and k < LEADER_ROUNDS
     known = reps if labels is None else reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("rep"))
     return info.join(known, "node", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id"))
