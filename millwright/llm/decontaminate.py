@@ -1,8 +1,8 @@
 """Benchmark items inside documents: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
 Words are lower-cased (A-Z) and stripped of ASCII punctuation at their ends, and shingles of ``SHINGLE`` words are formed. A window is as long as an item; its SimHash is
-the sign of the sum of its shingles' random vectors. A fingerprint within ``RADIUS`` bits of another agrees with it in at least one of ``RADIUS + 1`` blocks, so
-a table from (block, value) to items, for items of the window's length, finds all of them. Candidates are then verified by the weighted Jaccard similarity of
+the sign of the sum of its shingles' random vectors. A fingerprint within ``RADIUS`` bits of another agrees with it in at least one of
+``RADIUS + 1`` blocks, so tables from a block's value to items, for items of the window's length, find all of them. Candidates are then verified by the weighted Jaccard similarity of
 their shingle counts, sum of minima over sum of maxima.
 
 A window without any shingle of an item has similarity 0, so windows are only formed around shingles that some item has.
@@ -34,10 +34,26 @@ ITEMS = 20_000
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def words(text: str | None) -> list[bytes]:
+def words(text: str | bytes | None) -> list[bytes]:
     return [w for w in (x.strip(PUNCTUATION) for x in fp.words(text)) if w]
 
 
+class StrippedHashes(fp.WordHashes):
+    """Hashes of words without punctuation at their ends, looked up by the words with it; 0 for punctuation alone."""
+
+    def hash_of(self, word: bytes) -> int:
+        word = word.strip(PUNCTUATION)
+        return super().hash_of(word) or 1 if word else 0
+
+
+_stripped = StrippedHashes()
+
+
+def word_hashes(text: str | bytes | None) -> np.ndarray:
+    h = fp.hashes(fp.words(text), _stripped)
+    return h[h != 0]
+
+
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -50,10 +66,35 @@ def simhash(total: np.ndarray) -> np.ndarray:
     return ((total > 0).astype(np.uint64) << _BITS).sum(axis=-1, dtype=np.uint64)
 
 
-def blocks(fingerprint: int) -> list[tuple[int, int]]:
-    """(block, value) of the RADIUS + 1 blocks, whose widths differ by one bit at most."""
-    edges = [64 * k // (RADIUS + 1) for k in range(RADIUS + 2)]
-    return [(k, fingerprint >> a & (1 << b - a) - 1) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+#: First bits and widths of the RADIUS + 1 blocks, which differ by one bit at most.
+BLOCKS = [(64 * k // (RADIUS + 1), 64 * (k + 1) // (RADIUS + 1) - 64 * k // (RADIUS + 1)) for k in range(RADIUS + 1)]
+
+
+def block(prints: np.ndarray, k: int) -> np.ndarray:
+    first, width = BLOCKS[k]
+    return ((prints >> np.uint64(first)) & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
+class HammingIndex:
+    """Items whose windows are equally long: for each block a table from its value to the items that have it."""
+
+    def __init__(self, items: list[tuple[int, int]]):
+        self.items = np.array([at for at, _ in items])
+        self.prints = np.array([p for _, p in items], np.uint64)
+        self.tables = []
+        for k, (_, width) in enumerate(BLOCKS):
+            table = np.zeros((1 << width, len(items)), bool)
+            table[block(self.prints, k), np.arange(len(items))] = True
+            self.tables.append(table)
+
+    def near(self, prints: np.ndarray) -> list[tuple[int, int]]:
+        """(window, item) within the radius: candidates that agree in some block, then their distances."""
+        met = np.zeros((len(prints), len(self.items)), bool)
+        for k, table in enumerate(self.tables):
+            met |= table[block(prints, k)]
+        window, item = np.nonzero(met)
+        close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
+        return list(zip(window[close].tolist(), self.items[item[close]].tolist(), strict=True))
 
 
 class Items:
@@ -61,25 +102,22 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.counts: dict[int, Counter] = {}
-        self.prints: dict[int, int] = {}
-        #: Number of shingles of a window -> (block, value) -> items.
-        self.index: dict[int, dict[tuple[int, int], list[int]]] = defaultdict(lambda: defaultdict(list))
+        prints: dict[int, list[tuple[int, int]]] = defaultdict(list)  # by the number of a window's shingles
         self.whole: dict[int, list[int]] = defaultdict(list)
         known = []
         self.ids = [i for i, _ in items]
         for at, (_, text) in enumerate(items):
-            tokens = words(text)
-            if not tokens:
+            tokens = word_hashes(text)
+            if not len(tokens):
                 continue
-            s = fp.shingles(tokens, SHINGLE)
+            s = fp.runs(tokens, SHINGLE)
             if len(tokens) < SHINGLE:
                 self.whole[len(tokens)].append(at)
             self.counts[at] = Counter(s.tolist())
-            self.prints[at] = int(simhash(vectors(s).sum(axis=0)))
             if len(tokens) >= SHINGLE:
-                for key in blocks(self.prints[at]):
-                    self.index[len(s)][key].append(at)
+                prints[len(s)].append((at, int(simhash(vectors(s).sum(axis=0)))))
                 known.append(s)
+        self.index = {n: HammingIndex(found) for n, found in prints.items()}
         self.known = np.unique(np.concatenate(known)) if known else np.zeros(0, np.uint64)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.known >> np.uint64(44)).astype(np.int64)] = True
@@ -93,10 +131,10 @@ class Items:
         at = np.minimum(np.searchsorted(self.known, s[maybe]), len(self.known) - 1)
         return maybe[self.known[at] == s[maybe]]
 
-    def found(self, tokens: list[bytes]):
+    def found(self, tokens: np.ndarray):
         """(item position, first word, number of words, similarity): the most similar window of each item."""
         best: dict[int, tuple[float, int, int]] = {}
-        s = fp.shingles(tokens, SHINGLE) if len(tokens) >= SHINGLE else np.zeros(0, np.uint64)
+        s = fp.runs(tokens, SHINGLE) if len(tokens) >= SHINGLE else np.zeros(0, np.uint64)
         hits = self.hits(s) if len(self.known) else np.zeros(0, np.int64)
         if len(hits):
             for n, index in self.index.items():
@@ -108,7 +146,7 @@ class Items:
                     self._windows(s, part, n, index, best)
         for n, marks in self.short.items():
             if len(tokens) >= n:
-                w = fp.shingles(tokens, n) if n > 1 or tokens else s
+                w = fp.runs(tokens, n)
                 for start in np.flatnonzero(np.isin(w, list(marks))).tolist():
                     for at in self.whole[n]:
                         if at not in best and int(w[start]) in self.counts[at]:
@@ -121,18 +159,16 @@ class Items:
         np.cumsum(vectors(s[low:high]), axis=0, out=total[1:])
         ends = np.minimum(starts + n, len(s)) - low
         prints = simhash(total[ends] - total[starts - low])
-        for start, mark in zip(starts.tolist(), prints.tolist(), strict=True):
-            near = {at for key in blocks(mark) for at in index.get(key, ())}
-            counts = None
-            for at in near:
-                if (self.prints[at] ^ mark).bit_count() > RADIUS:
-                    continue
-                counts = counts or Counter(s[start : start + n].tolist())
-                item = self.counts[at]
-                shared = sum((counts & item).values())
-                similarity = shared / (sum(counts.values()) + sum(item.values()) - shared)
-                if similarity >= LEAST and similarity > best.get(at, (0.0,))[0]:
-                    best[at] = (similarity, start, n + SHINGLE - 1)
+        at_window, counts = -1, Counter()
+        for window, at in index.near(prints):
+            start = int(starts[window])
+            if window != at_window:
+                at_window, counts = window, Counter(s[start : start + n].tolist())
+            item = self.counts[at]
+            shared = sum((counts & item).values())
+            similarity = shared / (sum(counts.values()) + sum(item.values()) - shared)
+            if similarity >= LEAST and similarity > best.get(at, (0.0,))[0]:
+                best[at] = (similarity, start, n + SHINGLE - 1)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -141,7 +177,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     items = narrow(benchmark, item_col, item_text_col, id_="item_id")
     n_blocks = max(1, -(-items.count() // ITEMS))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("similarity", pa.float64())])
-    texts = narrow(docs, id_col, text_col)
+    texts = narrow(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))  # words are split as bytes anyway
     found = []
     for k in range(n_blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).collect()
@@ -150,7 +186,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         def each(batches, shared=shared):
             index, out = Items(shared.value), Batcher(schema)
             for i, text in rows(batches):
-                for at, start, n, similarity in sorted(index.found(words(text))):
+                for at, start, n, similarity in sorted(index.found(word_hashes(text))):
                     if out.add((i, index.ids[at], start, n, similarity)):
                         yield out.take()
             yield out.take()

@@ -34,16 +34,19 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = self[word] = self.hash_of(word)
         return value
 
+    def hash_of(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
+
 
 _hashes = WordHashes()
 
 
-def words(text: str | None) -> list[bytes]:
+def words(text: str | bytes | None) -> list[bytes]:
     """A-Z in lower case, split at ASCII white space, which is what bytes know of either."""
-    return (text or "").encode().lower().split()
+    return (text.encode() if isinstance(text, str) else text or b"").lower().split()
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -54,13 +57,21 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def hashes(tokens: list[bytes], known: WordHashes = _hashes) -> np.ndarray:
+    return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+
+
 def shingles(tokens: list[bytes], size: int) -> np.ndarray:
     """A fingerprint for each run of ``size`` words; of fewer words for all of them; none for no words."""
-    h = np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
+    return runs(hashes(tokens), size)
+
+
+def runs(h: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of runs of word hashes, which are spread over 64 bits already: a polynomial of them with an odd base."""
     width = min(size, len(h))
     out = np.zeros(len(h) - width + 1 if width else 0, np.uint64)
     for i in range(width):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + mixed(h[i : i + len(out)] + np.uint64(i))
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)]
     return mixed(out + np.uint64(width))
 
 
