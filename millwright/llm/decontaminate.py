@@ -31,6 +31,8 @@ SHINGLE, LEAST = 5, 0.8
 RADIUS = 20
 #: Items of a block: what is broadcast at once holds this many items at most.
 ITEMS = 20_000
+#: Windows that are compared at once.
+WINDOWS = 500
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -70,9 +72,13 @@ def simhash(total: np.ndarray) -> np.ndarray:
 BLOCKS = [(64 * k // (RADIUS + 1), 64 * (k + 1) // (RADIUS + 1) - 64 * k // (RADIUS + 1)) for k in range(RADIUS + 1)]
 
 
-def block(prints: np.ndarray, k: int) -> np.ndarray:
-    first, width = BLOCKS[k]
-    return ((prints >> np.uint64(first)) & np.uint64((1 << width) - 1)).astype(np.int64)
+_FIRST = np.array([first for first, _ in BLOCKS], np.uint64)
+_MASK = np.array([(1 << width) - 1 for _, width in BLOCKS], np.uint64)
+
+
+def block_values(prints: np.ndarray) -> np.ndarray:
+    """The values of all blocks, one row for each fingerprint."""
+    return ((prints[:, None] >> _FIRST) & _MASK).astype(np.int64)
 
 
 class HammingIndex:
@@ -81,17 +87,13 @@ class HammingIndex:
     def __init__(self, items: list[tuple[int, int]]):
         self.items = np.array([at for at, _ in items])
         self.prints = np.array([p for _, p in items], np.uint64)
-        self.tables = []
-        for k, (_, width) in enumerate(BLOCKS):
-            table = np.zeros((1 << width, len(items)), bool)
-            table[block(self.prints, k), np.arange(len(items))] = True
-            self.tables.append(table)
+        self.tables = np.zeros((len(BLOCKS), int(_MASK.max()) + 1, len(items)), bool)
+        for item, values in enumerate(block_values(self.prints)):
+            self.tables[np.arange(len(BLOCKS)), values, item] = True
 
     def near(self, prints: np.ndarray) -> list[tuple[int, int]]:
         """(window, item) within the radius: candidates that agree in some block, then their distances."""
-        met = np.zeros((len(prints), len(self.items)), bool)
-        for k, table in enumerate(self.tables):
-            met |= table[block(prints, k)]
+        met = self.tables[np.arange(len(BLOCKS)), block_values(prints)].any(axis=1)
         window, item = np.nonzero(met)
         close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
         return list(zip(window[close].tolist(), self.items[item[close]].tolist(), strict=True))
@@ -142,7 +144,7 @@ class Items:
                 starts = starts[(starts >= 0) & (starts <= max(0, len(s) - n))]
                 if not len(starts):
                     continue
-                for part in np.array_split(starts, -(-len(starts) // 2000)):
+                for part in np.array_split(starts, -(-len(starts) // WINDOWS)):
                     self._windows(s, part, n, index, best)
         for n, marks in self.short.items():
             if len(tokens) >= n:
