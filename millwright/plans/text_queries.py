@@ -29,7 +29,7 @@ _step("f09_f13_marks", text.spell_marks, o.spell_marks("text"))
 _step("f15_lower_correct", lambda c: text.correct(F.lower(c)), o.correct("lower(text)"))
 _step("f16_squeeze", text.squeeze, r"trim(regexp_replace(text, '\s+', ' ', 'g'))")
 _step("f20_entity_type", naming.format_entity_type, o._format_type("text"))
-_step("f21_f23_relation_type", naming.format_relation, "upper(replace(text, ' ', '_'))")
+_step("f21_f23_relation_type", naming.format_relation, "upper(replace(replace(text, ' ', '_'), 'ß', 'ss'))")
 _step("f25_negations", lambda c: naming.negated(F.replace(c, F.lit("the"), F.lit("wont"))), o._negated("replace(text, 'the', 'wont')"))
 _step("s11_t02_byte_tokens", lambda c: F.array_join(training.byte_tokens(c, 24), ","), "(SELECT string_agg(x, ',' ORDER BY i) FROM (SELECT i, CASE WHEN 2 * i - 1 <= length(h) AND i <= 24 THEN (('0x' || h[2 * i - 1:2 * i])::INTEGER + 3) ELSE 0 END::VARCHAR AS x FROM (SELECT hex(encode(text)) AS h), unnest(range(1, 25)) AS u(i)))")
 
@@ -175,7 +175,7 @@ def u02(spark, d):
     from millwright.operators import extract
 
     inputs = table(spark, d, "part").select(F.col("p_name").alias("input"))
-    found = extract.predictions(inputs, extract.DictionaryExtractor({n: "object" for n in ("ring", "bolt", "anvil", "widget", "gear", "gizmo")}))
+    found = extract.predictions(inputs, extract.DictionaryExtractor({n: "object" for n in ("ring", "bolt", "anvil", "widget", "gear", "gizmo", "rod", "plate")}))
     return found.select("input", F.lit("entity").alias("kind"), F.explode(F.expr("transform(entities, e -> e[0])")).alias("name"))
 
 
