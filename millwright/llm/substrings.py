@@ -1,14 +1,14 @@
 """Passages that repeat across the corpus, by content-defined chunks.
 
-A gear rolling hash over the last ``WINDOW`` bytes cuts a text where its top bits are zero, so cuts depend on nearby bytes only: after an
-insertion the next cuts fall on the same places again. Equal chunks are found by their digests, corpus-wide. A run of
+A gear rolling hash over the last ``WINDOW`` bytes cuts a text where its top bits are zero, or where it is the least of ``FARTHEST`` bytes without
+such a place, so cuts depend on nearby bytes only: after an insertion the next cuts fall on the same places again. Equal chunks are found by their digests, corpus-wide. A run of
 neighbouring repeated chunks is a repeated passage if it has ``least_words`` words or more; the first occurrence, by document id and
 position, is its owner, and later ones can be removed.
 
 Chunks that the table of occurrence levels proves unique are dropped before the shuffle, and so are runs of possibly repeated
 chunks that are too short for a passage.  Both are exact: dropped chunks cannot be part of a result.
 
-Edge cases: null and empty texts have no chunks; a text without cuts is one chunk however long it is; repeated rows hold repeated passages
+Edge cases: null and empty texts have no chunks; one word or byte repeated is cut into equal chunks; repeated rows hold repeated passages
 (rows of equal ids count as occurrences of their own); other columns are ignored; an empty table gives an empty one.
 """
 
@@ -24,27 +24,51 @@ from millwright.llm import fingerprints as fp
 from millwright.llm.common import Batcher, narrow, rows
 from millwright.llm.scratch import saved
 
-#: Bytes that a cut depends on; zero bits of a cut; least distance of cuts.
-WINDOW, CUT_BITS, NEAREST = 16, 4, 8
+#: Bytes that a cut's hash depends on; zero bits of a cut; least distance of cuts; bytes in which there is a cut anyway.
+WINDOW, CUT_BITS, NEAREST, FARTHEST = 16, 4, 8, 64
 LEAST_WORDS = 20
 
 #: A random 16-bit value for each byte.
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), seed=16) & 0xFFFF for b in range(256)], np.uint16)
 
 
+def _over(h: np.ndarray, size: int, of: np.ufunc) -> np.ndarray:
+    """``of`` over each window of ``size`` values."""
+    out, have = h, 1
+    while have < size:
+        step = min(have, size - have)
+        out, have = of(out[:-step], out[step:]), have + step
+    return out
+
+
 def cuts(raw: bytes) -> np.ndarray:
-    """The ends of a text's chunks."""
+    """The ends of a text's chunks. All three rules look at nearby bytes only; where equal hashes are close, the text repeats with
+    that distance, so any choice among them gives the same chunks."""
     data = np.frombuffer(raw, np.uint8)
+    if len(raw) <= WINDOW:
+        return np.array([len(raw)] if raw else [], np.int64)
     gear = GEAR[data]
     h = gear.copy()
-    for k in range(1, min(WINDOW, len(gear))):
+    for k in range(1, WINDOW):
         h[k:] += gear[:-k] << np.uint16(k)
-    at = np.flatnonzero((h >> np.uint16(16 - CUT_BITS)) == 0) + 1
-    at = at[at >= WINDOW]
-    at = at[np.concatenate([[True], np.diff(at) > NEAREST])] if len(at) else at  # of cuts close to each other the first
-    at = at[at < len(raw)]
-    at = at[data[at] & 0xC0 != 0x80] if len(at) else at  # whole characters
-    return np.append(at, len(raw)) if len(raw) else at
+    h = h[WINDOW - 1 : -1]  # of the cuts from WINDOW to the last but one byte
+    whole = data[WINDOW:] & 0xC0 != 0x80  # whole characters
+    top = np.uint16(0xFFFF)
+    h = np.where(whole, np.minimum(h, top - np.uint16(1)), top)
+    cut = (h >> np.uint16(16 - CUT_BITS)) == 0
+    if len(h) >= FARTHEST:  # in a window without a cut the least hash cuts
+        least = np.pad(_over(h, FARTHEST, np.minimum), FARTHEST - 1)
+        cut |= whole & (_over(least, FARTHEST, np.maximum) == h)
+    near = np.pad(np.where(cut, h, top), NEAREST, constant_values=top)
+    cut &= _over(near, 2 * NEAREST + 1, np.minimum) == h  # of cuts close to each other the one of the least hash
+    at = np.flatnonzero(cut) + WINDOW
+    if len(at) and np.diff(at).min(initial=NEAREST + 1) <= NEAREST:
+        kept = [int(at[0])]
+        for x in at[1:].tolist():
+            if x - kept[-1] > NEAREST:
+                kept.append(x)
+        at = np.array(kept, np.int64)
+    return np.append(at, len(raw))
 
 
 def chunk_digests(raw: bytes, ends: np.ndarray) -> np.ndarray:

@@ -103,6 +103,19 @@ def test_cuts_survive_insertions_and_keep_characters_whole():
     assert len(substrings.cuts(b"")) == 0
 
 
+def test_low_entropy_passages_are_cut_into_equal_chunks(spark):
+    rng = random.Random(5)
+    for unit in ("word ", "a", "| - ", "n/a, ", "\n", "0123456789 filler words of a table row | ", "é", "語"):
+        chunks = []
+        for n in (900, 1100, 1333):  # other lengths and neighbours
+            raw = (prose(rng, 40 + n % 7) + unit * n + prose(rng, 50)).encode()
+            ends = substrings.cuts(raw).tolist()
+            chunks.append({raw[a:b] for a, b in zip(ends, ends[1:], strict=False) if b - a > 200 or raw[a:b].decode() in unit * 300})
+        assert all(len(c) <= 200 for c in set().union(*chunks)) and chunks[0] & chunks[1] & chunks[2], unit
+    filler = [(i, prose(rng, 100 + i) + " " + "word " * (300 + 37 * i) + prose(rng, 100)) for i in range(8)]
+    assert {r.doc_id for r in substrings.repeated(spark.createDataFrame(filler, "doc_id long, text string")).collect()} >= set(range(1, 8))
+
+
 def test_chunks_of_an_empty_table(spark):
     assert substrings.repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
