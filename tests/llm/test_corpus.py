@@ -116,6 +116,26 @@ def test_low_entropy_passages_are_cut_into_equal_chunks(spark):
     assert {r.doc_id for r in substrings.repeated(spark.createDataFrame(filler, "doc_id long, text string")).collect()} >= set(range(1, 8))
 
 
+def test_phrases_seen_before_do_not_divide_a_passage(spark):
+    rng, rows = random.Random(6), []
+    for i in range(40):  # two passages share a phrase that is no passage itself
+        phrase = prose(rng, 16)
+        for k, n in ((0, 14), (200, 14)):
+            passage = prose(rng, n) + " " + phrase + " " + prose(rng, n)
+            rows += [(k + j + i, prose(rng, 70 + j) + " " + passage + " " + prose(rng, 90)) for j in (0, 100)]
+    found = substrings.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = dict(rows)
+    assert all(by[r.doc_id][r.start : r.end] in by[r.owner_id] and r.owner_id == r.doc_id // 200 * 200 + r.doc_id % 100 for r in found)
+    assert {r.doc_id for r in found} == set(by)
+
+
+def test_windows_that_overlap_are_no_copies(spark):
+    rows = [(1, "one " * 30), (2, "two " * 90)]
+    found = substrings.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    own, copy = sorted(found, key=lambda r: r.removable)
+    assert own.doc_id == copy.doc_id == copy.owner_id == 2 and not own.removable and copy.removable and own.end <= copy.start
+
+
 def test_chunks_of_an_empty_table(spark):
     assert substrings.repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
