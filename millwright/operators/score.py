@@ -5,14 +5,15 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millwright.sources.sinks import stage
 
-#: Shapiro-Wilk is published for up to this many values; larger samples are judged by as many evenly spaced quantiles.
-MOST_VALUES = 5000
+#: The driver tests up to this many values; of more, it gets sums over all. Ranks whose normal scores are summed at once.
+FEW_VALUES, RANKS = 1000, 20_000
 
 
 def triple_counts(triples: DataFrame) -> DataFrame:
@@ -44,22 +45,37 @@ def shapiro_wilk(values: list[float]) -> float:
     x, n = sorted(values), len(values)
     if n < 3 or x[-1] == x[0]:
         return 0.0
-    normal = NormalDist()
-    m = [normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
-    mm, u = sum(v * v for v in m), 1 / math.sqrt(n)
-    poly = lambda c, v: sum(k * v**i for i, k in enumerate(c))
-    last = poly((m[-1] / math.sqrt(mm), 0.221157, -0.147981, -2.071190, 4.434685, -2.706056), u)
+    m = [_normal_score(i, n) for i in range(1, n + 1)]
+    mm = sum(v * v for v in m)
     if n == 3:
         a = [-math.sqrt(0.5), 0.0, math.sqrt(0.5)]
-    elif n <= 5:
-        phi = (mm - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-        a = [-last, *(v / math.sqrt(phi) for v in m[1:-1]), last]
     else:
-        second = poly((m[-2] / math.sqrt(mm), 0.042981, -0.293762, -1.752461, 5.682633, -3.582633), u)
-        phi = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-        a = [-last, -second, *(v / math.sqrt(phi) for v in m[2:-2]), second, last]
+        last, second, root = _weights(n, mm)
+        a = [-last, *(v / root for v in m[1:-1]), last] if n <= 5 else [-last, -second, *(v / root for v in m[2:-2]), second, last]
     mean = sum(x) / n
-    w = min(1.0, sum(p * q for p, q in zip(a, x, strict=True)) ** 2 / sum((v - mean) ** 2 for v in x))
+    return _p_value(sum(p * q for p, q in zip(a, x, strict=True)) ** 2 / sum((v - mean) ** 2 for v in x), n)
+
+
+def _normal_score(rank: int, n: int) -> float:
+    return NormalDist().inv_cdf((rank - 0.375) / (n + 0.25))
+
+
+def _weights(n: int, mm: float) -> tuple[float, float, float]:
+    """The weights of the greatest and second greatest value, and what normal scores are divided by to be those of the others."""
+    u, top, next_ = 1 / math.sqrt(n), _normal_score(n, n), _normal_score(n - 1, n)
+    last = _poly((top / math.sqrt(mm), 0.221157, -0.147981, -2.071190, 4.434685, -2.706056), u)
+    if n <= 5:
+        return last, 0.0, math.sqrt((mm - 2 * top**2) / (1 - 2 * last**2))
+    second = _poly((next_ / math.sqrt(mm), 0.042981, -0.293762, -1.752461, 5.682633, -3.582633), u)
+    return last, second, math.sqrt((mm - 2 * top**2 - 2 * next_**2) / (1 - 2 * last**2 - 2 * second**2))
+
+
+def _poly(coefficients: tuple[float, ...], v: float) -> float:
+    return sum(k * v**i for i, k in enumerate(coefficients))
+
+
+def _p_value(w: float, n: int) -> float:
+    w = min(1.0, w)
     if n == 3:
         return max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
     if w >= 1:
@@ -67,11 +83,47 @@ def shapiro_wilk(values: list[float]) -> float:
     if n <= 11:
         gamma = -2.273 + 0.459 * n
         y = -math.log(gamma - math.log1p(-w)) if gamma > math.log1p(-w) else -math.inf
-        mu, sigma = poly((0.544, -0.39978, 0.025054, -0.0006714), n), math.exp(poly((1.3822, -0.77857, 0.062767, -0.0020322), n))
+        mu, sigma = _poly((0.544, -0.39978, 0.025054, -0.0006714), n), math.exp(_poly((1.3822, -0.77857, 0.062767, -0.0020322), n))
     else:
         y, v = math.log1p(-w), math.log(n)
-        mu, sigma = poly((-1.5861, -0.31082, -0.083751, 0.0038915), v), math.exp(poly((-0.4803, -0.082676, 0.0030302), v))
-    return 1 - normal.cdf((y - mu) / sigma)
+        mu, sigma = _poly((-1.5861, -0.31082, -0.083751, 0.0038915), v), math.exp(_poly((-0.4803, -0.082676, 0.0030302), v))
+    return 1 - NormalDist().cdf((y - mu) / sigma)
+
+
+def _score_sums(batches):
+    """For ranges of ranks ``lo < rank <= hi`` of ``n``, the sums of their normal scores and of the squares."""
+    inverse = NormalDist().inv_cdf
+    for batch in batches:
+        sums = []
+        for lo, hi, n in zip(*(c.to_pylist() for c in batch.select(["lo", "hi", "n"]).columns), strict=True):
+            m = [inverse((i - 0.375) / (n + 0.25)) for i in range(lo + 1, hi + 1)]
+            sums.append((math.fsum(m), math.fsum(v * v for v in m)))
+        one, two = zip(*sums, strict=True) if sums else ((), ())
+        yield pa.RecordBatch.from_arrays([batch.column("x"), pa.array(one, pa.float64()), pa.array(two, pa.float64())], names=["x", "m", "mm"])
+
+
+def shapiro_wilk_of(stats: DataFrame, n: int, mean: float, squares: float) -> float:
+    """The same p-value of more than 5 scores, one for each occurrence, as sums over the ranks of each distinct score; ``squares`` are
+    the squared deviations from ``mean``. Ranks are partitions' offsets and running sums within them, so no task sees all."""
+    distinct = stats.groupBy("pmi").agg(F.sum("frequency").alias("w"))
+    ends = [[r.pmi - mean for r in distinct.orderBy(order).limit(2).collect() for _ in range(min(2, r.w))][:2] for order in (F.asc("pmi"), F.desc("pmi"))]
+    (low, low2), (high, high2) = ends
+    if low == high:
+        return 0.0
+    placed = stage(distinct.repartitionByRange("pmi").withColumn("part", F.spark_partition_id()))
+    offset, offsets = 0, []
+    for r in placed.groupBy("part").agg(F.sum("w").alias("w")).orderBy("part").collect():
+        offsets.append((r.part, offset))
+        offset += r.w
+    to = F.col("offset") + F.sum("w").over(W.partitionBy("part").orderBy("pmi").rowsBetween(W.unboundedPreceding, 0))
+    ranked = placed.join(F.broadcast(stats.sparkSession.createDataFrame(offsets, "part int, offset long")), "part").select("pmi", "w", to.alias("to"))
+    pieces = ranked.select("pmi", "to", F.explode(F.sequence(F.col("to") - F.col("w"), F.col("to") - 1, F.lit(RANKS))).alias("lo")).select(
+        (F.col("pmi") - mean).alias("x"), "lo", F.least(F.col("lo") + RANKS, "to").alias("hi"), F.lit(n).cast("long").alias("n")
+    )
+    sums = pieces.repartition("lo").mapInArrow(_score_sums, "x double, m double, mm double").agg(F.sum(F.col("x") * F.col("m")), F.sum("mm")).first()
+    last, second, root = _weights(n, sums[1])
+    inner = sums[0] - _normal_score(n, n) * (high - low) - _normal_score(n - 1, n) * (high2 - low2)
+    return _p_value((inner / root + last * (high - low) + second * (high2 - low2)) ** 2 / squares, n)
 
 
 def thresholds(stats: DataFrame) -> DataFrame:
@@ -83,10 +135,14 @@ def thresholds(stats: DataFrame) -> DataFrame:
     if not row.n:
         return spark.createDataFrame([], schema)
     mean = row.s / row.n
-    points = min(row.n, MOST_VALUES)
-    p, sd = stats.agg(F.percentile("pmi", [k / max(1, points - 1) for k in range(points)], w), F.sqrt(F.sum(w * (F.col("pmi") - mean) ** 2) / row.n)).first()
+    squares = stats.agg(F.sum(w * (F.col("pmi") - mean) ** 2)).first()[0]
+    sd = math.sqrt(squares / row.n)
+    if row.n > FEW_VALUES:
+        p_value = shapiro_wilk_of(stats, row.n, mean, squares)
+    else:
+        p_value = shapiro_wilk(stats.agg(F.percentile("pmi", [k / max(1, row.n - 1) for k in range(row.n)], w)).first()[0])
     q1, median, q3 = row.q
-    low, high = (median - 2 * sd, median + 2 * sd) if shapiro_wilk(list(p)) > 0.05 else (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
+    low, high = (median - 2 * sd, median + 2 * sd) if p_value > 0.05 else (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
     return spark.createDataFrame([(median, low, high)], schema)
 
 

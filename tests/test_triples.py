@@ -1,4 +1,5 @@
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -55,6 +56,21 @@ def test_shapiro_wilk_on_published_values():
     assert score.shapiro_wilk([1.0]) == 0.0
 
 
+def test_thresholds_judge_all_values(spark):
+    rng = random.Random(3)
+    values = [rng.gammavariate(1200, 1) for _ in range(20_000)]
+    stats = spark.createDataFrame([(v, 1) for v in values], "pmi double, frequency long")
+    q1, median, q3 = stats.agg(F.percentile("pmi", [0.25, 0.5, 0.75])).first()[0]
+    assert tuple(score.thresholds(stats).first()) == (median, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))  # by 5,000 quantiles they look normal
+    normal = spark.createDataFrame([(rng.gauss(0, 1), 1) for _ in range(20_000)], "pmi double, frequency long")
+    assert score.thresholds(normal).first().upper != tuple(score.thresholds(stats).first())[2]
+    few = [(float(round(v)), values[:2000].count(v) + 1) for v in values[:2000]]
+    flat = [v for v, n in few for _ in range(n)]
+    mean = sum(flat) / len(flat)
+    got = score.shapiro_wilk_of(spark.createDataFrame(few, "pmi double, frequency long"), len(flat), mean, sum((v - mean) ** 2 for v in flat))
+    assert math.isclose(got, score.shapiro_wilk(flat), rel_tol=1e-6, abs_tol=1e-12)
+
+
 def test_chart_shares(spark):
     df = score.shares(spark.createDataFrame(CHART, "system string, state string, n long"), ["system"], "n")
     got = {(r.system, r.state): round(r.percentage, 2) for r in df.collect()}
