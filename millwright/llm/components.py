@@ -7,28 +7,27 @@ from pyspark.sql import functions as F
 
 from millwright.llm.scratch import saved
 
-#: Propagation ends at a fixed point; this only guards against a fault.
+#: Propagation ends at a fixed point, after a number of rounds near the logarithm of the longest chain; more than this many are a fault.
 MOST_ROUNDS = 200
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``links`` (a, b: long) to (id, component): the smallest id that each linked id reaches.
+def components(links: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """``links`` (a, b: of one type that has an order) to (id, component): the smallest id that each linked id reaches.
 
     Each round takes the smallest label of an id and its neighbours, hooks the old label's own label to it, and replaces each
-    label by its label's label, so chains shorten by half. Rounds are written to the shared folder.
+    label by its label's label, so chains shorten by half. Rounds are written to the shared folder. Without links there are no rows; links
+    of an id with itself and links to null are ignored; labels that are not final after ``most_rounds`` rounds raise.
     """
     both = saved(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
     labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    for _ in range(MOST_ROUNDS):
+    for _ in range(most_rounds):
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near, labels.id == near.a).select("id", "label", F.least("label", "near").alias("next"))
-        hooked = lower.select("id", "next").union(lower.select(F.col("label").alias("id"), "next")).groupBy("id").agg(F.min("next").alias("next"))
+        hooks = lower.select(F.col("label").alias("id"), F.lit(None).alias("label"), "next")
+        hooked = lower.select("id", "label", "next").union(hooks).groupBy("id").agg(F.max("label").alias("was"), F.min("next").alias("next"))
         to = hooked.select(F.col("id").alias("next"), F.col("next").alias("jump"))
-        jumped = hooked.join(to, "next").select("id", F.least("next", "jump").alias("label"))
-        now = saved(jumped)
-        before = labels.select("id", F.col("label").alias("was"))
-        changed = now.join(before, "id").filter("label <> was").limit(1).count()
-        labels = now
-        if not changed:
-            break
-    return labels.select("id", F.col("label").alias("component"))
+        now = saved(hooked.join(to, "next").select("id", "was", F.least("next", "jump").alias("label")))
+        labels = now.select("id", "label")
+        if now.filter("label <> was").isEmpty():
+            return labels.select("id", F.col("label").alias("component"))
+    raise RuntimeError(f"components: labels still change after {most_rounds} rounds")
