@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millwright.functions.naming import let
+
 # What is written on work orders, and what is meant by it. Keys are patterns between word boundaries.
 CORRECTIONS = {
     "preasure": "pressure",
@@ -101,6 +104,11 @@ CORRECTIONS = {
 #: Besides letters, digits and spaces, what is kept.
 PRESERVED = ",&.#@/-[]()"
 
+#: What a key must not touch: letters and digits of any script, here without and with those that ASCII lacks. Spelt out, since what a word boundary means differs between versions of Java.
+LEFT, RIGHT = r"(?<![a-zA-Z0-9_])(?<![\p{L}\p{N}&&[^\x00-\x7F]])", r"(?![a-zA-Z0-9_]|[\p{L}\p{N}])"
+#: Keys that one pattern looks for before they are tried one by one.
+TOGETHER = 8
+
 
 def ordered(corrections: dict[str, str]) -> list[tuple[str, str]]:
     """Longest keys first; equally long ones in their given order."""
@@ -108,9 +116,21 @@ def ordered(corrections: dict[str, str]) -> list[tuple[str, str]]:
 
 
 def correct(c: Column, corrections: dict[str, str] = CORRECTIONS) -> Column:
-    """Replaces each key, in turn, by its spaced value."""
-    for wrong, right in ordered(corrections):
-        c = F.regexp_replace(c, rf"\b{wrong}\b", f" {right} ")
+    """Replaces each key, in turn, by its spaced value. Keys are tried only in texts that hold one of their group, which changes nothing:
+    where no key of a group matches, its replacements leave the text as it is."""
+    pairs = ordered(corrections)
+
+    def step(group: list[tuple[str, str]]) -> Callable[[Column], Column]:
+        def replaced(x: Column) -> Column:
+            y = x
+            for wrong, right in group:
+                y = F.regexp_replace(y, LEFT + wrong + RIGHT, f" {right} ")
+            return F.when(x.rlike(f"{LEFT}(?:{'|'.join(wrong for wrong, _ in group)}){RIGHT}"), y).otherwise(x)
+
+        return replaced
+
+    for k in range(0, len(pairs), TOGETHER):
+        c = let(c, step(pairs[k : k + TOGETHER]))
     return c
 
 

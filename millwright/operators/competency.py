@@ -37,7 +37,7 @@ def time_between_failures(g: Graph, component: str) -> DataFrame:
 
 def activity_type(label):
     """The part between ``Activity`` and the next slash: Maintenance or Supporting."""
-    return F.split(F.substring(F.replace(label, F.lit("Activity"), F.lit("")), 2, 1_000_000), "/")[0]
+    return F.split(F.substring(F.replace(label, F.lit("Activity"), F.lit("")), F.lit(2), F.length(label)), "/")[0]
 
 
 def yearly_activity_costs(g: Graph) -> DataFrame:

@@ -1,17 +1,20 @@
-"""Extraction: a pluggable model over distinct inputs, made once per worker and applied to Arrow batches."""
+"""Extraction: a pluggable model over distinct inputs, loaded once by each worker and applied to Arrow batches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millwright.functions.parse import structured
+from millwright.sources import sinks
+
 
 class Extractor(Protocol):
-    """What a model must offer: the tagged string for each input. A failure of one input must not fail the batch."""
+    """What a model must offer: the tagged string for each input."""
 
     def outputs(self, inputs: list[str]) -> list[str]: ...
 
@@ -26,17 +29,54 @@ class DictionaryExtractor:
         return [" ".join(f"<entity> {w} <{self.known[w]}>" for w in x.split() if w in self.known) for x in inputs]
 
 
-def predictions(inputs: DataFrame, extractor: Extractor, cache: DataFrame | None = None) -> DataFrame:
-    """``input, gen_output`` and the structured output for each distinct input that the cache does not hold."""
-    from millwright.functions.parse import structured
+def each_output(model: Extractor, inputs: list[str]) -> list[str | None]:
+    """The model's outputs; where a batch fails, or has another number of them, its inputs are tried one by one, and null stands for those that fail."""
+    try:
+        found = model.outputs(inputs)
+        if len(found) == len(inputs):
+            return list(found)
+    except Exception:  # noqa: BLE001  whatever the model raises
+        pass
+    if len(inputs) == 1:
+        return [None]
+    return [y for x in inputs for y in each_output(model, [x])]
+
 
+def predictions(inputs: DataFrame, model: Extractor | Callable[[], Extractor], cache: DataFrame | None = None) -> DataFrame:
+    """``input, gen_output`` and the structured output for each distinct input that the cache does not hold.
+
+    ``model``: an extractor, or a function that loads one, which each worker calls once. An input whose prediction failed has a null output, empty
+    arrays, and ``passed`` false.
+    """
     todo = inputs.select("input").filter("input is not null").distinct()
     if cache is not None:
         todo = todo.join(cache.select("input"), "input", "left_anti")
 
     def each(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loaded = model if hasattr(model, "outputs") else model()
         for frame in frames:
-            yield frame.assign(gen_output=extractor.outputs(frame["input"].tolist()))
+            yield frame.assign(gen_output=each_output(loaded, frame["input"].tolist()))
 
     raw = todo.mapInPandas(each, "input string, gen_output string")
-    return raw.withColumn("_r", structured(F.col("input"), F.col("gen_output"))).select("input", "gen_output", "_r.*")
+    found = raw.withColumn("_r", structured(F.col("input"), F.coalesce("gen_output", F.lit(""))))
+    return found.select("input", "gen_output", "_r.norms", "_r.entities", "_r.relations", "_r.issues", (F.col("_r.passed") & F.col("gen_output").isNotNull()).alias("passed"))
+
+
+def with_predictions(records: DataFrame, predicted: DataFrame) -> DataFrame:
+    """All records with their input's prediction; ``predicted`` is false, and arrays are empty, where there is none that passed."""
+    passed = predicted.filter("passed").select("input", "gen_output", "norms", "entities", "relations", F.lit(True).alias("predicted"))
+    none = lambda c: F.coalesce(c, F.array().cast(predicted.schema[c].dataType)).alias(c)
+    joined = records.join(passed, "input", "left")
+    return joined.select(*records.columns, "gen_output", none("norms"), none("entities"), none("relations"), F.coalesce("predicted", F.lit(False)).alias("predicted"))
+
+
+def run(records: DataFrame, model: Extractor | Callable[[], Extractor], cache: str | None) -> tuple[DataFrame, str, str]:
+    """Records with predictions, the cache to which new results that passed were added, and the path of a report of failed inputs. ``cache``: a table of
+    predictions that an earlier run has returned, or none."""
+    spark = records.sparkSession
+    known = spark.read.parquet(cache) if cache else None
+    new = sinks.stage(predictions(records, model, known))
+    cache = cache or sinks.new_path(spark)
+    new.filter("passed").write.mode("append").parquet(cache)
+    failed = sinks.write_json(new.filter("not passed").select("input", "gen_output"))
+    return with_predictions(records, spark.read.schema(new.schema).parquet(cache)), cache, failed

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ["head_type", "head", "relation", "tail_type", "tail"]
@@ -25,10 +25,49 @@ def build(records: DataFrame, surviving: DataFrame) -> Graph:
     return Graph(records, surviving.select("record_id", *KEY, "frequency", "probability", "pmi").dropDuplicates(["record_id", *KEY]))
 
 
+#: Stands between the parts of a key whose digest is an id; no name has it.
+BETWEEN = "\x1f"
+
+
+def identity(*parts: str) -> Column:
+    """A surrogate id that any engine can compute: the digest of the key."""
+    return F.md5(F.concat_ws(BETWEEN, *parts).cast("binary"))
+
+
 def edges(g: Graph) -> DataFrame:
     return g.record_edges.drop("record_id").dropDuplicates(KEY)
 
 
+def with_ids(e: DataFrame) -> DataFrame:
+    """Edges with ``edge_id, head_id, tail_id``."""
+    return e.withColumns({"edge_id": identity(*KEY), "head_id": identity("head_type", "head"), "tail_id": identity("tail_type", "tail")})
+
+
+def edges_by_name(g: Graph) -> DataFrame:
+    """Edges between all nodes of their ends' names, whatever the nodes' labels: homonyms fan out, as they do where edges are matched by name alone."""
+    e = edges(g).select("head", "relation", "tail", "frequency", "probability", "pmi").distinct()
+    n = _ends(edges(g))
+    heads, tails = n.select(F.col("label").alias("head_type"), F.col("name").alias("head")), n.select(F.col("label").alias("tail_type"), F.col("name").alias("tail"))
+    return e.join(heads, "head").join(tails, "tail").select(*KEY, "frequency", "probability", "pmi").dropDuplicates(KEY)
+
+
+def record_relations(records: DataFrame, surviving: DataFrame) -> DataFrame:
+    """``id, relationIds``: the edges of every record, repeats included; an empty list for records without any."""
+    of = surviving.select(F.col("record_id").alias("id"), identity(*KEY).alias("edge")).groupBy("id").agg(F.array_sort(F.collect_list("edge")).alias("relationIds"))
+    return records.select("id").join(of, "id", "left").select("id", F.coalesce("relationIds", F.array().cast("array<string>")).alias("relationIds"))
+
+
+def save(g: Graph, path: str) -> Graph:
+    """Writes the graph below ``path``, in place of one that is there, and reads it back: questions then need no more than its tables."""
+    for name, df in g._asdict().items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    return load(g.records.sparkSession, path)
+
+
+def load(spark: SparkSession, path: str) -> Graph:
+    return Graph(*(spark.read.parquet(f"{path}/{name}") for name in Graph._fields))
+
+
 def _ends(df: DataFrame, *more: str) -> DataFrame:
     pair = F.array(F.struct(F.col("head_type").alias("label"), F.col("head").alias("name")), F.struct(F.col("tail_type").alias("label"), F.col("tail").alias("name")))
     return df.select(*more, F.explode(pair).alias("e")).select(*more, "e.label", "e.name").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwright.functions import naming
+from millwright.sources.sinks import stage
 
 
 def formatted(raw: DataFrame) -> DataFrame:
@@ -14,18 +15,30 @@ def formatted(raw: DataFrame) -> DataFrame:
     return f.withColumn("message", naming.validation(*map(F.col, ("head", "head_type", "relation", "tail", "tail_type"))))
 
 
-def typed(df: DataFrame, gazetteer: DataFrame, side: str) -> DataFrame:
-    """The name's path in the type hierarchy; a name without one keeps its root type."""
-    places = gazetteer.select(F.col("type").alias(f"{side}_type"), F.col("name").alias(side), F.col("path").alias("_path"))
-    joined = df.join(places, [f"{side}_type", side], "left")
-    return joined.withColumn(f"{side}_type", F.coalesce("_path", f"{side}_type")).drop("_path")
+def typed(names: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """The path in the type hierarchy of each ``_name`` of a type ``_of``; a name without one keeps its root type."""
+    places = gazetteer.select(F.col("type").alias("_of"), F.col("name").alias("_name"), F.col("path").alias("_path"))
+    return names.join(places, ["_of", "_name"], "left").withColumn("_path", F.coalesce("_path", "_of"))
+
+
+def name_table(valid: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """``_from, _of`` to ``_name, _ops, _path``: each distinct name of a type once. It is far smaller than the triples, and written, so
+    that Spark knows its size when it chooses how to join it."""
+    ends = F.array(*(F.struct(F.col(s).alias("_from"), F.col(f"{s}_type").alias("_of")) for s in ("head", "tail")))
+    distinct = valid.select(F.explode(ends).alias("_e")).select("_e.*").distinct()
+    named = distinct.withColumn("_n", naming.normalised(F.col("_from"), F.col("_of"))).select("_from", "_of", F.col("_n.name").alias("_name"), F.col("_n.ops").alias("_ops"))
+    return stage(typed(named, gazetteer).select("_from", "_of", "_name", "_ops", "_path"))
 
 
 def normalised(valid: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Names normalised, with the operations that changed them, then typed."""
-    df = valid.withColumns({f"_{s}": naming.normalised(F.col(s), F.col(f"{s}_type")) for s in ("head", "tail")})
-    df = df.withColumns({s: F.col(f"_{s}.name") for s in ("head", "tail")} | {f"{s}_ops": F.col(f"_{s}.ops") for s in ("head", "tail")}).drop("_head", "_tail")
-    return typed(typed(df, gazetteer, "head"), gazetteer, "tail")
+    names = name_table(valid, gazetteer)
+    df = valid
+    for s in ("head", "tail"):
+        side = names.select(*(F.col(c).alias(f"_{s}{c}") for c in names.columns))
+        met = F.col(s).eqNullSafe(F.col(f"_{s}_from")) & F.col(f"{s}_type").eqNullSafe(F.col(f"_{s}_of"))
+        df = df.join(side, met).withColumns({s: F.col(f"_{s}_name"), f"{s}_type": F.col(f"_{s}_path"), f"{s}_ops": F.col(f"_{s}_ops")}).drop(*side.columns)
+    return df
 
 
 def refined(raw: DataFrame, gazetteer: DataFrame, remove_subsumption: bool = False) -> DataFrame:

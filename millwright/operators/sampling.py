@@ -48,9 +48,15 @@ def skewed(u: Column, low: float, high: float) -> Column:
     return F.when(u < mode, low + F.sqrt(u * mode) * r).otherwise(high - F.sqrt((1 - u) * (1 - mode)) * r).cast("int")
 
 
-def dummy_columns(df: DataFrame, seed: int) -> DataFrame:
-    whole = lambda k, low, n: (F.floor(F.rand(seed + k) * n) + low).cast("int")
+def uniform(key: Column, k: int, seed: int) -> Column:
+    """The k-th number of a key between 0 and 1, by a multiplicative hash: the same wherever and however often it is computed."""
+    return ((F.pmod(key + F.lit(k * 7919 + seed), F.lit(1 << 31)) * F.lit(2654435761)) % F.lit(1 << 32)).cast("double") / F.lit(float(1 << 32))
+
+
+def dummy_columns(df: DataFrame, key: str, seed: int) -> DataFrame:
+    u = lambda k: uniform(F.col(key).cast("long"), k, seed)
+    whole = lambda k, low, n: (F.floor(u(k) * n) + low).cast("int")
     return df.select(
         "*", F.make_date(whole(0, 2000, 21), whole(1, 1, 12), whole(2, 1, 28)).alias("start_date"),
-        skewed(F.rand(seed + 3), 0, 50000).cast("double").alias("cost"), skewed(F.rand(seed + 4), 0, 84).cast("double").alias("time"),
+        skewed(u(3), 0, 50000).cast("double").alias("cost"), skewed(u(4), 0, 84).cast("double").alias("time"),
     )

@@ -9,9 +9,9 @@ from millwright.operators import competency as cq
 from millwright.operators import graph, score
 from millwright.plans.oracle import sql
 from millwright.plans.registry import query
-from millwright.plans.triple_queries import surviving, triples
-from millwright.sources.sinks import stage
-from millwright.sources.tables import work_orders
+from millwright.plans.triple_queries import surviving, surviving_of, triples
+from millwright.sources.sinks import new_path, stage
+from millwright.sources.tables import GAZETTEER, work_orders
 
 FAILED = "State/UndesirableState/FailedState"
 
@@ -21,26 +21,50 @@ def the_graph(spark: SparkSession, d: str) -> graph.Graph:
     return g._replace(record_edges=stage(g.record_edges))
 
 
-@query("g01_k05_nodes", sql("SELECT DISTINCT label, name FROM mentions", "stats"))
+def _md5(*columns: str) -> str:
+    return "md5(" + " || chr(31) || ".join(columns) + ")"
+
+
+_EDGE_ID = _md5("head_type", "head", "relation", "tail_type", "tail")
+
+
+@query("g01_k05_nodes", sql(f"SELECT DISTINCT {_md5('label', 'm.name')} AS node_id, label, m.name, f AS frequency, round(f / (SELECT n FROM n), 9) AS probability FROM mentions AS m JOIN (SELECT name, count(*) AS f FROM (SELECT head AS name FROM triples UNION ALL SELECT tail FROM triples) GROUP BY 1) AS k ON k.name = m.name", "stats"))
 def g01(spark, d):
-    return graph.nodes(the_graph(spark, d), score.node_stats(triples(spark, d))).select("label", "name")
+    """Refined triples are read by the statistics of names and by the graph, so they are written once."""
+    t = stage(triples(spark, d))
+    g = graph.build(work_orders(spark, d), surviving_of(t))
+    return graph.nodes(g, score.node_stats(t)).select(graph.identity("label", "name").alias("node_id"), "label", "name", "frequency", F.round("probability", 9).alias("probability"))
 
 
-@query("g02_k06_j07_edges", sql("SELECT head_type, head, relation, tail_type, tail, frequency, round(probability, 9) AS probability, round(pmi, 9) AS pmi FROM edges", "stats"))
+@query("g02_k06_j07_edges", sql(f"SELECT {_EDGE_ID} AS edge_id, {_md5('head_type', 'head')} AS head_id, {_md5('tail_type', 'tail')} AS tail_id, head_type, head, relation, tail_type, tail, frequency, round(probability, 9) AS probability, round(pmi, 9) AS pmi FROM edges", "stats"))
 def g02(spark, d):
-    return graph.edges(the_graph(spark, d)).withColumns({"probability": F.round("probability", 9), "pmi": F.round("pmi", 9)})
+    return graph.with_ids(graph.edges(the_graph(spark, d))).withColumns({"probability": F.round("probability", 9), "pmi": F.round("pmi", 9)})
+
 
+@query("j07_edges_by_name", sql("WITH e AS (SELECT DISTINCT head, relation, tail, frequency FROM edges), n AS (SELECT DISTINCT label, name FROM mentions) SELECT DISTINCT a.label AS head_type, head, relation, b.label AS tail_type, tail, frequency FROM e JOIN n AS a ON a.name = head JOIN n AS b ON b.name = tail".replace("WITH e AS", "SELECT * FROM (WITH e AS", 1) + ")", "stats"))
+def j07(spark, d):
+    """Edges matched by name alone: homonyms of other labels fan out."""
+    return graph.edges_by_name(the_graph(spark, d)).drop("probability", "pmi")
 
-@query("g03_record_relations", sql("SELECT id, count(head) AS n FROM wo LEFT JOIN surviving ON id = record_id GROUP BY 1", "wo", "stats"))
+
+@query("k07_saved_graph", sql("SELECT relation, count(*) AS n FROM edges GROUP BY 1", "stats"))
+def k07(spark, d):
+    """A graph that is built once, written over an older one, and read by a question."""
+    path = new_path(spark)
+    g = the_graph(spark, d)
+    graph.save(g._replace(record_edges=g.record_edges.limit(1)), path)
+    return graph.edges(graph.save(g, path)).groupBy("relation").agg(F.count("*").alias("n"))
+
+
+@query("g03_record_relations", sql(f"SELECT id, coalesce(ids, []) AS relationIds FROM wo LEFT JOIN (SELECT record_id, list_sort(list({_EDGE_ID})) AS ids FROM surviving GROUP BY 1) ON id = record_id", "wo", "stats"))
 def g03(spark, d):
-    """The number of relations of every record, repeats included; none for records without triples."""
-    counts = surviving(spark, d).groupBy(F.col("record_id").alias("id")).agg(F.count("*").alias("n"))
-    return work_orders(spark, d).select("id").join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    """The relations of every record, repeats included; none for records without triples."""
+    return graph.record_relations(work_orders(spark, d), surviving(spark, d))
 
 
 @query("g04_has_record", sql("SELECT floc, id AS record_id FROM wo", "wo"))
 def g04(spark, d):
-    return work_orders(spark, d).select("floc", F.col("id").alias("record_id"))
+    return graph.has_record(graph.Graph(work_orders(spark, d), None))
 
 
 @query("g05_mentions", sql("SELECT * FROM mentions", "stats"))
@@ -50,7 +74,8 @@ def g05(spark, d):
 
 @query("a29_progress_counts", sql("SELECT (SELECT count(*) FROM surviving) AS semantic, (SELECT count(*) FROM wo) AS system, (SELECT count(*) FROM mentions) AS record", "wo", "stats"))
 def a29(spark, d):
-    g, s = the_graph(spark, d), surviving(spark, d)
+    s = stage(surviving(spark, d))
+    g = graph.build(work_orders(spark, d), s)
     return s.agg(F.count("*").alias("semantic")).crossJoin(g.records.agg(F.count("*").alias("system"))).crossJoin(graph.mentions(g).agg(F.count("*").alias("record")))
 
 
@@ -75,10 +100,25 @@ def a24(spark, d):
     return _cq1(spark, d).agg(F.min("count").alias("low"), F.max("count").alias("high"))
 
 
-@query("a22_cq1_pivot", sql("SELECT asset, component, " + ", ".join(f"coalesce(max(\"count\") FILTER (state = '{s}'), 0) AS \"{s}\"" for s in ("no power", "oil leak", "leak")) + f" FROM ({CQ1}) GROUP BY ALL", "wo", "stats"))
+#: States that the hierarchy knows, in order; explicit values spare a job that looks for them. What else there is goes into one more column.
+STATES = sorted(name for name, _ in GAZETTEER["State"])
+
+
+def _pivoted(df, keys, value, aggregate):
+    """Sorted rows of keys, a column for each state, and ``other``; 0 where there is none."""
+    known = F.when(F.col("state").isin(*STATES), F.col("state")).otherwise("other")
+    columns = [*STATES, "other"]
+    return df.withColumn("state", known).groupBy(*keys).pivot("state", columns).agg(aggregate(value)).fillna(0, columns).orderBy(*keys)
+
+
+def _pivot_sql(source: str, keys: str, value: str, aggregate: str) -> str:
+    columns = [(f"state = '{s}'", s) for s in STATES] + [("state NOT IN (" + ", ".join(f"'{s}'" for s in STATES) + ")", "other")]
+    return f"SELECT {keys}, " + ", ".join(f'coalesce({aggregate}({value}) FILTER ({test}), 0)::BIGINT AS "{name}"' for test, name in columns) + f" FROM ({source}) GROUP BY {keys} ORDER BY {keys}"
+
+
+@query("a22_cq1_pivot", sql(_pivot_sql(CQ1, "asset, component", '"count"', "sum"), "wo", "stats"))
 def a22(spark, d):
-    states = ["no power", "oil leak", "leak"]  # explicit values spare a job that looks for them
-    return _cq1(spark, d).groupBy("asset", "component").pivot("state", states).agg(F.first("count")).fillna(0, states)
+    return _pivoted(_cq1(spark, d), ["asset", "component"], "count", F.sum)
 
 
 _S = f"SELECT r.floc AS system, m AS component, n AS state, count(*) AS stateCount FROM m AS x {_R} WHERE relation = 'HAS_PATIENT' AND n_label = '{FAILED}' GROUP BY ALL"
@@ -104,10 +144,9 @@ def p26(spark, d):
     return cq.failure_shares(the_graph(spark, d), None).filter("percentage > 20").select("system", "component", "state")
 
 
-@query("a23_system_state_pivot", sql("SELECT system, " + ", ".join(f"coalesce(sum(stateCount) FILTER (state = '{s}'), 0)::BIGINT AS \"{s}\"" for s in ("no power", "oil leak", "leak")) + f" FROM ({_S}) GROUP BY system", "wo", "stats"))
+@query("a23_o06_system_state_pivot", sql(_pivot_sql(_S, "system", "stateCount", "sum"), "wo", "stats"))
 def a23(spark, d):
-    states = ["no power", "oil leak", "leak"]
-    return cq.failure_shares(the_graph(spark, d), None).groupBy("system").pivot("state", states).sum("stateCount").fillna(0, states)
+    return _pivoted(cq.failure_shares(the_graph(spark, d), None), ["system"], "stateCount", F.sum)
 
 
 @query("cq3_j11_mtbf", sql(f"SELECT Asset, MTBF, Events FROM (SELECT r.floc AS Asset, count(*) AS Events, datediff('day', min(start_date), max(start_date)) // nullif(count(start_date) - 1, 0) AS MTBF FROM mu AS x {_R} WHERE relation = 'HAS_PATIENT' AND n_label = '{FAILED}' AND m = 'gear' GROUP BY 1) WHERE MTBF > 0", "wo", "stats"))
@@ -148,6 +187,16 @@ def cq6(spark, d):
     return cq.activity_costs(the_graph(spark, d)).withColumn("totalCost", F.round("totalCost", 4))
 
 
+ACTIVITIES = sorted({path.rsplit("/", 1)[1] for _, path in GAZETTEER["Activity"] if "MaintenanceActivity" in path})
+
+
+@query("a22_o06_year_activity", sql("SELECT asset, year, " + ", ".join(f"coalesce(round(sum(totalCost) FILTER (activity = 'Activity/MaintenanceActivity/{a}'), 2), 0) AS \"{a}\"" for a in ACTIVITIES) + f" FROM ({CQ6}) GROUP BY ALL ORDER BY ALL", "wo", "stats"))
+def a22_years(spark, d):
+    """Costs by year and kind of activity, a table for each asset, sorted."""
+    df = cq6(spark, d).withColumn("activity", F.element_at(F.split("activity", "/"), -1)).groupBy("asset", "year").pivot("activity", ACTIVITIES).sum("totalCost")
+    return df.select("asset", "year", *(F.coalesce(F.round(a, 2), F.lit(0.0)).alias(a) for a in ACTIVITIES)).orderBy("asset", "year")
+
+
 @query("cq6_grid", sql(f"SELECT * FROM (WITH c AS (SELECT year, asset, string_split(activity, '/')[-1] AS activity, totalCost / 1e6 AS totalCost FROM ({CQ6})) SELECT asset, activity, year, round(coalesce(totalCost, 0), 6) AS totalCost FROM (SELECT * FROM (SELECT DISTINCT asset FROM c) CROSS JOIN (SELECT DISTINCT activity FROM c) CROSS JOIN (SELECT DISTINCT year FROM c)) LEFT JOIN c USING (asset, activity, year))", "wo", "stats"))
 def cq6_grid(spark, d):
     df = cq6(spark, d).select("year", "asset", F.element_at(F.split("activity", "/"), -1).alias("activity"), (F.col("totalCost") / 1e6).alias("totalCost"))

@@ -65,6 +65,18 @@ wo AS (
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN per AS p ON o_orderkey = p.id)
 """
 
+# Fixed values, restated for the SQL.
+ALLOWED = {
+    "has_patient": [("activity", "activity"), ("activity", "state"), ("activity", "process"), ("activity", "object"), ("process", "object"), ("state", "activity"), ("state", "object")],
+    "has_agent": [("state", "object"), ("process", "object"), ("activity", "object")],
+    "contains": [("object", "object")],
+    "has_part": [("object", "object")],
+    "has_property": [("object", "property"), ("state", "property")],
+    "is_a": [("object", "object"), ("activity", "activity"), ("process", "process"), ("property", "property"), ("state", "state")],
+}
+STANDARD = {"conditioning": "conditioner", "piping": "pipe", "leaky": "leak"}
+FULL = {"wont": "will not", "won't": "will not", "wouldnt": "would not", "wouldn't": "would not", "dont": "does not", "don't": "does not", "doesnt": "does not", "doesn't": "does not"}
+
 _LI = """
 li AS (
   SELECT *, string_split(p_name, ' ')[-1] AS component, string_split(p_name, ' ')[1] AS adjective,
@@ -99,7 +111,7 @@ def _root(c: str) -> str:
 
 
 def validation(h: str, ht: str, r: str, t: str, tt: str) -> str:
-    pairs = " OR ".join(f"(lower({r}) = '{name}' AND {_root(ht)} || '-' || {_root(tt)} IN {listed(allowed)})" for name, allowed in naming.RELATIONS.items())
+    pairs = " OR ".join(f"(lower({r}) = '{name}' AND ({_root(ht)}, {_root(tt)}) IN ({', '.join(map(str, allowed))}))" for name, allowed in ALLOWED.items())
     return f"""CASE WHEN trim({h}) = trim({t}) AND lower({ht}) = lower({tt}) THEN 'self-reference'
       WHEN trim({h}) = '' OR trim({t}) = '' THEN 'empty entity surface form'
       WHEN {_root(ht)} NOT IN {listed(naming.ENTITY_TYPES)} OR {_root(tt)} NOT IN {listed(naming.ENTITY_TYPES)} THEN 'invalid entity type(s)'
@@ -122,7 +134,7 @@ def _last(tokens: str, mapped: str) -> str:
 
 
 def _negated(c: str) -> str:
-    for short, full in naming.NEGATIONS.items():
+    for short, full in FULL.items():
         c = f"regexp_replace({c}, {quoted(rf'\b{short}\b')}, {quoted(full)}, 'g')"
     return c
 
@@ -134,7 +146,7 @@ def _lemma(side: str) -> str:
 
 NORMALISED = f"""
 z1 AS (SELECT *, {_tokens('head')} AS head_k, {_tokens('tail')} AS tail_k FROM formatted WHERE message = 'valid'),
-z2 AS (SELECT * EXCLUDE (head_k, tail_k), {_last('head_k', cases('head_k[-1]', naming.COLLOQUIALISMS))} AS head_1, {_last('tail_k', cases('tail_k[-1]', naming.COLLOQUIALISMS))} AS tail_1 FROM z1),
+z2 AS (SELECT * EXCLUDE (head_k, tail_k), {_last('head_k', cases('head_k[-1]', STANDARD))} AS head_1, {_last('tail_k', cases('tail_k[-1]', STANDARD))} AS tail_1 FROM z1),
 z3 AS (SELECT *, CASE WHEN {_root('head_type')} = 'state' THEN {_negated('head_1')} ELSE head_1 END AS head_2, CASE WHEN {_root('tail_type')} = 'state' THEN {_negated('tail_1')} ELSE tail_1 END AS tail_2 FROM z2),
 z4 AS (SELECT *, {_tokens('head_2')} AS head_k, {_tokens('tail_2')} AS tail_k FROM z3),
 z5 AS (SELECT *, {_last('head_k', _lemma('head'))} AS head_3, {_last('tail_k', _lemma('tail'))} AS tail_3 FROM z4),

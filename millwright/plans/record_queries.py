@@ -83,10 +83,18 @@ def p03(spark, d):
     return work_orders(spark, d).select("id", F.nullif("floc", F.lit("FRANCE")).alias("floc"), "text").dropna(subset=["floc"]).filter(F.col("text").isNotNull())
 
 
-@query("p05_dummy_columns")
+def _u(k: int) -> str:
+    return f"((((id + {k} * 7919 + 7) % 2147483648) * 2654435761) % 4294967296)::DOUBLE / 4294967296"
+
+
+def _skewed(u: str, high: int) -> str:
+    return f"trunc(CASE WHEN {u} < 0.05::DOUBLE THEN sqrt({u} * 0.05::DOUBLE) * {high} ELSE {high} - sqrt((1 - {u}) * 0.95::DOUBLE) * {high} END)::DOUBLE"
+
+
+@query("p05_dummy_columns", f"SELECT id, make_date(2000 + floor(u0 * 21)::BIGINT, 1 + floor(u1 * 12)::BIGINT, 1 + floor(u2 * 28)::BIGINT) AS start_date, {_skewed('u3', 50000)} AS cost, {_skewed('u4', 84)} AS \"time\" FROM (SELECT id, {', '.join(f'{_u(k)} AS u{k}' for k in range(5))} FROM (SELECT o_orderkey AS id FROM orders))")
 def p05(spark, d):
-    """Random dates, costs and times for inputs without them: skewed to small values, seeded."""
-    return sampling.dummy_columns(work_orders(spark, d).select("id"), seed=7)
+    """Dates, costs and times for inputs without them: as if random, skewed to small values, and the same in every run."""
+    return sampling.dummy_columns(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), "id", seed=7)
 
 
 @query("p06_clean_numeric", "SELECT o_orderkey, CASE WHEN k = '' THEN 0.0 ELSE k::DOUBLE END AS cost FROM (SELECT o_orderkey, regexp_replace(CASE o_orderkey % 4 WHEN 0 THEN '-' || o_totalprice::DECIMAL(18, 2) WHEN 1 THEN '$ ' || o_totalprice::DECIMAL(18, 2) WHEN 2 THEN 'abc' END, '[^0-9.]', '', 'g') AS k FROM orders)")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from millwright.operators import evaluate, refine, score, summary
 from millwright.plans.oracle import sql
 from millwright.plans.registry import query
-from millwright.sources import tables
+from millwright.sources import sinks, tables
 from millwright.sources.sinks import stage
 from millwright.sources.tables import raw_triples, table
 
@@ -50,6 +50,12 @@ def a11(spark, d):
     return refine.formatted(raw_triples(spark, d)).groupBy("message").agg(F.count("*").alias("n"), F.min(F.concat_ws("|", "head", "tail")).alias("example"))
 
 
+@query("a11_instances", sql("SELECT message, head, head_type, relation, tail, tail_type, count(*) AS n FROM formatted WHERE message <> 'valid' GROUP BY ALL", "formatted"))
+def a11b(spark, d):
+    """Each triple that fails, with its message and how often it does."""
+    return refine.formatted(raw_triples(spark, d)).filter("message <> 'valid'").groupBy("message", "head", "head_type", "relation", "tail", "tail_type").agg(F.count("*").alias("n"))
+
+
 @query("a12_normalisation_ops", sql("SELECT op, count(*) AS n FROM (SELECT unnest(list_concat(head_ops, tail_ops)) AS op FROM normalised) GROUP BY 1", "triples"))
 def a12(spark, d):
     valid = refine.formatted(raw_triples(spark, d)).filter("message = 'valid'")
@@ -64,6 +70,13 @@ def a13(spark, d):
     return summary.type_counts(triples(spark, d))
 
 
+@query("a13_enriched", sql("SELECT count(*) FILTER (contains(head_type, '/') OR contains(tail_type, '/')) AS enriched_triples, count(*) AS n FROM normalised", "triples"))
+def a13b(spark, d):
+    """Counted before the second validation."""
+    valid = refine.formatted(raw_triples(spark, d)).filter("message = 'valid'")
+    return summary.enriched(refine.normalised(valid, gazetteer(spark)))
+
+
 @query("a14_typing_reduction", sql(f"SELECT root, round_even(100.0::DOUBLE * typed / nullif(typed + plain, 0), 0)::DOUBLE AS percent FROM (SELECT root, count(*) FILTER (lower(split_part(type, '/', 1)) = lower(root)) AS typed, count(*) FILTER (type = root) AS plain FROM ({_TYPES}), (VALUES ('Object'), ('Activity'), ('Process'), ('Property'), ('State')) AS v(root) GROUP BY root)", "triples"))
 def a14(spark, d):
     return summary.typing_report(triples(spark, d))
@@ -91,9 +104,24 @@ def a18(spark, d):
     return score.thresholds(stage(score.scored(triples(spark, d)))).select(*(F.round(c, 9).alias(c) for c in ("median", "lower", "upper")))
 
 
+_SUPPLIERS = "SELECT round(u1 + u2 + u3 + u4 + u5 + u6, 9) AS pmi FROM (SELECT " + ", ".join(f"(((s_suppkey + {k} * 7919) * 2654435761) % 4294967296)::DOUBLE / 4294967296 AS u{k}" for k in range(1, 7)) + " FROM supplier)"
+
+
+@query("a18_thresholds_of_normal_scores", f"SELECT round(median(pmi), 9) AS median, round(median(pmi) - 2 * stddev_pop(pmi), 9) AS lower, round(median(pmi) + 2 * stddev_pop(pmi), 9) AS upper FROM ({_SUPPLIERS})")
+def a18b(spark, d):
+    """Scores that look normal get bounds by deviations."""
+    u = [(((F.col("s_suppkey") + k * 7919) * F.lit(2654435761)) % F.lit(1 << 32)).cast("double") / F.lit(float(1 << 32)) for k in range(1, 7)]
+    pmi = F.round(u[0] + u[1] + u[2] + u[3] + u[4] + u[5], 9)
+    stats = table(spark, d, "supplier").select(pmi.alias("pmi")).groupBy("pmi").agg(F.count("*").alias("frequency"))
+    return score.thresholds(stats).select(*(F.round(c, 9).alias(c) for c in ("median", "lower", "upper")))
+
+
 def surviving(spark: SparkSession, d: str) -> DataFrame:
-    """Refined triples are read by counts, thresholds and the final join, so they are a written stage, as is the far smaller table of scores."""
-    t = stage(triples(spark, d))
+    return surviving_of(stage(triples(spark, d)))
+
+
+def surviving_of(t: DataFrame) -> DataFrame:
+    """Of refined triples, which counts, thresholds and the final join read, so they are a written stage, as is the far smaller table of scores."""
     stats = stage(score.scored(t))
     return score.without_rare_outliers(t, stats, score.thresholds(stats))
 
@@ -116,6 +144,15 @@ def a26(spark, d):
     return summary.histogram(score.scored(triples(spark, d)), "pmi", "frequency", 0.0, 15.0, 10)
 
 
+_KDE = "WITH o AS (SELECT count(*)::DOUBLE AS n, min(pmi) AS lo, max(pmi) AS hi, stddev_samp(pmi) * count(*) ** -0.2::DOUBLE AS h FROM occurrences), g AS (SELECT lo + (hi - lo) * k / 49 AS x, h, n FROM o, range(50) AS r(k)) SELECT round(x, 6) AS x, round(sum(exp(-0.5::DOUBLE * ((x - pmi) / h) ** 2) / (h * sqrt(2 * pi()))) / first(n), 6) AS density FROM g, occurrences GROUP BY g.x"
+
+
+@query("a26_density", sql(f"SELECT * FROM ({_KDE.replace('WITH o AS', 'WITH o AS', 1)})", "stats"))
+def a26b(spark, d):
+    """A kernel estimate of the scores' density at 50 places."""
+    return summary.density(score.scored(triples(spark, d)), "pmi", "frequency").select(F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))
+
+
 @query("k09_box_data", sql("SELECT round(min(pmi), 9) AS low, round(quantile_cont(pmi, 0.25), 9) AS q1, round(median(pmi), 9) AS median, round(quantile_cont(pmi, 0.75), 9) AS q3, round(max(pmi), 9) AS high FROM occurrences", "stats"))
 def k09(spark, d):
     q = F.percentile("pmi", [0.0, 0.25, 0.5, 0.75, 1.0], F.col("frequency"))
@@ -131,29 +168,42 @@ def a08(spark, d):
     return summary.triple_analysis(table(spark, d, "orders").select(F.col("o_orderkey").alias("record_id")), triples(spark, d))
 
 
+_DETAILS = "SELECT 'entity_type' AS kind, type AS item, count(*) AS n FROM (SELECT unnest([head_type, tail_type]) AS type FROM triples) GROUP BY ALL UNION ALL SELECT 'relation', relation, count(*) FROM triples GROUP BY ALL UNION ALL SELECT 'pattern', head_type || '|' || relation || '|' || tail_type, count(*) FROM triples GROUP BY ALL UNION ALL SELECT 'unique_mentions', '', count(*) FROM (SELECT head, head_type FROM triples UNION SELECT tail, tail_type FROM triples)"
+
+
+@query("a08_details", sql(_DETAILS, "triples"))
+def a08c(spark, d):
+    return summary.triple_details(triples(spark, d))
+
+
+@query("a08_top_details", sql(f"SELECT kind, item, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, item) AS k FROM ({_DETAILS})) WHERE k <= 5", "triples"))
+def a08d(spark, d):
+    """The five most frequent of each kind."""
+    return summary.triple_details(triples(spark, d), top=5)
+
+
 @query("a08_patterns", sql("SELECT head_type, relation, tail_type, count(*) AS n FROM triples GROUP BY ALL", "triples"))
 def a08b(spark, d):
     return triples(spark, d).groupBy("head_type", "relation", "tail_type").agg(F.count("*").alias("n"))
 
 
-@query("a09_generic_analysis", "SELECT count(*) AS total, count(DISTINCT w) AS n_unique, count(*) / (SELECT count(*) FROM conversations)::DOUBLE AS mean FROM (SELECT unnest(list_filter(string_split_regex(text, '[ \\n]+'), lambda x: x <> '')) AS w FROM conversations)")
+@query("a09_generic_analysis", "WITH c AS (SELECT list_filter(string_split_regex(text, '[ \\n]+'), lambda x: x <> '') AS w FROM conversations) SELECT (SELECT count(*) FROM (SELECT unnest(w) FROM c)) AS total, (SELECT count(DISTINCT x) FROM (SELECT unnest(w) AS x FROM c)) AS n_unique, avg(len(w)) AS mean, min(len(w)) AS low, max(len(w)) AS high FROM c")
 def a09(spark, d):
     df = table(spark, d, "conversations").select(F.filter(F.split("text", "[ \\n]+"), lambda w: w != "").alias("items"))
     return summary.item_analysis(df, "items")
 
 
+@query("a09_top_items", "SELECT word, count(*) AS n FROM (SELECT unnest(list_filter(string_split_regex(text, '[ \\n]+'), lambda x: x <> '')) AS word FROM conversations) GROUP BY 1 ORDER BY n DESC, word LIMIT 5")
+def a09b(spark, d):
+    words = table(spark, d, "conversations").select(F.explode(F.filter(F.split("text", "[ \\n]+"), lambda w: w != "")).alias("word"))
+    return summary.top_n(words, "word", 5)
+
+
 @query("a10_o04_top_n", sql("SELECT head, n FROM (SELECT head, count(*) AS n FROM triples GROUP BY 1) ORDER BY n DESC, head LIMIT 5", "triples"))
 def a10(spark, d):
     return summary.top_n(triples(spark, d), "head", 5)
 
 
-@query("a07_coverage", sql("SELECT count(*) FILTER (c = 0) AS none, count(*) FILTER (c = 1) AS one, count(*) AS n FROM (" + _DOC + ")", "triples"))
-def a07(spark, d):
-    records = table(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"))
-    c = summary.per_record(records, triples(spark, d))
-    return c.agg(F.count_if(F.col("c") == 0).alias("none"), F.count_if(F.col("c") == 1).alias("one"), F.count("*").alias("n"))
-
-
 _PAIRS = "SELECT l_orderkey AS item, p_brand AS head, p_type AS head_type, l_returnflag AS relation, l_linestatus AS tail, p_size::VARCHAR AS tail_type, l_linenumber AS pos, l_quantity > 25 AS label FROM lineitem JOIN part ON l_partkey = p_partkey"
 
 
@@ -169,6 +219,41 @@ def a20(spark, d):
     return evaluate.relation_matches(x.filter("label").select(*keys).distinct(), x.filter("not label").select(*keys, "pos").distinct())
 
 
+_LABELLED = f"""x AS ({_PAIRS}),
+rl AS (SELECT DISTINCT item, head, relation, tail, head_type, tail_type FROM x WHERE label), rp AS (SELECT DISTINCT item, head, relation, tail, head_type, tail_type, pos FROM x WHERE NOT label),
+rf AS (SELECT rl.*, p.pos, p.head_type = rl.head_type AND p.tail_type = rl.tail_type AS strict FROM rl LEFT JOIN rp AS p USING (item, head, relation, tail)),
+rr AS (SELECT item, head || '|' || relation || '|' || tail || '|' || head_type || '|' || tail_type AS what, count(*) FILTER (pos IS NOT NULL AND (f IS NULL OR pos <= f)) AS loose, count(*) FILTER (strict AND pos = f) AS strict FROM (SELECT *, min(pos) FILTER (strict) OVER (PARTITION BY item, head, relation, tail, head_type, tail_type) AS f FROM rf) GROUP BY ALL),
+el AS (SELECT DISTINCT item, head AS name, head_type AS type FROM x WHERE label), ep AS (SELECT DISTINCT item, head AS name, head_type AS type, pos FROM x WHERE NOT label),
+ef AS (SELECT el.*, p.pos, p.type = el.type AS strict FROM el LEFT JOIN ep AS p USING (item, name)),
+er AS (SELECT item, name || '|' || type AS what, count(*) FILTER (pos IS NOT NULL AND (f IS NULL OR pos <= f)) AS loose, count(*) FILTER (strict AND pos = f) AS strict FROM (SELECT *, min(pos) FILTER (strict) OVER (PARTITION BY item, name, type) AS f FROM ef) GROUP BY ALL),
+nb AS (SELECT item, head, count(*) FILTER (label) AS l, count(*) FILTER (NOT label) AS p FROM x GROUP BY ALL)"""
+
+
+def _labelled(spark, d) -> tuple[dict, dict]:
+    x = _pairs(spark, d)
+    relation = ["item", "head", "relation", "tail", "head_type", "tail_type"]
+    entity = ["item", F.col("head").alias("name"), F.col("head_type").alias("type")]
+    of = lambda df, *pos: {"relations": df.select(*relation, *pos).distinct(), "entities": df.select(*entity, *pos).distinct(), "norms": df.select("item", "head")}
+    return of(x.filter("label")), of(x.filter("not label"), "pos")
+
+
+@query("a20_u05_report", f"WITH {_LABELLED}, m AS (SELECT 'loose_relation' AS metric, sum(loose) AS correct, count(*) AS total FROM rr UNION ALL SELECT 'strict_relation', sum(strict), count(*) FROM rr UNION ALL SELECT 'loose_entity', sum(loose), count(*) FROM er UNION ALL SELECT 'strict_entity', sum(strict), count(*) FROM er UNION ALL SELECT 'normalisation', sum(least(l, p)), sum(l) FROM nb) SELECT metric, correct::BIGINT AS correct, total::BIGINT AS total, correct::DOUBLE / nullif(total, 0) AS score FROM m")
+def a20b(spark, d):
+    return evaluate.report(*_labelled(spark, d), ["item", "head"])
+
+
+@query("k11_report_file", f"WITH {_LABELLED} SELECT 'strict_entity' AS metric, sum(strict)::BIGINT AS correct, count(*) AS total FROM er")
+def k11(spark, d):
+    """The report written as JSON, and one of its lines read back."""
+    path = sinks.write_json(evaluate.report(*_labelled(spark, d), ["item", "head"]))
+    return spark.read.schema("metric string, correct long, total long").json(path).filter("metric = 'strict_entity'")
+
+
+@query("a20_incorrect", f"WITH {_LABELLED} SELECT item, 'loose_relation' AS kind, what FROM rr WHERE loose = 0 UNION ALL SELECT item, 'strict_relation', what FROM rr WHERE strict = 0 UNION ALL SELECT item, 'loose_entity', what FROM er WHERE loose = 0 UNION ALL SELECT item, 'strict_entity', what FROM er WHERE strict = 0 UNION ALL SELECT item, 'norm', head FROM nb WHERE p > l")
+def a20c(spark, d):
+    return evaluate.incorrect(*_labelled(spark, d), ["item", "head"])
+
+
 @query("a21_norm_overlap", f"WITH x AS ({_PAIRS}), l AS (SELECT item, head, count(*) AS n FROM x WHERE label GROUP BY ALL), p AS (SELECT item, head, count(*) AS k FROM x WHERE NOT label GROUP BY ALL) SELECT sum(least(coalesce(n, 0), coalesce(k, 0)))::BIGINT AS correct, sum(coalesce(n, 0))::BIGINT AS total, sum(greatest(coalesce(k, 0) - coalesce(n, 0), 0))::BIGINT AS wrong FROM l FULL JOIN p USING (item, head)")
 def a21(spark, d):
     x = _pairs(spark, d)

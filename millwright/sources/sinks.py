@@ -7,11 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a report at most.
+MOST_REPORTED = 1000
+
 
 def new_path(spark: SparkSession) -> str:
     """Below the folder that the executors share; on one machine without such a setting, below a temporary one. It goes when the application ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="millwright-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -33,10 +38,12 @@ def write_json(df: DataFrame, path: str | None = None) -> str:
 
 
 def report(df: DataFrame) -> str:
-    """A summary of a few rows as JSON text with sorted keys."""
+    """A summary as JSON text with sorted keys, for the driver: more rows than a summary has (MOST_REPORTED) raise, none are left out."""
     import json
 
-    rows = [json.loads(x) for x in df.toJSON().take(1000)]
+    rows = [json.loads(x) for x in df.toJSON().take(MOST_REPORTED + 1)]
+    if len(rows) > MOST_REPORTED:
+        raise ValueError(f"more than {MOST_REPORTED} rows are no summary; write them with write_json")
     return json.dumps(rows[0] if len(rows) == 1 else rows, indent=2, sort_keys=True)
 
 
@@ -56,3 +63,11 @@ def stage(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str, below: str) -> bool:
+    """Deletes an output folder. It must lie below ``below``, so that a wrong path deletes nothing else; false if there was none."""
+    if not path.startswith(below.rstrip("/") + "/") or ".." in path.split("/"):
+        raise ValueError(f"{path} does not lie below {below}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True))

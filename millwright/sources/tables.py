@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, such as one small file, is dealt out for the costly steps that follow; a larger one stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def missing_to_null(df: DataFrame) -> DataFrame:
     """String columns with the tokens of a missing value as nulls."""
     return df.withColumns({f.name: F.when(~F.col(f.name).isin(*NULL_TOKENS), F.col(f.name)) for f in df.schema if isinstance(f.dataType, T.StringType)})
@@ -68,7 +74,8 @@ def work_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples as an extraction model would give them, some of them faulty: all rows of a line item come from one pass."""
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag"))
+    lines = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     n, flag, quantity = F.col("l_linenumber"), F.col("l_returnflag"), F.col("l_quantity")
     component, adjective = F.element_at(F.split("p_name", " "), -1), F.element_at(F.split("p_name", " "), 1)
     pick = lambda names: F.element_at(F.array(*map(F.lit, names)), n % len(names) + 1)
@@ -91,5 +98,5 @@ def raw_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(quantity <= 1, t(component, "<object>", F.col("p_brand"), "<object>", "has participant")),
         F.when(quantity == 10, t(component, "<object>", state, "<state>", "has patient")),
     ]
-    exploded = lines.select(F.col("l_orderkey").alias("record_id"), F.explode(F.array_compact(F.array(*found))).alias("t"))
+    exploded = lines.select(F.col("l_orderkey").alias("record_id"), F.explode(F.array(*found)).alias("t")).filter("t is not null")
     return exploded.select("record_id", "t.*")
