@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from millwright.sources.sinks import new_path
+
 
 def folder(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset, as in tests on one machine, below a temporary folder.
+    """A new path below ``spark.checkpoint.dir``; where that is unset, below a temporary folder if the session runs on this machine alone, else an error.
 
     What is written there goes when the application ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="millwright-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/millwright-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+    return new_path(spark)
 
 
 def saved(df: DataFrame, *partition_by: str) -> DataFrame:
