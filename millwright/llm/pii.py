@@ -31,17 +31,17 @@ ORDER = {k: i for i, k in enumerate(KINDS)}
 
 #: Score of a confirmed match before context, by kind.
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.85, "phone": 0.75, "iban": 0.9, "id": 0.3}
-#: Words that raise a kind's score when they stand within WINDOW characters before or after a span.
+#: Words that raise a kind's score when they stand within WINDOW characters before or after a span, in English, German, French and Spanish.
 CONTEXT = {
-    "email": ("mail", "email", "contact", "write", "address"),
-    "ip": ("ip", "address", "server", "host", "login"),
-    "card": ("card", "visa", "mastercard", "amex", "credit", "debit", "payment", "cvv"),
-    "phone": ("phone", "tel", "call", "mobile", "fax", "cell", "whatsapp"),
-    "iban": ("iban", "bank", "account", "transfer", "bic", "swift"),
-    "id": ("ssn", "social", "passport", "licence", "license", "tax", "identity", "insurance"),
+    "email": "mail email contact write address kontakt schreiben adresse courriel écrire correo escribir dirección contacto".split(),
+    "ip": "ip address server host login adresse rechner anmeldung serveur hôte connexion servidor dirección acceso".split(),
+    "card": "card visa mastercard amex credit debit payment cvv karte kreditkarte zahlung carte crédit paiement tarjeta crédito pago".split(),
+    "phone": "phone tel call mobile fax cell whatsapp telefon anrufen handy mobil téléphone appeler portable teléfono llamar móvil".split(),
+    "iban": "iban bank account transfer bic swift konto überweisung banque compte virement banco cuenta transferencia".split(),
+    "id": "ssn social passport licence license tax identity insurance pass ausweis steuer versicherung passeport permis impôt identité assurance pasaporte licencia impuesto identidad seguro".split(),
 }
 #: Words that lower any numeric kind's score.
-AGAINST = ("version", "section", "isbn", "example", "release")
+AGAINST = "version section isbn example release abschnitt beispiel exemple versión sección ejemplo".split()
 WINDOW, RAISE, LOWER, THRESHOLD = 40, 0.3, 0.25, 0.5
 
 _LOCAL_BACK = regex.compile(r"(?r)[A-Za-z0-9._%+-]+")
@@ -52,7 +52,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 class Span(NamedTuple):
@@ -183,8 +183,9 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The result of ``op1_pii``: counts of the base kinds, the digest of their spans, and all spans."""
-    schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("top_score", pa.float64())])
+    """The result of ``op1_pii``: counts of the base kinds, the digest of their spans, and all spans; then counts of the other kinds and the spans' scores."""
+    more = [k for k in KINDS if k not in BASE_KINDS]
+    schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE_KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), *((f"n_{k}", pa.int64()) for k in more), ("scores", pa.string()), ("top_score", pa.float64())])
 
     def each(batches):
         out = Batcher(schema)
@@ -193,8 +194,9 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             kinds = [x.kind for x in found]
             base = told(x for x in found if x.kind in BASE_KINDS)
             sha = hashlib.sha256(base.encode()).hexdigest()
-            if out.add((i, *map(kinds.count, KINDS), sha, told(found), max((x.score for x in found), default=0.0))):
+            scores = ",".join(f"{x.score:g}" for x in found)
+            if out.add((i, *map(kinds.count, BASE_KINDS), sha, told(found), *map(kinds.count, more), scores, max((x.score for x in found), default=0.0))):
                 yield out.take()
         yield out.take()
 
-    return narrow(docs, id_col, text_col).mapInArrow(each, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, top_score double")
+    return narrow(docs, id_col, text_col).mapInArrow(each, "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE_KINDS) + ", base_sha256 string, spans string, " + ", ".join(f"n_{k} long" for k in more) + ", scores string, top_score double")
