@@ -1,29 +1,28 @@
 """Secret scanning with a trigram index and built-in functions only.
 
 From each rule's pattern a Boolean trigram query is derived: which sets of three-character strings must a text that matches hold.
-Postings (trigram, document) are made for the trigrams that the queries name, intersected by grouping them by document, and give each
+An index by trigram, written as a table, has the postings of the trigrams that the queries name. The postings of each alternative of a query are intersected and give each
 document the rules that it can match. Only those patterns run over it. Rules from whose patterns no trigram follows scan every text.
 
 Positions come from the pieces between matches: ``split`` gives the pieces, ``regexp_extract_all`` the matches, and a running sum of
 their lengths the spans. Sums are taken in blocks, so a text with very many matches costs little more than in proportion.
 
-Edge cases: a null text counts as empty; repeated rows, also those with equal ids and other texts, are judged row by row, since postings
-of equal ids only add candidates, which the patterns then verify; null ids are joined as equal; other columns are ignored.
+Edge cases: a null text counts as empty; an empty table gives an empty one; postings are kept by id and text, so rows with equal ids and other texts are judged row by row, and repeated rows get
+equal results, one for each; null ids are joined as equal; spans of one rule never overlap, and of equal starts the kinds' order decides; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re._constants as ops
 import re._parser as parser
-from functools import reduce
 from itertools import product
-from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwright.llm.common import narrow
+from millwright.llm.scratch import saved
 
 
 class Rule(NamedTuple):
@@ -53,6 +52,8 @@ RULES = (*BASE_RULES, *MORE_RULES)
 
 #: Sets of strings with more members than this are cut when a trigram query is derived.
 MOST_STRINGS = 64
+#: Trigrams of an alternative that are asked for; the patterns themselves decide in any case.
+MOST_TRIGRAMS = 62
 #: Entries of a running sum that are handled together.
 BLOCK = 512
 
@@ -127,17 +128,28 @@ def trigram_query(pattern: str) -> Query | None:
     return _walk(parser.parse(pattern))[1]
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """``doc_id, rules``: for documents that hold the trigrams of some rule, the rules to verify there."""
-    queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
-    terms = sorted({t for q in queries.values() for alternative in q for t in alternative})
-    folded = docs.select("doc_id", F.lower("text").alias("folded"))
+#: A row's key for the joins of its own results: rows that share it are equal, and so are their results; null ids are spread by their texts.
+KEY = ("doc_id", "text_hash")
+
+
+def postings(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """``trigram, doc_id, text_hash``: the index of the trigrams that the queries name, over ``docs`` with ``text``."""
     present = F.filter(F.array(*(F.when(F.contains("folded", F.lit(t)), F.lit(t)) for t in terms)), lambda t: t.isNotNull())
-    postings = folded.select("doc_id", F.explode(present).alias("trigram"))
-    held = postings.groupBy("doc_id").agg(F.collect_set("trigram").alias("held"))
-    whole = lambda alternative: F.size(F.array_intersect("held", F.array(*map(F.lit, sorted(alternative))))) == len(alternative)
-    met = [F.when(reduce(or_, map(whole, q)), F.lit(kind)) for kind, q in queries.items()]
-    return held.select("doc_id", F.filter(F.array(*met), lambda k: k.isNotNull()).alias("rules")).filter(F.size("rules") > 0)
+    return docs.select(*KEY, F.lower("text").alias("folded")).select(*KEY, F.explode(present).alias("trigram")).select("trigram", *KEY)
+
+
+def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``doc_id, text_hash, rules``: for documents that hold the trigrams of some rule, the rules to verify there.
+
+    The postings of each alternative of a rule's query are intersected: a document is in the intersection if each of them holds it, which a bit for each says.
+    """
+    alternatives = [(r.kind, k, sorted(x)) for r in rules for k, x in enumerate(sorted(trigram_query(r.pattern) or (), key=sorted))]
+    asked = [(kind, k, t, 1 << bit, (1 << min(len(x), MOST_TRIGRAMS)) - 1) for kind, k, x in alternatives for bit, t in enumerate(x[:MOST_TRIGRAMS])]
+    queries = docs.sparkSession.createDataFrame(asked, "kind string, alternative int, trigram string, bit long, needed long")
+    index = saved(postings(docs, sorted({row[2] for row in asked})))
+    both = index.join(F.broadcast(queries), "trigram")  # a row for each trigram of the rules' patterns, whatever the table's size
+    met = both.groupBy(*KEY, "kind", "alternative", "needed").agg(F.bit_or("bit").alias("held")).filter("held = needed")
+    return saved(met.groupBy(*KEY).agg(F.sort_array(F.collect_set("kind")).alias("rules")))
 
 
 _SPANS = "array<struct<start:int,end:int>>"
@@ -166,14 +178,23 @@ def spans(text: Column, rule: Rule) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and, for each rule, ``in_<kind>``: its spans. One row for each row of ``docs``."""
-    texts = narrow(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    to_verify = candidates(texts, rules).withColumnRenamed("doc_id", "candidate_id")
-    joined = texts.join(to_verify, texts.doc_id.eqNullSafe(to_verify.candidate_id), "left")
-    indexed = {r.kind for r in rules if trigram_query(r.pattern) is not None}
-    none = F.array().cast(_SPANS)
-    found = [(F.when(F.array_contains("rules", r.kind), spans(F.col("text"), r)).otherwise(none) if r.kind in indexed else spans(F.col("text"), r)).alias(f"in_{r.kind}") for r in rules]
-    return joined.select("doc_id", *found)
+    """``doc_id`` and, for each rule, ``in_<kind>``: its spans. One row for each row of ``docs``.
+
+    Rules with a trigram query run over candidates alone, which are joined with the texts by their measured size; the others run over all texts where they are. Only
+    spans are joined with each other, so texts are not shuffled unless there are very many candidates.
+    """
+    texts = narrow(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("text_hash", F.xxhash64("text"))
+    indexed = [r for r in rules if trigram_query(r.pattern) is not None]
+    found = texts.select(*KEY, *(spans(F.col("text"), r).alias(f"in_{r.kind}") for r in rules if r not in indexed))
+    if indexed:
+        same = lambda other: F.col("doc_id").eqNullSafe(other["c_id"]) & (F.col("text_hash") == other["c_hash"])
+        renamed = lambda df: df.withColumnsRenamed({"doc_id": "c_id", "text_hash": "c_hash"})
+        to_verify = renamed(candidates(texts, tuple(indexed)))
+        none = F.array().cast(_SPANS)
+        verified = texts.join(to_verify, same(to_verify)).select(*KEY, *(F.when(F.array_contains("rules", r.kind), spans(F.col("text"), r)).otherwise(none).alias(f"in_{r.kind}") for r in indexed))
+        verified = renamed(saved(verified.dropDuplicates(KEY)))
+        found = found.join(verified, same(verified), "left").select("doc_id", *(f"in_{r.kind}" if r not in indexed else F.coalesce(f"in_{r.kind}", none).alias(f"in_{r.kind}") for r in rules))
+    return found.select("doc_id", *(f"in_{r.kind}" for r in rules))
 
 
 def told(kinds: list[str]) -> Column:
