@@ -5,12 +5,11 @@ them, that significantly more toxic training documents hold than others. A chain
 weigh a word, its beginnings and its two neighbours, transitions weigh tag pairs. Forward-backward marginals give each word's probability of being toxic; the largest one and the number above one half
 make up a document's evidence, which a logistic function, weighted to the labels' true rate, turns into the score.
 
-Training uses at most ``MOST_TOXIC`` and ``MOST_OTHER`` labelled documents, those with the smallest hashes of their ids, outside the held-out fold.
-Scoring covers every word of every text. Marginals are computed within ``REACH`` words of those that speak for
-toxicity, beyond which a chain with contracting transitions forgets them; other words keep the marginal of a text without any.
+Training uses at most ``MOST_TOXIC`` and ``MOST_OTHER`` labelled documents of ``MOST_CHARS`` characters at most, those with the smallest hashes of their ids, outside the held-out fold,
+and of their segments without toxic words at most ``MOST_SEGMENTS``, evenly spread. Scoring covers every word of every text, and marginals are those of the whole text.
 
-Edge cases: null and empty texts have the score of a text without toxic words; without labels of both classes every score is the
-labels' mean (0 without any); repeated rows get equal results; ids may repeat or be null (null: held_out is false); columns besides
+Edge cases: null and empty texts have the score of a text without toxic words; very long texts take time in proportion; without labels of both classes every score is the
+labels' mean (0 without any); repeated rows get equal results; an empty table gives an empty one; ids may repeat or be null (null: held_out is false); columns besides
 id, text and label are ignored.
 """
 
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from millwright.llm.common import Batcher, narrow, rows
 
 FOLDS, HELD_OUT = 4, 2
-MOST_TOXIC, MOST_OTHER = 800, 1600
+MOST_TOXIC, MOST_OTHER, MOST_CHARS = 800, 1600, 100_000
 #: A toxic feature is in this many times the share of the other documents, by at least this log-likelihood ratio.
 LEAST_RATIO, LEAST_EVIDENCE = 8.0, 25.0
 #: A training document is left out if earlier ones of its class have more than this share of its word triples.
@@ -39,7 +38,8 @@ BEGINNINGS = (4, 5, 6)
 #: Words of a training segment; segments without toxic words that are trained on at most.
 SEGMENT, MOST_SEGMENTS = 32, 12_000
 ROUNDS, RATE, L2 = 50, 1.0, 1e-4
-REACH = 32
+#: A pass has settled when it is this near, relatively, to where it stays.
+SETTLED = 1e-14
 THRESHOLD = 0.3
 #: Smaller weights are dropped.
 LEAST_WEIGHT = 0.5
@@ -49,7 +49,8 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """In lower case; cut before that, since lower-casing may change the number of characters."""
+    return [w.lower() for w in _WORD.findall(text)]
 
 
 def features(word: str) -> list[str]:
@@ -192,17 +193,19 @@ def _logistic(x: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[flo
 
 
 class Weights(dict):
-    """The weight of each word by its features, computed when first asked for."""
+    """What each word adds to its own log odds and to those of the words after and before it, computed when first asked for; None: nothing."""
 
-    def __init__(self, own: dict[str, float]):
+    def __init__(self, chain: Chain):
         super().__init__()
-        self.own = own
+        self.chain = chain
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, word: str) -> tuple[float, float, float] | None:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        self[word] = weight = sum(self.own.get(f, 0.0) for f in features(word))
-        return weight
+        w = word.lower()
+        found = sum(self.chain.own.get(f, 0.0) for f in features(w)), self.chain.before.get(w, 0.0), self.chain.after.get(w, 0.0)
+        self[word] = found = found if any(found) else None
+        return found
 
 
 class Scorer:
@@ -212,12 +215,19 @@ class Scorer:
         self.c = chain
         self.m = [[math.exp(x) for x in row] for row in chain.pairs]
         self.x0 = math.exp(chain.bias)
-        self.own = Weights(chain.own)
-        f = b = self.x0
-        for _ in range(200):
-            f, b = self._next(f) * self.x0, self._back(b * self.x0)
-        self.f, self.b = f, b  # ratios far from any weighted word
-        self.rest = f * b / (1 + f * b)
+        self.weights = Weights(chain)
+        self.f, self.b = self._fixed(lambda r: self._next(r) * self.x0), self._fixed(lambda r: self._back(r * self.x0))
+        self.rest = self.f * self.b / (1 + self.f * self.b)
+
+    @staticmethod
+    def _fixed(step) -> float:
+        """Where a pass settles among words without weights."""
+        r = 1.0
+        for _ in range(100_000):
+            r, before = step(r), r
+            if abs(r - before) <= SETTLED * r:
+                break
+        return r
 
     def _next(self, r: float) -> float:
         (a, b), (c, d) = self.m
@@ -228,29 +238,43 @@ class Scorer:
         return (c + r * d) / (a + r * b)
 
     def marginals(self, tokens: list[str]) -> dict[int, float]:
-        """Of the words around weighted ones; all others have the marginal ``rest``."""
+        """Forward-backward over all words. Where both passes have settled, up to rounding, at the values that they have far from any weight, a
+        word's marginal is ``rest``, and it is left out."""
         n = len(tokens)
-        weight = list(map(self.own.__getitem__, tokens))
-        hot = [i for i, v in enumerate(weight) if v > 0.0]
-        out: dict[int, float] = {}
-        k = 0
-        while k < len(hot):
-            low = max(0, hot[k] - REACH)
-            while k + 1 < len(hot) and hot[k + 1] - hot[k] <= 2 * REACH:
-                k += 1
-            high = min(n, hot[k] + REACH + 1)
-            k += 1
-            before, after, bias = self.c.before, self.c.after, self.c.bias
-            x = [math.exp(min(30.0, bias + weight[i] + (before.get(tokens[i - 1], 0.0) if i else 0.0) + (after.get(tokens[i + 1], 0.0) if i + 1 < n else 0.0))) for i in range(low, high)]
-            f, r = [], (self.f if low else None)
-            for v in x:
-                r = v if r is None else self._next(r) * v
-                f.append(r)
-            r = 1.0 if high == n else self.b
-            for i in range(high - low - 1, -1, -1):
-                odds = f[i] * r
-                out[low + i] = odds / (1 + odds)
-                r = self._back(r * x[i])
+        more: dict[int, float] = {}
+        for i, found in [(i, found) for i, found in enumerate(map(self.weights.__getitem__, tokens)) if found]:
+            for at, v in zip((i, i + 1, i - 1), found, strict=True):
+                if v and 0 <= at < n:
+                    more[at] = more.get(at, 0.0) + v
+        x = {i: math.exp(min(30.0, self.c.bias + v)) for i, v in more.items()}
+        places = sorted(x)
+        (a, b), (c, d) = self.m
+        x0, settled, get = self.x0, self.f, x.get
+        forward: dict[int, float] = {}
+        i, k = 0, 0
+        while i < n:
+            r = (b + r * d) / (a + r * c) * get(i, x0) if i else get(0, x0)
+            forward[i] = r
+            i += 1
+            if abs(r - settled) <= SETTLED * settled:  # as it stays up to the next weighted word
+                while k < len(places) and places[k] < i:
+                    k += 1
+                i, r = places[k] if k < len(places) else n, settled
+        backward: dict[int, float] = {}
+        settled, i, k, r = self.b, n - 1, len(places) - 1, 1.0
+        while i >= 0:
+            backward[i] = r
+            r *= get(i, x0)
+            r = (c + r * d) / (a + r * b)
+            i -= 1
+            if abs(r - settled) <= SETTLED * settled:
+                while k >= 0 and places[k] > i:
+                    k -= 1
+                i, r = places[k] if k >= 0 else -1, settled
+        out = {}
+        for i in forward.keys() | backward.keys() if self.rest < 0.5 else range(n):
+            odds = forward.get(i, self.f) * backward.get(i, self.b)
+            out[i] = odds / (1 + odds)
         return out
 
     def evidence(self, tokens: list[str], p: dict[int, float] | None = None) -> tuple[float, float]:
@@ -261,15 +285,14 @@ class Scorer:
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int]]]:
         """The document's score, and the spans of its toxic words in code points."""
         text = text or ""
-        tokens = words(text)
+        tokens = _WORD.findall(text)
         p = self.marginals(tokens)
         c0, c1, c2 = self.c.evidence
         top, many = self.evidence(tokens, p)
         z = c0 + c1 * top + c2 * many
-        toxic = [i for i, v in sorted(p.items()) if v >= 0.5]
+        toxic = sorted(i for i, v in p.items() if v >= 0.5)
         places = [m.span() for m in _WORD.finditer(text)] if toxic else []
-        spans = [places[i] for i in toxic] if len(places) == len(tokens) else []
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), spans
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), [places[i] for i in toxic]
 
 
 def fold(id_: Column) -> Column:
@@ -284,7 +307,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Chain
         return positive / n if n else 0.0
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = [known.filter(F.col("label") == v).select("doc_id", "label").orderBy(*order).limit(most) for v, most in ((1, MOST_TOXIC), (0, MOST_OTHER))]
-    sample = narrow(docs, "doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("doc_id", "label", "text").collect()
+    texts = narrow(docs, "doc_id", "text").filter(F.coalesce(F.length("text"), F.lit(0)) <= MOST_CHARS)
+    sample = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text")).collect()
     sample.sort()
     return fit([r.text for r in sample if r.label], [r.text for r in sample if not r.label], positive / n)
 
