@@ -37,8 +37,14 @@ GROUP_CHARS = 1_000_000
 @functools.cache
 def _segments(pattern: str):
     """Cuts a text before white space that follows other characters, where no match of a pattern like the public one can
-    cross: its matches hold white space at their start or nothing else. White space is what the pattern's library takes for it.
+    cross: its matches hold white space at their start or nothing else. White space is what the pattern's library takes for it. A pattern
+    that takes white space after other characters, as some do with line ends after punctuation, is given the whole text.
     """
+    splits = regex.compile(pattern).findall
+    crossing = regex.compile(r"\S\s")
+    probes = (a + space + b for a in ("a", "A", "1", ".", "!!", "'s", "é", "語", "_") for space in (" ", "  ", "\n", "\r\n", "\n\n ", "\t", "\u3000") for b in ("", "b", "2", "?", "'s"))
+    if any(crossing.search(part) for probe in probes for part in splits(probe)):
+        return lambda text: [text] if text else []
     space = "".join(f"\\u{i:04x}" for i in range(0x10000) if regex.match(r"\s", chr(i)))
     return re.compile(f"[{space}]*[^{space}]+|[{space}]+").findall
 
@@ -193,10 +199,18 @@ def _mapped(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str
     return narrow(docs, id_col, text_col).mapInArrow(each, ddl)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``ids`` and ``n_tokens`` for each document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64())])
-    return _mapped(docs, path, pattern, id_col, text_col, schema, "doc_id long, ids array<int>, n_tokens long", lambda c, ids: (ids, len(ids)))
+def _sha256(b: bytes) -> str:
+    return hashlib.sha256(b).hexdigest()
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """``doc_id``, ``ids`` and ``n_tokens`` for each document. ``decoded``: and ``decoded_sha256``, of the bytes that the ids decode to."""
+    schema = [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64())]
+    ddl = "doc_id long, ids array<int>, n_tokens long"
+    if not decoded:
+        return _mapped(docs, path, pattern, id_col, text_col, pa.schema(schema), ddl, lambda c, ids: (ids, len(ids)))
+    schema, ddl = pa.schema([*schema, ("decoded_sha256", pa.string())]), f"{ddl}, decoded_sha256 string"
+    return _mapped(docs, path, pattern, id_col, text_col, schema, ddl, lambda c, ids: (ids, len(ids), _sha256(c.decode(ids))))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -216,6 +230,5 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 def digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The result of ``op6_byte_bpe``: number of tokens and digests of the ids and of the bytes they decode to."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    sha = lambda b: hashlib.sha256(b).hexdigest()
-    row = lambda c, ids: (len(ids), sha(c.told(ids).encode()), sha(c.decode(ids)))
+    row = lambda c, ids: (len(ids), _sha256(c.told(ids).encode()), _sha256(c.decode(ids)))
     return _mapped(docs, path, pattern, id_col, text_col, schema, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", row)
