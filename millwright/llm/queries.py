@@ -32,7 +32,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"), urls.rules_frame(spark, urls.RULES), [len(r.path) for r in urls.RULES])
+    return urls.judge(table(spark, sf_dir, "pages"), urls.rules_frame(spark, urls.RULES), [len(r.path) for r in urls.RULES], [r.host.count(".") + 1 for r in urls.RULES])
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
