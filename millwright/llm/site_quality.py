@@ -1,21 +1,23 @@
 """Quality by documents and their sites: hierarchical empirical Bayes.
 
 A logistic classifier over the measures of the quality rules gives each document a probability of being good. Sums of these per host and per
-path below it are shrunk: a path's mean towards its host's, a host's towards the global one, each by as many pseudo-documents as the method of
-moments finds between the sites. The score adds to the document's log odds what its path's posterior differs from the global
+path below it are shrunk: a path's mean towards its host's posterior, a host's towards the global mean, each by as many pseudo-documents as the method of
+moments finds: the variance of documents within a site over that of the true means of hosts, or of paths within hosts, so sites that differ no more than chance
+has it are shrunk altogether. A document's own probability is left out of its site's sums. The score adds to the document's log odds what its path's posterior differs from the global
 mean, times ``SITE_WEIGHT``, and is at most ``MOST_SHIFT`` away from it, so that a bad site does not reject clean documents.
 
 The classifier is fitted on at most ``MOST_LABELS`` labelled documents, those with the smallest hashes of their ids; sums cover all
 documents. They are grouped aggregates with partial sums, so a site that holds a third of all rows costs no more than others.
 
 Edge cases: null hosts and paths form a site of their own; null and empty texts are judged by their measures, which are zeros; without labels
-of both classes all documents get the labels' mean, or 1 without any; repeated rows count as documents; other columns are ignored.
+of both classes all documents get the labels' mean, or 1 without any; repeated rows count as documents; very long texts need nothing special; labels of one hash are chosen by their ids, and equal scores
+are judged alike; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from millwright.llm import quality
@@ -43,14 +45,26 @@ def fit(x: np.ndarray, label: np.ndarray) -> np.ndarray:
     return c
 
 
-def _pseudo(groups: DataFrame) -> float:
-    """Pseudo-documents for the shrinkage of group means, by moments: mean (1 - mean) over the variance between groups."""
-    mean = F.col("total") / F.col("n")
-    row = groups.agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.var_samp(mean).alias("v"), F.count("*").alias("g")).first()
-    if not row.n or row.g < 2 or not row.v:
+def _pseudo(rows: Row) -> float:
+    """Pseudo-documents for the shrinkage of groups' means, by the moments of a nested analysis of variance: the variance of documents in a
+    group over that between the groups' true means, which is what their means vary more than such documents' means would by chance.
+    ``rows``: n (documents), groups, parents, within (squares of documents about their group's mean), between (squares of groups' means about their
+    parent's, weighted by documents) and same (sum over the groups of their squared documents over their parent's)."""
+    if rows.n is None or rows.groups <= rows.parents or rows.n <= rows.groups:
         return PSEUDO[1]
-    m = row.total / row.n
-    return min(PSEUDO[1], max(PSEUDO[0], m * (1 - m) / row.v - 1))
+    chance = max(0.0, rows.within) / (rows.n - rows.groups)
+    true = (rows.between / (rows.groups - rows.parents) - chance) * (rows.groups - rows.parents) / (rows.n - rows.same)
+    return min(PSEUDO[1], max(PSEUDO[0], chance / true)) if true > 0 else PSEUDO[1]
+
+
+def _moments(groups: DataFrame) -> Row:
+    """The sums that ``_pseudo`` needs; ``groups``: parent, n, total, squares."""
+    parents = groups.groupBy("parent").agg(F.sum("n").alias("pn"), F.sum("total").alias("pt"))
+    n, pn, mean = F.col("n"), F.col("pn"), F.col("total") / F.col("n")
+    return groups.join(parents, "parent").agg(
+        F.sum(n).alias("n"), F.count("*").alias("groups"), F.countDistinct("parent").alias("parents"), F.sum(F.col("squares") - n * mean * mean).alias("within"),
+        F.sum(n * (mean - F.col("pt") / pn) ** 2).alias("between"), F.sum(n * n / pn).alias("same"),
+    ).first()
 
 
 def _logit(p: Column) -> Column:
@@ -74,14 +88,17 @@ def judge(docs: DataFrame, labels: DataFrame, host_col: str, path_col: str, id_c
         p = F.lit(float(y.mean()) if len(y) else 1.0)
     scored = measured.select("doc_id", "host", "path", p.alias("p"))
 
-    paths = saved(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("total")))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    paths = saved(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("total"), F.sum(F.col("p") * F.col("p")).alias("squares")))
+    hosts = saved(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares")))
     everything = hosts.agg(F.sum("total").alias("t"), F.sum("n").alias("n")).first()
     mean = everything.t / everything.n if everything.n else 0.5
-    k_host, k_path = _pseudo(hosts), _pseudo(paths)
-    hosts = hosts.select("host", ((k_host * mean + F.col("total")) / (k_host + F.col("n"))).alias("host_score"))
-    sites = paths.join(hosts, "host").select("host", "path", "host_score", ((k_path * F.col("host_score") + F.col("total")) / (k_path + F.col("n"))).alias("site_score"))
+    k_host, k_path = _pseudo(_moments(hosts.withColumn("parent", F.lit(0)))), _pseudo(_moments(paths.withColumn("parent", F.col("host"))))
+    sites = paths.join(hosts.select("host", F.col("n").alias("host_n"), F.col("total").alias("host_total")), "host").select("host", "path", "n", "total", "host_n", "host_total")
+    scored = scored.join(sites, ["host", "path"])
+    # A document is no evidence for itself: its site's posterior is that of the other documents.
+    scored = scored.withColumn("host_score", (k_host * mean + F.col("host_total") - F.col("p")) / (k_host + F.col("host_n") - 1))
+    scored = scored.withColumn("site_score", (k_path * F.col("host_score") + F.col("total") - F.col("p")) / (k_path + F.col("n") - 1))
     shift = SITE_WEIGHT * (_logit(F.col("site_score")) - _logit(F.lit(mean)))
     odds = _logit(F.col("p")) + F.greatest(F.lit(-MOST_SHIFT), F.least(F.lit(MOST_SHIFT), shift))
-    judged = scored.join(sites, ["host", "path"]).withColumn("score", 1 / (1 + F.exp(-odds)))
+    judged = scored.withColumn("score", 1 / (1 + F.exp(-odds)))
     return judged.select("doc_id", F.col("p").alias("doc_score"), "host_score", "site_score", "score", (F.col("score") >= LEAST_SCORE).alias("kept"))
