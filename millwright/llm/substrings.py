@@ -143,7 +143,7 @@ def repeated(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc
     place = F.struct("doc_id", "row", "start", "end")
     owners = found.groupBy("digest").agg(F.count("*").alias("n_copies"), F.min(place).alias("owner"), F.max(place).alias("last"))
     apart = lambda c: (F.col(f"{c}row") != F.col("owner.row")) | (F.col(f"{c}start") >= F.col("owner.end"))
-    owners = owners.filter(apart("last.")).drop("last")
+    owners = saved(owners.filter(apart("last.")).drop("last"))  # written: their join then reads both sides as they are, so that a digest with very many windows can be dealt to several tasks
     own = (F.col("owner.row") == F.col("row")) & (F.col("owner.start") == F.col("start"))
     known = found.join(owners, "digest").withColumn("removable", ~own).filter(~F.col("removable") | apart(""))
 
