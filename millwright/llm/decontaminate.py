@@ -1,22 +1,26 @@
 """Benchmark items inside documents: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
 Words are lower-cased (A-Z) and stripped of ASCII punctuation at their ends, and shingles of ``SHINGLE`` words are formed. A window is as long as an item; its SimHash is
-the sign of the sum of its shingles' random vectors. A fingerprint within ``RADIUS`` bits of another agrees with it in at least one of
-``RADIUS + 1`` blocks, so tables from a block's value to items, for items of the window's length, find all of them. Candidates are then verified by the weighted Jaccard similarity of
-their shingle counts, sum of minima over sum of maxima.
+the sign of the sum of its shingles' random vectors, ``BITS`` of them. Fingerprints within ``RADIUS`` bits of each other differ by ``FLIPS`` bits at most
+in one of their blocks, so for each block the items that have one of the values that near to the window's are looked up, which finds all of them. Candidates within the radius are then verified by
+the weighted Jaccard similarity of their shingle counts, sum of minima over sum of maxima.
 
-A window without any shingle of an item has similarity 0, so windows are only formed around shingles that some item has.
+The search is exact but for the radius: a window of similarity 0.8 has vectors at an angle of 27 degrees at most from its item's, if counts are even, so of 128
+bits 19.5 differ on average, and more than 31 in one case of 400. Only windows that can be similar are formed: shingles that items have are looked up, and a window needs as many of them as the
+similarity asks for, in a document that holds so many of one item of that length.
 
-Items are handled in blocks of ``ITEMS`` at most, each block broadcast by itself; documents are never shuffled.
+Items are handled in blocks of ``ITEMS`` and ``ITEM_BYTES`` at most, each block broadcast by itself; documents are never shuffled.
 
 Edge cases: null and empty texts and items match nothing; items of fewer words than a shingle have one shingle of all their words; items with equal
-words are all reported; repeated documents are reported row by row; other columns are ignored.
+words, also those of equal or null ids, are all reported; repeated documents are reported row by row; very long texts are searched as a whole; a tie between windows
+goes to the first; an empty table of documents or items gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +31,14 @@ from millwright.llm import fingerprints as fp
 from millwright.llm.common import Batcher, narrow, rows
 
 SHINGLE, LEAST = 5, 0.8
-#: Bits in which a window may differ from an item, of 64. At a similarity of 0.8 the angle of the count vectors is under 36 degrees.
-RADIUS = 20
-#: Items of a block: what is broadcast at once holds this many items at most.
-ITEMS = 20_000
+#: Bits of a fingerprint, and in how many of them a window may differ from an item.
+BITS, RADIUS = 128, 31
+#: Bits of a block, blocks, and in how many bits fingerprints within the radius differ at most in the block in which they are nearest.
+WIDTH = 16
+N_BLOCKS = BITS // WIDTH
+FLIPS = RADIUS // N_BLOCKS
+#: Items of a block, and bytes of their texts: what is broadcast at once holds no more.
+ITEMS, ITEM_BYTES = 20_000, 64 << 20
 #: Windows that are compared at once.
 WINDOWS = 500
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -60,43 +68,51 @@ _BITS = np.arange(64, dtype=np.uint64)
 
 
 def vectors(shingles: np.ndarray) -> np.ndarray:
-    """Each shingle's 64 bits as -1 and 1."""
-    return ((fp.mixed(shingles)[:, None] >> _BITS) & np.uint64(1)).astype(np.int32) * 2 - 1
+    """Each shingle's BITS bits as -1 and 1."""
+    words = [fp.mixed(shingles + np.uint64(k)) for k in range(BITS // 64)]
+    return np.concatenate([((w[:, None] >> _BITS) & np.uint64(1)).astype(np.int32) * 2 - 1 for w in words], axis=1)
 
 
 def simhash(total: np.ndarray) -> np.ndarray:
-    return ((total > 0).astype(np.uint64) << _BITS).sum(axis=-1, dtype=np.uint64)
+    """The fingerprints of sums of vectors: rows of N_BLOCKS numbers of WIDTH bits."""
+    return np.packbits(total > 0, axis=-1).view(np.uint16)
 
 
-#: First bits and widths of the RADIUS + 1 blocks, which differ by one bit at most.
-BLOCKS = [(64 * k // (RADIUS + 1), 64 * (k + 1) // (RADIUS + 1) - 64 * k // (RADIUS + 1)) for k in range(RADIUS + 1)]
-
-
-_FIRST = np.array([first for first, _ in BLOCKS], np.uint64)
-_MASK = np.array([(1 << width) - 1 for _, width in BLOCKS], np.uint64)
-
-
-def block_values(prints: np.ndarray) -> np.ndarray:
-    """The values of all blocks, one row for each fingerprint."""
-    return ((prints[:, None] >> _FIRST) & _MASK).astype(np.int64)
+#: All changes of a block's value by FLIPS bits or less.
+NEAR = np.array([sum(1 << k for k in bits) for n in range(FLIPS + 1) for bits in combinations(range(WIDTH), n)], np.uint16)
 
 
 class HammingIndex:
-    """Items whose windows are equally long: for each block a table from its value to the items that have it."""
+    """Items whose windows are equally long: for each block the items in the order of its value."""
 
-    def __init__(self, items: list[tuple[int, int]]):
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = np.array([at for at, _ in items])
-        self.prints = np.array([p for _, p in items], np.uint64)
-        self.tables = np.zeros((len(BLOCKS), int(_MASK.max()) + 1, len(items)), bool)
-        for item, values in enumerate(block_values(self.prints)):
-            self.tables[np.arange(len(BLOCKS)), values, item] = True
+        self.prints = np.array([p for _, p in items], np.uint16)
+        self.order = np.argsort(self.prints, axis=0, kind="stable")
+        self.values = np.take_along_axis(self.prints, self.order, axis=0)
+
+    def candidates(self, window: np.ndarray) -> np.ndarray:
+        """Positions of the items that differ from the window by FLIPS bits or less in some block."""
+        found = []
+        for k in range(N_BLOCKS):
+            asked = window[k] ^ NEAR
+            low, high = (np.searchsorted(self.values[:, k], asked, side) for side in ("left", "right"))
+            found += [self.order[a:b, k] for a, b in zip(low[low < high].tolist(), high[low < high].tolist(), strict=True)]
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
     def near(self, prints: np.ndarray) -> list[tuple[int, int]]:
-        """(window, item) within the radius: candidates that agree in some block, then their distances."""
-        met = self.tables[np.arange(len(BLOCKS)), block_values(prints)].any(axis=1)
-        window, item = np.nonzero(met)
-        close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
-        return list(zip(window[close].tolist(), self.items[item[close]].tolist(), strict=True))
+        """(window, item) within the radius."""
+        out = []
+        for window, p in enumerate(prints):
+            met = self.candidates(p)
+            close = met[np.bitwise_count(self.prints[met] ^ p).sum(axis=1) <= RADIUS]
+            out += [(window, at) for at in self.items[close].tolist()]
+        return out
+
+
+def least_common(n):
+    """The fewest common shingles of an item of n shingles and a window: those of a window that holds nothing else."""
+    return np.ceil(LEAST * n - 1e-9)
 
 
 class Items:
@@ -117,35 +133,50 @@ class Items:
                 self.whole[len(tokens)].append(at)
             self.counts[at] = Counter(s.tolist())
             if len(tokens) >= SHINGLE:
-                prints[len(s)].append((at, int(simhash(vectors(s).sum(axis=0)))))
-                known.append(s)
+                prints[len(s)].append((at, simhash(vectors(s).sum(axis=0))))
+                known.append((s, at))
         self.index = {n: HammingIndex(found) for n, found in prints.items()}
-        self.known = np.unique(np.concatenate(known)) if known else np.zeros(0, np.uint64)
+        shingles = np.concatenate([s for s, _ in known]) if known else np.zeros(0, np.uint64)
+        owners = np.concatenate([np.full(len(s), at) for s, at in known]) if known else np.zeros(0, np.int64)
+        pairs = np.unique(np.stack([shingles, owners.astype(np.uint64)]), axis=1)
+        self.known, self.first, self.owned = *np.unique(pairs[0], return_index=True), pairs[1].astype(np.int64)  # postings of each shingle: the items that have it
+        self.last = np.append(self.first[1:], len(self.owned))
+        self.length = np.zeros(len(items), np.int64)
+        for s, at in known:
+            self.length[at] = len(s)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.known >> np.uint64(44)).astype(np.int64)] = True
         self.short = {n: {next(iter(self.counts[a])) for a in found} for n, found in self.whole.items()}
 
-    def hits(self, s: np.ndarray) -> np.ndarray:
-        """Positions of shingles that some item has."""
+    def hits(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of shingles that some item has, and the places of their postings."""
         maybe = np.flatnonzero(self.filter[(s >> np.uint64(44)).astype(np.int64)])
-        if not len(maybe):
-            return maybe
+        if not len(maybe) or not len(self.known):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.known, s[maybe]), len(self.known) - 1)
-        return maybe[self.known[at] == s[maybe]]
+        met = self.known[at] == s[maybe]
+        return maybe[met], at[met]
+
+    def lengths(self, postings: np.ndarray) -> np.ndarray:
+        """The lengths of items of which a document has enough shingles, given the postings of those it has."""
+        places, times = np.unique(postings, return_counts=True)
+        size = self.last[places] - self.first[places]
+        runs = np.repeat(self.first[places] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+        held = np.bincount(self.owned[runs], weights=np.repeat(times, size), minlength=len(self.length))
+        return np.unique(self.length[(self.length > 0) & (held >= least_common(self.length))])
 
     def found(self, tokens: np.ndarray):
         """(item position, first word, number of words, similarity): the most similar window of each item."""
         best: dict[int, tuple[float, int, int]] = {}
         s = fp.runs(tokens, SHINGLE) if len(tokens) >= SHINGLE else np.zeros(0, np.uint64)
-        hits = self.hits(s) if len(self.known) else np.zeros(0, np.int64)
+        hits, postings = self.hits(s)
         if len(hits):
-            for n, index in self.index.items():
-                starts = np.unique((hits[:, None] - np.arange(n)).ravel()) if len(hits) < 64 else np.flatnonzero(np.convolve(np.bincount(hits, minlength=len(s)), np.ones(n), "full")[n - 1 :])
-                starts = starts[(starts >= 0) & (starts <= max(0, len(s) - n))]
-                if not len(starts):
-                    continue
-                for part in np.array_split(starts, -(-len(starts) // WINDOWS)):
-                    self._windows(s, part, n, index, best)
+            before = np.concatenate([[0], np.cumsum(np.bincount(hits, minlength=len(s)))])
+            for n in self.lengths(postings).tolist():
+                starts = np.arange(max(1, len(s) - n + 1))
+                starts = starts[before[np.minimum(starts + n, len(s))] - before[starts] >= least_common(n)]
+                for part in np.array_split(starts, -(-len(starts) // WINDOWS)) if len(starts) else ():
+                    self._windows(s, part, n, self.index[n], best)
         for n, marks in self.short.items():
             if len(tokens) >= n:
                 w = fp.runs(tokens, n)
@@ -157,7 +188,7 @@ class Items:
 
     def _windows(self, s, starts, n, index, best) -> None:
         low, high = int(starts[0]), min(len(s), int(starts[-1]) + n)
-        total = np.zeros((high - low + 1, 64), np.int32)
+        total = np.zeros((high - low + 1, BITS), np.int32)
         np.cumsum(vectors(s[low:high]), axis=0, out=total[1:])
         ends = np.minimum(starts + n, len(s)) - low
         prints = simhash(total[ends] - total[starts - low])
@@ -177,12 +208,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     """``doc_id, item_id, first_word, n_words, similarity``: the best window of each item in each document that holds it."""
     spark = docs.sparkSession
     items = narrow(benchmark, item_col, item_text_col, id_="item_id")
-    n_blocks = max(1, -(-items.count() // ITEMS))
+    n_items, n_bytes = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n_blocks = max(1, -(-n_items // ITEMS), -(-n_bytes // ITEM_BYTES))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("similarity", pa.float64())])
     texts = narrow(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))  # words are split as bytes anyway
     found = []
     for k in range(n_blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).collect()
+        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()
         shared = spark.sparkContext.broadcast([(i, t) for i, t in block])
 
         def each(batches, shared=shared):
