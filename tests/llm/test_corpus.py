@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,52 @@ def test_jaccard_components_match_brute_force(spark, k, num, den):
     assert got == brute_components(rows, k, num, den)
 
 
+@pytest.mark.parametrize("piece", [4, 4096])
+def test_jaccard_of_one_large_group_in_pieces(spark, monkeypatch, piece):
+    """Near copies of one text with edits that many of them share, in pieces so small that all lists are split."""
+    monkeypatch.setattr(jaccard, "PIECE", 2 * piece)
+    monkeypatch.setattr(jaccard, "LIST_PIECE", piece)
+    monkeypatch.setattr(jaccard, "LEADERS", 3)
+    monkeypatch.setattr(jaccard, "EXACT", 12)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 9])):
+            k = rng.randrange(0, 150, 3)
+            w[k] = rng.choice([f"x{k}", f"y{k}", ""])
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df, 4, 85, 100).collect()}
+    want = brute_components(rows, 4, 85, 100)
+    assert got == want and len({c for _, c in want.values()}) > 20
+
+
+def test_combined_differences():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        x, one, two = (np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(3))
+        d = lambda a, b: (np.setdiff1d(a, b), np.setdiff1d(b, a))
+        added, removed = jaccard.combined(*d(x, one), *d(one, two))
+        assert set(added) == set(x) - set(two) and set(removed) == set(two) - set(x)
+
+
+def test_sketches_never_tell_too_much():
+    rng = np.random.default_rng(5)
+    for n in (1, 30, 500):
+        a, b = (np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(2))
+        b = np.unique(np.concatenate([b[: n // 2], a[: n // 2]]))
+        assert (jaccard.parity(a) ^ jaccard.parity(b)).bit_count() <= len(np.setxor1d(a, b))
+
+
+def test_jaccard_of_very_long_and_null_id_texts(spark):
+    long = " ".join(f"v{i}" for i in range(30_000))
+    rows = [(5, "a b c d e f g"), (None, "A b c d e f g"), (None, "x y z u v w"), (None, "x y z u v w"), (7, long), (8, long + " more"), (9, "lone text that nothing is like")]
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect())
+    assert got == Counter([(5, 5), (None, 5), (None, None), (None, None), (7, 7), (8, 7), (9, 9)])
+
+
 def test_jaccard_of_nothing_and_of_repeated_rows(spark):
     assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, None)], "doc_id long, text string")
@@ -72,6 +119,13 @@ def test_components_of_chains(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_components_raise_when_they_are_not_final(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="still change"):
+        components.components(links, most_rounds=1)
+    assert components.components(links.limit(0)).count() == 0
+
+
 def prose(rng, n):
     return " ".join("".join(rng.choice(["th", "an", "er", "in", "on", "re"]) for _ in range(rng.randint(1, 4))) for _ in range(n))
 
@@ -136,6 +190,36 @@ def test_windows_that_overlap_are_no_copies(spark):
     assert own.doc_id == copy.doc_id == copy.owner_id == 2 and not own.removable and copy.removable and own.end <= copy.start
 
 
+def test_passages_against_brute_force(spark):
+    """Each run of 60 words or more that two documents share byte by byte is covered, but for its ends, in all but the first of them; what is found repeats."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(50_000, "filler " * 9000), (50_001, None), (50_001, ""), (50_002, prose(random.Random(1), 20_000)), (50_002, prose(random.Random(1), 20_000))]
+    found = substrings.repeated(spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("row", "digest")})).collect()
+    spans = {}
+    for r in found:
+        spans.setdefault(r.doc_id, []).append((r.start, r.end))
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).append(t or "")
+    assert all(any(r.end <= len(t) and any(t[r.start : r.end] in u for u in texts[r.owner_id]) for t in texts[r.doc_id]) for r in found)
+    first, missed, total = {}, 0, 0
+    for i, t in sorted(((i, t) for i, t in rows if t), key=lambda x: x[0]):
+        if i >= 50_000:
+            continue
+        words_at = [m.span() for m in re.finditer(r"\S+", t)]
+        at = 0
+        while at + 60 <= len(words_at):
+            a, b = words_at[at][0], words_at[at + 59][1]
+            if first.setdefault(t[a:b], i) != i:
+                total += 1
+                inside = sum(min(e, b) - max(s, a) for s, e in spans.get(i, ()) if s < b and e > a)
+                missed += inside < 0.5 * (b - a)
+                at += 60
+            else:
+                at += 1
+    assert total > 10 and not missed
+
+
 def test_chunks_of_an_empty_table(spark):
     assert substrings.repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -171,6 +255,49 @@ def test_decontamination_matches_brute_force(spark):
     assert decontaminate.matches(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_recall_near_the_threshold(spark):
+    """Windows of similarities just above 0.8, where the radius could lose some: at least nine of ten are found, and nothing else."""
+    rng = random.Random(9)
+    vocabulary = [prose(rng, 1) + str(i) for i in range(3000)]
+    items = [(j, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(30, 120)))) for j in range(60)]
+    rows = []
+    for i in range(500):
+        w = rng.choice(items)[1].split()
+        for _ in range(max(1, round(len(w) * rng.uniform(0.005, 0.025)))):
+            w[rng.randrange(len(w))] = "changed"
+        rows.append((i, prose(rng, 30) + " " + " ".join(w) + " " + prose(rng, 30)))
+    want = {(i, j): s for i, t in rows for j, item in items if (s := brute_window(t, item)) >= 0.8}
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.matches(docs, bench).collect()}
+    assert all(k in want and abs(want[k] - s) < 1e-9 for k, s in got.items())
+    close = [k for k, s in want.items() if s < 0.85]
+    assert len(close) > 30 and len([k for k in close if k in got]) >= 0.9 * len(close)
+    print("recall", len(got) / len(want), "below 0.85", len([k for k in close if k in got]) / len(close), "of", len(close))
+
+
+def test_the_hamming_index_guarantees_its_radius():
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 1 << 16, (200, decontaminate.N_BLOCKS)).astype(np.uint16)
+    index = decontaminate.HammingIndex(list(enumerate(prints)))
+    asked = []
+    for p in prints:
+        bits = np.unpackbits(p.view(np.uint8))
+        bits[rng.choice(decontaminate.BITS, decontaminate.RADIUS, replace=False)] ^= 1
+        asked.append(np.packbits(bits).view(np.uint16))
+    assert {(i, i) for i in range(200)} <= set(index.near(np.array(asked)))
+    assert np.mean([len(index.candidates(p)) for p in rng.integers(0, 1 << 16, (50, decontaminate.N_BLOCKS)).astype(np.uint16)]) < 0.15 * 200
+
+
+def test_decontamination_edge_rows(spark):
+    item = " ".join(f"t{i}" for i in range(40))
+    bench = spark.createDataFrame([(1, item), (None, item), (None, item), (2, None)], "item_id long, text string")
+    long = prose(random.Random(2), 25_000)
+    docs = spark.createDataFrame([(1, f"x {item} y"), (1, f"x {item} y"), (None, item), (2, f"{long} {item} {long}"), (3, None), (4, item + " " + item)], "doc_id long, text string").withColumn("similarity", F.lit("clash"))
+    got = Counter((r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect())
+    assert got == Counter({(i, j): n * m for i, n in ((1, 2), (None, 1), (2, 1), (4, 1)) for j, m in ((1, 1), (None, 2))})
+    assert decontaminate.matches(docs.limit(0), bench).count() == 0
+
+
 def test_short_benchmark_items(spark):
     bench = spark.createDataFrame([(1, "only three words"), (2, None), (3, ""), (4, "Only three words")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "here are only three words."), (2, "only three other words")], "doc_id long, text string")
@@ -188,6 +315,69 @@ def test_site_quality(spark):
     assert site_quality.judge(docs.limit(0), labels.limit(0), "source", "lang").count() == 0
 
 
+def test_site_posteriors_against_numpy(spark):
+    rng = np.random.default_rng(6)
+    rows, i = [], 0
+    for h in range(6):
+        for p in range(4):
+            share = np.clip(0.5 + 0.08 * h + 0.05 * p + rng.normal(0, 0.1), 0.05, 0.95)
+            for _ in range(int(rng.choice([1, 2, 5, 40]))):
+                good = rng.random() < share
+                rows.append((i, " ".join(["the"] * (60 if good else 3) + [f"word{rng.integers(900)}" for _ in range(60 if good else 4)]), f"h{h}", f"p{p}", int(good)))
+                i += 1
+    rows += [(i, None, None, None, 0), (i + 1, "", None, None, 0), (i + 2, "word " * 30_000, "h0", "p0", 1), (i + 2, "word " * 30_000, "h0", "p0", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, quality int")
+    out = site_quality.judge(df.drop("quality"), df.select("doc_id", "quality").distinct(), "source", "lang").collect()
+    assert len(out) == len(rows)
+    site = {r[0]: (r[2] or "", r[3] or "") for r in rows}
+    p = [(site[r.doc_id][0], site[r.doc_id], r.doc_score) for r in out]
+    mean = np.mean([x for *_, x in p])
+
+    def pseudo(parent_of, groups):
+        n, within, between, same = len(p), 0.0, 0.0, 0.0
+        parents = {}
+        for g, v in groups.items():
+            parents.setdefault(parent_of(g), []).extend(v)
+        for g, v in groups.items():
+            own, above = np.mean(v), parents[parent_of(g)]
+            within += np.sum((np.array(v) - own) ** 2)
+            between += len(v) * (own - np.mean(above)) ** 2
+            same += len(v) ** 2 / len(above)
+        df = len(groups) - len(parents)
+        chance = within / (n - len(groups))
+        true = (between / df - chance) * df / (n - same)
+        return min(1e6, max(1.0, chance / true)) if true > 0 else 1e6
+
+    hosts, paths = {}, {}
+    for h, hp, x in p:
+        hosts.setdefault(h, []).append(x)
+        paths.setdefault(hp, []).append(x)
+    k_host, k_path = pseudo(lambda g: 0, hosts), pseudo(lambda g: g[0], paths)
+    for r, (h, hp, x) in zip(out, p, strict=True):
+        host = (k_host * mean + sum(hosts[h]) - x) / (k_host + len(hosts[h]) - 1)
+        path = (k_path * host + sum(paths[hp]) - x) / (k_path + len(paths[hp]) - 1)
+        assert np.isclose(r.host_score, host, rtol=1e-6) and np.isclose(r.site_score, path, rtol=1e-6)
+
+
+def test_pipeline_run_equals_its_stages_and_handles_edge_rows(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = docs.filter("lang = 'en' and n_chars between 1500 and 4000").orderBy("doc_id").limit(1).first()
+    odd = [(None, good.text, "en", "s", 1), (None, good.text, "en", "s", 1), (good.doc_id, good.text, "en", "s", 1), (None, None, None, None, None), (77_777, "", "", "", 0), (77_778, good.text + " " + good.text[:40] + " and more words " * 3, "en", "s", 2)]
+    for name, rows in (("full", odd), ("empty", None)):
+        d = tmp_path / name
+        data = docs.limit(0) if rows is None else docs.unionByName(spark.createDataFrame(rows, docs.schema))
+        data.withColumns({c: F.lit("clash") for c in ("node", "component_id", "row", "item_id")}).write.parquet(f"{d}/documents.parquet")
+        spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{d}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, str(d)).collect()
+        if rows is None:
+            assert out == []
+            continue
+        kept = Counter(r.doc_id for r in out)
+        assert max(kept.values()) == 1 and None not in kept and 77_777 not in kept and 77_778 not in kept and set(kept) <= {r.doc_id for r in docs.collect()}
+        plain = corpus_pipeline.run(spark, SF).collect()
+        assert {(r.doc_id, r.n_tokens, r.decoded_sha256) for r in out} == {(r.doc_id, r.n_tokens, r.decoded_sha256) for r in plain}
+
+
 def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs

@@ -1,12 +1,15 @@
 """Operators that judge rows by themselves: against brute force, on edge cases, and with clashing columns."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -69,6 +72,13 @@ def test_pii_digest_and_redaction(spark):
     assert [r.text for r in red.collect()] == ["mail [EMAIL] now", None]
     assert red.columns == frame(spark, [(1, "")]).columns
     assert pii.digest(frame(spark, [])).count() == 0
+    assert pii.digest(frame(spark, [])).columns[:7] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+
+
+def test_pii_context_in_four_languages():
+    for around in ("my passport {}", "mein Ausweis {}", "mon passeport {}", "pasaporte {}", "numéro d'identité {}"):
+        assert [x.kind for x in pii.find(around.format("078-05-1120"))] == ["id"], around
+    assert not pii.find("pièce 078-05-1120")
 
 
 SECRETS = {"assign": r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
@@ -91,6 +101,15 @@ def test_secrets_match_brute_force(spark):
     assert got == Counter((i, hashlib.sha256(brute_secrets(t).encode()).hexdigest()) for i, t in rows)
 
 
+def test_secret_postings_are_intersected(spark):
+    rows = [(1, "Token: abcdefgh"), (2, "to ken oke tok"), (3, "xox ghp"), (4, None), (None, "passwd = longvalue"), (None, "nothing"), (5, "AKIA" + "B2" * 9), (5, "plain")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = {(r.doc_id, tuple(r.rules)) for r in secrets.candidates(df, secrets.RULES).collect()}
+    assert found == {(1, ("assign",)), (2, ("assign",)), (None, ("assign",)), (5, ("access",))}  # the second holds all trigrams, and no secret
+    assert [r.spans for r in secrets.digest(df.filter("doc_id = 2")).collect()] == [""]
+    assert secrets.digest(frame(spark, [])).count() == 0
+
+
 def test_secret_trigram_queries():
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == frozenset({frozenset({"aki", "kia"})})
     assert secrets.trigram_query("[0-9a-f]{24,}") is None
@@ -119,6 +138,11 @@ def test_quality_matches_brute_force(spark):
     assert all(not (r.base_failed and r.kept) for r in quality.judge(frame(spark, rows)).collect())
 
 
+def test_quality_and_bpe_of_an_empty_table(spark):
+    assert quality.judge(frame(spark, [])).count() == 0 and quality.keep(frame(spark, [])).count() == 0
+    assert bpe.digest(frame(spark, []), PATH, public_tokenizers.PATTERN).count() == 0
+
+
 def test_quality_keeps_good_and_drops_bad_documents(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     n = {(r.quality, r.kept): r["count"] for r in quality.judge(spark.read.parquet(f"{SF}/documents.parquet")).join(labels, "doc_id").groupBy("quality", "kept").count().collect()}
@@ -146,10 +170,28 @@ def test_bpe_equals_the_rank_encoder_and_round_trips(spark):
     assert Counter(map(tuple, back.collect())) == Counter((i, t or "") for i, t in rows)
 
 
+def test_bpe_of_patterns_that_take_line_ends_after_other_characters():
+    ranks = {p: i for i, p in enumerate(bpe.read_ranks(PATH))}
+    pattern = r"""[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"""
+    want = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    some = ["one.\n\ntwo !?\r\n x", "a;\n", "  \n b", ""]
+    assert bpe.Codec(PATH, pattern).encode_all(some) == [want.encode_ordinary(t) for t in some]
+
+
+def test_url_rules_of_one_length_and_odd_urls(spark):
+    rules = (urls.Rule("allow", "a.org", "/x"), urls.Rule("block", "a.org", "/x"), urls.Rule("block", "org", "/yyy"), urls.Rule("allow", "a.org", "/y"))
+    rows = [(1, "h://a.org/x"), (2, "h://a.org/yyy"), (3, "h://" + "b." * 3000 + "a.org/x" + "z" * 50_000), (4, "://"), (5, "")]
+    judge = lambda rows: urls.judge(spark.createDataFrame(rows, "page_id long, url string"), urls.rules_frame(spark, rules), [len(r.path) for r in rules], [r.host.count(".") + 1 for r in rules])
+    got = {r.page_id: (r.rule, r.verdict) for r in judge(rows).collect()}
+    assert got == {1: ("a.org/x", "block"), 2: ("a.org/y", "allow"), 3: ("a.org/x", "block"), 4: (None, "allow"), 5: (None, "allow")}  # equally long: the longer host, then block
+    assert judge([]).count() == 0
+    assert urls.judge(spark.createDataFrame(rows, "page_id long, url string"), urls.rules_frame(spark, ()), [], []).count() == 5
+
+
 def test_url_rules(spark):
     rows = [(1, "http://a.example.org/en/17?x"), (2, "https://Example.ORG/es/"), (3, "x://b.com/fr/1"), (4, "x://b.com/de/1"), (5, "x://notcom/de/"), (6, "x://org"), (7, "x://org/"), (8, None), (9, "no scheme"), (10, "x://xexample.org/es/"), (4, "x://b.com/de/1"), (None, "x://example.org/en/1")]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("clash") for c in ("row", "rule", "digest", "prefix", "host")})
-    got = urls.judge(df, urls.rules_frame(spark, urls.RULES), [len(r.path) for r in urls.RULES]).collect()
+    got = urls.judge(df, urls.rules_frame(spark, urls.RULES), [len(r.path) for r in urls.RULES], [r.host.count(".") + 1 for r in urls.RULES]).collect()
     want = {1: "example.org/en/1", 2: "example.org/es/", 3: "com/fr/", 4: "com/de/", 7: "org/", 10: "org/", None: "example.org/en/1"}
     assert len(got) == len(rows)
     for r in got:
@@ -170,6 +212,74 @@ def test_toxicity_held_out(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in out.limit(500).collect())
 
 
+def brute_marginals(chain, tokens):
+    """By summing over all sequences of tags."""
+    e = [chain.bias + chain.own.get(t, 0) + (chain.before.get(tokens[i - 1], 0) if i else 0) + (chain.after.get(tokens[i + 1], 0) if i + 1 < len(tokens) else 0) for i, t in enumerate(tokens)]
+    total, one = 0.0, [0.0] * len(tokens)
+    for tags in itertools.product((0, 1), repeat=len(tokens)):
+        w = math.exp(sum(v for v, t in zip(e, tags, strict=True) if t) + sum(chain.pairs[a][b] for a, b in zip(tags, tags[1:], strict=False)))
+        total += w
+        for i, t in enumerate(tags):
+            one[i] += w * t
+    return [x / total for x in one]
+
+
+@pytest.mark.parametrize("pairs", [((0.0, 0.0), (0.0, 0.0)), ((1.5, -2.0), (-1.0, 3.0)), ((3.0, -3.0), (-3.0, 3.0))])
+def test_marginals_match_enumeration(pairs):
+    rng = random.Random(7)
+    chain = toxicity.Chain({"bad": 2.5, "fine": -3.0}, {"very": 1.5}, {"thing": -1.0, "bad": 0.7}, -1.0, pairs, (0.0, 1.0, 1.0))
+    scorer = toxicity.Scorer(chain)
+    for n in range(1, 12):
+        tokens = [rng.choice(["bad", "fine", "very", "thing", "a", "b", "c"]) for _ in range(n)]
+        p = scorer.marginals(tokens)
+        assert all(math.isclose(p.get(i, scorer.rest), want, rel_tol=1e-9) for i, want in enumerate(brute_marginals(chain, tokens))), tokens
+
+
+def test_marginals_reach_as_far_as_the_chain_remembers():
+    pairs = ((3.0, -3.0), (-3.0, 3.0))
+    chain = toxicity.Chain({"bad": 6.0}, {}, {}, 0.0, pairs, (0.0, 1.0, 1.0))
+    scorer = toxicity.Scorer(chain)
+    p = scorer.marginals(["a"] * 300 + ["bad"] + ["a"] * 300)
+    assert 0.5 < p[260] < p[299] and p[260] > scorer.rest + 0.3  # 40 words away
+
+    def full(n, at):  # both passes without any short cut
+        x = [math.exp(6.0 if i == at else 0.0) for i in range(n)]
+        m = [[math.exp(v) for v in row] for row in pairs]
+        f, b = [x[0]], [1.0]
+        for v in x[1:]:
+            f.append((m[0][1] + f[-1] * m[1][1]) / (m[0][0] + f[-1] * m[1][0]) * v)
+        for v in x[:0:-1]:
+            b.append((m[1][0] + b[-1] * v * m[1][1]) / (m[0][0] + b[-1] * v * m[0][1]))
+        return [u * v / (1 + u * v) for u, v in zip(f, b[::-1], strict=True)]
+
+    assert all(math.isclose(p.get(i, scorer.rest), v, rel_tol=1e-9) for i, v in enumerate(full(601, 300)))
+
+
+def test_toxic_spans_survive_lower_casing():
+    chain = toxicity.Chain({"scum": 9.0}, {}, {}, -4.0, ((0.0, 0.0), (0.0, 0.0)), (0.0, 1.0, 1.0))
+    text = "\u0130stanbul SCUM word"
+    _, spans = toxicity.Scorer(chain).score(text)
+    assert [text[a:b] for a, b in spans] == ["SCUM"]
+
+
+def test_fitted_scorer_on_edge_rows(spark):
+    rng = random.Random(11)
+    some = lambda: [rng.choice("bcdfg") + rng.choice("aeiou") + rng.choice("lmnrs") + rng.choice("aeiou") for _ in range(40)]
+    bad, good = [" ".join([*some()[:20], "scum", *some()[:20]]) for _ in range(60)], [" ".join(some()) for _ in range(90)]
+    train = [(i, t) for i, t in enumerate(bad + good)]
+    labels = spark.createDataFrame([(i, int(i < 60)) for i, _ in train], "doc_id long, toxic int")
+    rows = train + edge_rows() + [(900_010, "word " * 12_000 + "scum"), (900_010, "word " * 12_000 + "scum")]
+    out = toxicity.digest(frame(spark, rows), labels).collect()
+    assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
+    by = {}
+    for r in out:
+        by.setdefault((r.doc_id, r.n_toxic_words, r.spans), set()).add(r.score)
+    assert all(len(v) == 1 for k, v in by.items() if k[0] is not None and k[0] >= 900_000)
+    assert {r.predicted for r in out if r.doc_id is not None and r.doc_id < 60} == {1} and {r.predicted for r in out if r.doc_id is not None and 60 <= r.doc_id < 150} == {0}
+    assert [r.held_out for r in out if r.doc_id is None] == [False]
+    assert {r.spans for r in out if r.doc_id == 900_010} == {"60000:60004"}
+
+
 def test_toxicity_without_labels_or_texts(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     docs = frame(spark, edge_rows())
