@@ -2,14 +2,16 @@
 
 Each stage gets all rows that the one before it kept, written as Parquet in the shared folder and read again, and its decisions take
 effect: rejected documents, copies and contaminated documents go, personal data is replaced. All stages but the last return the columns of
-``documents``; the last returns ids. Rows with a null doc_id pass through the stages that judge rows by themselves; the two that join
-by doc_id treat equal ids as one document.
+``documents``; the last returns ids and the digest of the text that they decode to.
+
+Edge cases: null and empty texts fail the quality rules; very long texts and columns of any other name need nothing special; an empty table passes through all stages. The two stages that join by doc_id take
+equal ids for one document, of which one row stays, and give rows without an id one that their text decides and that stands behind all real ones.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwright.llm import bpe, decontaminate, jaccard, pii, quality
@@ -17,6 +19,15 @@ from millwright.llm.common import table
 from millwright.llm.scratch import saved
 
 
+#: A column name that no table has.
+ID = "_pipeline_id"
+
+
+def identity() -> Column:
+    """doc_id, or a number from 2**62 on by the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the base rule or the threshold table rejects."""
     return quality.keep(docs)
@@ -24,15 +35,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents with a similarity of 0.8 or more over five-word shingles, the smallest id stays."""
-    found = jaccard.join(docs, size=5, num=4, den=5)
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    known = docs.withColumn(ID, identity())
+    found = jaccard.join(known, size=5, num=4, den=5, id_col=ID)
+    gone = found.groupBy(F.col("doc_id").alias(ID)).agg(F.min("component_id").alias("kept"), F.count("*").alias("rows"))
+    gone = saved(gone.filter((F.col("kept") < F.col(ID)) | (F.col("rows") > 1)))  # written, so that its size decides how it is joined with the texts
+    repeated = gone.filter(F.col("kept") == F.col(ID)).select(ID)
+    one = known.join(repeated, ID, "left_semi").dropDuplicates([ID]).select(docs.columns)  # ids with several rows, of which one stays
+    return known.join(gone.select(ID), ID, "left_anti").select(docs.columns).union(one)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    hit = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    known = docs.withColumn(ID, identity())
+    hit = decontaminate.matches(known, table(spark, sf_dir, "benchmark"), id_col=ID)
+    hit = saved(hit.select(F.col("doc_id").alias(ID)).distinct())
+    return known.join(hit, ID, "left_anti").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +58,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text."""
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """Token ids of each text, and the digest of the text that they decode to."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
 
 
 STAGES = [
