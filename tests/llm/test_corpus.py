@@ -63,11 +63,9 @@ def test_jaccard_components_match_brute_force(spark, k, num, den):
 
 @pytest.mark.parametrize("piece", [4, 4096])
 def test_jaccard_of_one_large_group_in_pieces(spark, monkeypatch, piece):
-    """Near copies of one text with edits that many of them share, in pieces so small that all lists are split."""
+    """Near copies of one text with edits that many of them share, in pieces so small that all lists are split; their differences are sent as they are and as sketches."""
     monkeypatch.setattr(jaccard, "PIECE", 2 * piece)
     monkeypatch.setattr(jaccard, "LIST_PIECE", piece)
-    monkeypatch.setattr(jaccard, "LEADERS", 3)
-    monkeypatch.setattr(jaccard, "EXACT", 12)
     rng = random.Random(12)
     base = [f"w{i}" for i in range(150)]
     rows = []
