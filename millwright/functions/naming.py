@@ -30,26 +30,44 @@ NEGATIONS = {
     "doesn't": "does not",
 }
 
-#: Words that the lexicon knows, by part of speech; irregular forms are given.
-VERBS = ("leak", "work", "start", "blow", "replace", "repair", "inspect", "transport", "isolate", "power", "fail", "crack", "check")
-NOUNS = ("ring", "bolt", "anvil", "widget", "gear", "gizmo", "pump", "valve", "seal", "hose", "filter", "sensor", "bearing", "gauge", "conditioner", "battery", "box", "bush")
-IRREGULAR = {("v", "blown"): "blow", ("v", "blew"): "blow"}
-
-
-def inflections(pos: str, word: str) -> list[str]:
-    """Regular forms of a word."""
-    sibilant = word.endswith(("s", "x", "z", "ch", "sh"))
-    s = word[:-1] + "ies" if word[-1] == "y" and word[-2] not in "aeiou" else word + ("es" if sibilant else "s")
-    if pos == "n":
-        return [s]
-    stem = word[:-1] if word[-1] == "e" else word
-    return [s, stem + "ing", stem + "ed"]
-
-
-def lexicon() -> dict[tuple[str, str], str]:
-    """(part of speech, form) to lemma."""
-    regular = {(p, f): w for p, words in (("v", VERBS), ("n", NOUNS)) for w in words for f in inflections(p, w)}
-    return regular | IRREGULAR
+#: Forms that the rules below would get wrong, by part of speech.
+IRREGULAR_NOUNS = {
+    "men": "man", "women": "woman", "people": "person", "feet": "foot", "teeth": "tooth", "mice": "mouse", "axes": "axis", "indices": "index", "vertices": "vertex", "matrices": "matrix",
+    "knives": "knife", "halves": "half", "shelves": "shelf", "leaves": "leaf", "lives": "life", "wolves": "wolf", "ties": "tie", "dies": "die", "pies": "pie", "caches": "cache",
+    "aches": "ache", "buses": "bus", "gases": "gas", "lenses": "lens", "viruses": "virus", "statuses": "status", "potatoes": "potato", "heroes": "hero",
+    "lens": "lens", "gas": "gas", "chassis": "chassis", "series": "series", "means": "means", "news": "news", "species": "species",
+}
+IRREGULAR_VERBS = {
+    "is": "be", "are": "be", "was": "be", "were": "be", "been": "be", "being": "be", "has": "have", "had": "have", "did": "do", "done": "do", "goes": "go", "went": "go", "gone": "go", "got": "get",
+    "gotten": "get", "blew": "blow", "blown": "blow", "broke": "break", "broken": "break", "wore": "wear", "worn": "wear", "tore": "tear", "torn": "tear", "bent": "bend", "stuck": "stick", "made": "make",
+    "found": "find", "lost": "lose", "ran": "run", "fell": "fall", "fallen": "fall", "left": "leave", "burnt": "burn", "held": "hold", "froze": "freeze", "frozen": "freeze", "shook": "shake",
+    "shaken": "shake", "sprung": "spring", "stole": "steal", "stolen": "steal", "swollen": "swell", "spun": "spin", "wound": "wind", "bound": "bind", "built": "build", "caught": "catch", "lit": "light",
+    "ground": "grind", "kept": "keep", "sent": "send", "spent": "spend", "taken": "take", "took": "take", "given": "give", "gave": "give", "driven": "drive", "drove": "drive", "written": "write",
+    "seen": "see", "shot": "shoot", "slid": "slide", "slipt": "slip", "struck": "strike", "sunk": "sink", "sank": "sink", "thrown": "throw", "threw": "throw", "brought": "bring", "bled": "bleed",
+    "adding": "add", "added": "add", "creating": "create", "created": "create", "igniting": "ignite", "ignited": "ignite", "breathing": "breathe", "breathed": "breathe", "dying": "die", "tying": "tie",
+    "lying": "lie", "focusing": "focus", "focused": "focus",
+}
+
+
+def _doubled() -> list[tuple[str, str]]:
+    """Stems whose last consonant is doubled before an ending."""
+    return [(rf"^(.*[aeiou]){c}{c}(?:ing|ed)$", rf"\1{c}") for c in "bdgmnprt"]
+
+
+#: What stems end in that lose an e before -ing and -ed: the first group is the stem.
+_SILENT_E = (
+    r"^(.*(?:[cvzu]|[^s]s|[bcdfgkptz]l))(?:ing|ed)$",
+    r"^(.*(?:[aeiou]|(?:ch|rr|[^aeiouhrsbtlw])an|d|r|l)g)(?:ing|ed)$",
+    r"^(.{2,}[^aeiou](?:at|ur|in|id|ad|od|ud|ut))(?:ing|ed)$",
+    r"^(.*uir)(?:ing|ed)$",
+    r"^([^aeiou]*[aeiou][^aeiouwxy])(?:ing|ed)$",
+)
+#: The first pattern that a whole word matches gives its lemma; a word that none matches is its own.
+NOUN_RULES = [(r"^(.*(?:ss|us|is))$", r"\1"), (r"^(.+[^aeiou])ies$", r"\1y"), (r"^(.+(?:ss|sh|ch|x|zz))es$", r"\1"), (r"^(.+[a-rt-z])s$", r"\1")]
+VERB_RULES = [
+    (r"^([^aeiouy]*(?:ing|ed)|.*eed)$", r"\1"), (r"^(.*(?:ss|us|is))$", r"\1"), (r"^(.+[^aeiou])(?:ies|ied)$", r"\1y"), (r"^(.+[^aeiou])ying$", r"\1y"), (r"^(.+(?:ss|sh|ch|x|zz|o))es$", r"\1"), (r"^(.+[a-rt-z])s$", r"\1"),
+    *_doubled(), *((p, r"\1e") for p in _SILENT_E), (r"^(.+)(?:ing|ed)$", r"\1"),
+]
 
 
 def literal_map(pairs: dict[str, str]) -> Column:
@@ -93,12 +111,17 @@ def negated(c: Column) -> Column:
     return c
 
 
+def _by_rules(word: Column, irregular: dict[str, str], rules: list[tuple[str, str]]) -> Column:
+    first = F.lit(None).cast("string")
+    for pattern, lemma in reversed(rules):
+        first = F.when(word.rlike(pattern), F.regexp_replace(word, pattern, lemma.replace("\\1", "$1"))).otherwise(first)
+    return F.coalesce(literal_map(irregular)[word], F.when(word.rlike("^[a-z]{3,}$"), first), word)
+
+
 def lemmatized(c: Column, root: Column) -> Column:
-    """The last word's lemma: a noun's for objects and properties, a verb's for others."""
-    forms = {f"{p} {f}": w for (p, f), w in lexicon().items()}
-    known = literal_map(forms)
-    pos = F.when(root.isin("object", "property"), "n").otherwise("v")
-    return _last_mapped(c, lambda last: known[F.concat_ws(" ", pos, last)])
+    """The last word's lemma: a noun's for objects and properties, a verb's for others. Only words of small letters have another one."""
+    noun = root.isin("object", "property")
+    return _last_mapped(c, lambda last: F.when(noun, _by_rules(last, IRREGULAR_NOUNS, NOUN_RULES)).otherwise(_by_rules(last, IRREGULAR_VERBS, VERB_RULES)))
 
 
 def normalised(name: Column, type_: Column) -> Column:

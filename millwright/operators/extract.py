@@ -53,7 +53,7 @@ def predictions(inputs: DataFrame, model: Extractor | Callable[[], Extractor], c
         todo = todo.join(cache.select("input"), "input", "left_anti")
 
     def each(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loaded = model if hasattr(model, "outputs") else model()
+        loaded = model if hasattr(model, "outputs") and not isinstance(model, type) else model()
         for frame in frames:
             yield frame.assign(gen_output=each_output(loaded, frame["input"].tolist()))
 

@@ -43,9 +43,9 @@ def normalised(valid: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
 def refined(raw: DataFrame, gazetteer: DataFrame, remove_subsumption: bool = False) -> DataFrame:
     """Triples that are valid before and after normalisation."""
-    df = formatted(raw).filter(F.col("message") == "valid")
+    df = formatted(raw).filter(F.col("message") == "valid").drop("message")
     if remove_subsumption:
         df = df.filter(F.col("relation") != "IS_A")
-    df = normalised(df, gazetteer)
+    df = normalised(stage(df), gazetteer)  # its names are looked for and then replaced
     again = naming.validation(*map(F.col, ("head", "head_type", "relation", "tail", "tail_type")))
     return df.filter(again == "valid").select("record_id", "head", "head_type", "relation", "tail", "tail_type")

@@ -102,22 +102,35 @@ def _score_sums(batches):
         yield pa.RecordBatch.from_arrays([batch.column("x"), pa.array(one, pa.float64()), pa.array(two, pa.float64())], names=["x", "m", "mm"])
 
 
-def shapiro_wilk_of(stats: DataFrame, n: int, mean: float, squares: float) -> float:
-    """The same p-value of more than 5 scores, one for each occurrence, as sums over the ranks of each distinct score; ``squares`` are
-    the squared deviations from ``mean``. Ranks are partitions' offsets and running sums within them, so no task sees all."""
+def ranked(stats: DataFrame) -> DataFrame:
+    """``pmi, w, to``: each distinct score, its occurrences, and the rank of the last of them. Ranks are partitions' offsets and running sums
+    within them, so no task sees all scores."""
     distinct = stats.groupBy("pmi").agg(F.sum("frequency").alias("w"))
-    ends = [[r.pmi - mean for r in distinct.orderBy(order).limit(2).collect() for _ in range(min(2, r.w))][:2] for order in (F.asc("pmi"), F.desc("pmi"))]
-    (low, low2), (high, high2) = ends
-    if low == high:
-        return 0.0
     placed = stage(distinct.repartitionByRange("pmi").withColumn("part", F.spark_partition_id()))
     offset, offsets = 0, []
-    for r in placed.groupBy("part").agg(F.sum("w").alias("w")).orderBy("part").collect():
+    for r in placed.groupBy("part").agg(F.sum("w").alias("w")).orderBy("part").collect():  # as many rows as there are partitions
         offsets.append((r.part, offset))
         offset += r.w
     to = F.col("offset") + F.sum("w").over(W.partitionBy("part").orderBy("pmi").rowsBetween(W.unboundedPreceding, 0))
-    ranked = placed.join(F.broadcast(stats.sparkSession.createDataFrame(offsets, "part int, offset long")), "part").select("pmi", "w", to.alias("to"))
-    pieces = ranked.select("pmi", "to", F.explode(F.sequence(F.col("to") - F.col("w"), F.col("to") - 1, F.lit(RANKS))).alias("lo")).select(
+    return placed.join(F.broadcast(stats.sparkSession.createDataFrame(offsets, "part int, offset long")), "part").select("pmi", "w", to.alias("to"))
+
+
+def percentiles(ranks: DataFrame, n: int, fractions: list[float]) -> list[float]:
+    """The scores at these fractions of the n - 1 steps between the first and the last of n occurrences, interpolated: looked up by their ranks."""
+    at = [q * (n - 1) for q in fractions]
+    wanted = sorted({k for x in at for k in (math.floor(x), math.ceil(x))})
+    found = ranks.agg(*(F.max(F.when((F.col("to") - F.col("w") <= k) & (F.col("to") > k), F.col("pmi"))) for k in wanted)).first()
+    value = dict(zip(wanted, found, strict=True))
+    return [value[math.floor(x)] if x == math.floor(x) else (math.ceil(x) - x) * value[math.floor(x)] + (x - math.floor(x)) * value[math.ceil(x)] for x in at]
+
+
+def shapiro_wilk_of(ranks: DataFrame, n: int, mean: float, squares: float) -> float:
+    """The same p-value of more than 5 scores, one for each occurrence, as sums over the ranks of each distinct score; ``squares`` are
+    the squared deviations from ``mean``."""
+    low, low2, high2, high = (x - mean for x in percentiles(ranks, n, [0.0, 1 / (n - 1), (n - 2) / (n - 1), 1.0]))
+    if low == high:
+        return 0.0
+    pieces = ranks.select("pmi", "to", F.explode(F.sequence(F.col("to") - F.col("w"), F.col("to") - 1, F.lit(RANKS))).alias("lo")).select(
         (F.col("pmi") - mean).alias("x"), "lo", F.least(F.col("lo") + RANKS, "to").alias("hi"), F.lit(n).cast("long").alias("n")
     )
     sums = pieces.repartition("lo").mapInArrow(_score_sums, "x double, m double, mm double").agg(F.sum(F.col("x") * F.col("m")), F.sum("mm")).first()
@@ -129,7 +142,7 @@ def shapiro_wilk_of(stats: DataFrame, n: int, mean: float, squares: float) -> fl
 def thresholds(stats: DataFrame) -> DataFrame:
     """``median, lower, upper`` of the scores, one for each occurrence: by deviations if they look normal, else by quartiles."""
     w = F.col("frequency")
-    row = stats.agg(F.sum(w).alias("n"), F.sum(w * F.col("pmi")).alias("s"), F.percentile("pmi", [0.25, 0.5, 0.75], w).alias("q")).first()
+    row = stats.agg(F.sum(w).alias("n"), F.sum(w * F.col("pmi")).alias("s")).first()
     spark = stats.sparkSession
     schema = "median double, lower double, upper double"
     if not row.n:
@@ -137,15 +150,23 @@ def thresholds(stats: DataFrame) -> DataFrame:
     mean = row.s / row.n
     squares = stats.agg(F.sum(w * (F.col("pmi") - mean) ** 2)).first()[0]
     sd = math.sqrt(squares / row.n)
+    ranks = ranked(stats)
     if row.n > FEW_VALUES:
-        p_value = shapiro_wilk_of(stats, row.n, mean, squares)
+        p_value = shapiro_wilk_of(ranks, row.n, mean, squares)
     else:
-        p_value = shapiro_wilk(stats.agg(F.percentile("pmi", [k / max(1, row.n - 1) for k in range(row.n)], w)).first()[0])
-    q1, median, q3 = row.q
+        p_value = shapiro_wilk([r.pmi for r in ranks.collect() for _ in range(r.w)])
+    q1, median, q3 = percentiles(ranks, row.n, [0.25, 0.5, 0.75])
     low, high = (median - 2 * sd, median + 2 * sd) if p_value > 0.05 else (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
     return spark.createDataFrame([(median, low, high)], schema)
 
 
+def box(stats: DataFrame) -> DataFrame:
+    """``low, q1, median, q3, high`` of the scores, one for each occurrence."""
+    schema = "low double, q1 double, median double, q3 double, high double"
+    n = stats.agg(F.sum("frequency")).first()[0]
+    return stats.sparkSession.createDataFrame([tuple(percentiles(ranked(stats), n, [0.0, 0.25, 0.5, 0.75, 1.0]))] if n else [], schema)
+
+
 def without_rare_outliers(triples: DataFrame, stats: DataFrame, bounds: DataFrame) -> DataFrame:
     """Triples with their statistics, but for those that occur once and score outside the bounds."""
     outlier = (F.col("frequency") == 1) & ((F.col("pmi") < F.col("lower")) | (F.col("pmi") > F.col("upper")))

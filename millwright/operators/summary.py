@@ -38,8 +38,8 @@ def non_empty(df: DataFrame, what: str = "input") -> DataFrame:
 
 def coverage(records: DataFrame) -> DataFrame:
     """``texts_no_ie, texts_entity_only``: records with neither entities nor relations, and with entities alone. ``records``: arrays ``entities, relations``."""
-    none = F.size("relations") <= 0
-    return records.agg(F.count_if(none & (F.size("entities") <= 0)).alias("texts_no_ie"), F.count_if(none & (F.size("entities") > 0)).alias("texts_entity_only"), F.count("*").alias("n"))
+    entities, relations = (F.coalesce(F.size(c), F.lit(0)) > 0 for c in ("entities", "relations"))
+    return records.agg(F.count_if(~relations & ~entities).alias("texts_no_ie"), F.count_if(~relations & entities).alias("texts_entity_only"), F.count("*").alias("n"))
 
 
 def enriched(normalised: DataFrame) -> DataFrame:

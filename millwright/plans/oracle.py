@@ -139,9 +139,15 @@ def _negated(c: str) -> str:
     return c
 
 
+def _by_rules(word: str, irregular: dict[str, str], rules: list[tuple[str, str]]) -> str:
+    whens = " ".join(f"WHEN {word} = {quoted(form)} THEN {quoted(lemma)}" for form, lemma in irregular.items())
+    tries = " ".join(f"WHEN regexp_matches({word}, {quoted(p)}) THEN regexp_replace({word}, {quoted(p)}, {quoted(lemma)})" for p, lemma in rules)
+    return f"CASE {whens} WHEN NOT regexp_matches({word}, '^[a-z]{{3,}}$') THEN {word} {tries} ELSE {word} END"
+
+
 def _lemma(side: str) -> str:
-    of = {p: {f: w for (q, f), w in naming.lexicon().items() if q == p} for p in "nv"}
-    return f"CASE WHEN {_root(f'{side}_type')} IN ('object', 'property') THEN {cases(f'{side}_k[-1]', of['n'])} ELSE {cases(f'{side}_k[-1]', of['v'])} END"
+    word = f"{side}_k[-1]"
+    return f"CASE WHEN {_root(f'{side}_type')} IN ('object', 'property') THEN {_by_rules(word, naming.IRREGULAR_NOUNS, naming.NOUN_RULES)} ELSE {_by_rules(word, naming.IRREGULAR_VERBS, naming.VERB_RULES)} END"
 
 
 NORMALISED = f"""

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millwright.functions import text
-from millwright.operators import sampling
+from millwright.operators import sampling, summary
 from millwright.plans.oracle import clean, sql
 from millwright.plans.registry import query
 from millwright.sources import sinks, tables
@@ -128,6 +128,12 @@ def p10(spark, d):
     return sampling.exact_sample(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 100)
 
 
+@query("p12_non_empty", sql(f"SELECT id, type FROM wo WHERE type IN {U} AND floc = 'FRANCE'", "wo"))
+def p12(spark, d):
+    """The selected rows; an empty selection is an error."""
+    return summary.non_empty(work_orders(spark, d).filter(F.col("type").isin(*UNPLANNED) & (F.col("floc") == "FRANCE")).select("id", "type"), "the selection")
+
+
 @query("p13_f01_clean_text", sql(f"SELECT id, {clean('text')} AS input FROM wo", "wo"))
 def p13(spark, d):
     return work_orders(spark, d).select("id", text.clean(F.col("text")).alias("input"))

@@ -155,9 +155,7 @@ def a26b(spark, d):
 
 @query("k09_box_data", sql("SELECT round(min(pmi), 9) AS low, round(quantile_cont(pmi, 0.25), 9) AS q1, round(median(pmi), 9) AS median, round(quantile_cont(pmi, 0.75), 9) AS q3, round(max(pmi), 9) AS high FROM occurrences", "stats"))
 def k09(spark, d):
-    q = F.percentile("pmi", [0.0, 0.25, 0.5, 0.75, 1.0], F.col("frequency"))
-    df = score.scored(triples(spark, d)).agg(q.alias("q"))
-    return df.select(*(F.round(F.col("q")[i], 9).alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))))
+    return score.box(stage(score.scored(triples(spark, d)))).select(*(F.round(n, 9).alias(n) for n in ("low", "q1", "median", "q3", "high")))
 
 
 _DOC = "SELECT id, coalesce(c, 0) AS c FROM (SELECT o_orderkey AS id FROM orders) LEFT JOIN (SELECT record_id AS id, count(*) AS c FROM triples GROUP BY 1) USING (id)"

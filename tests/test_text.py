@@ -34,6 +34,16 @@ def test_corrections_are_spaced_and_case_sensitive(spark):
     assert df.select(text.correct(F.col("s"), {"craked": "cracked"})).first()[0] == "The wall was  cracked ."
 
 
+def test_corrections_in_groups_equal_those_one_by_one(spark):
+    rows = [("repl cyl temp c/o a/c",), ("wind schrod x2 way 2 way",), ("êchan chan chanê",), ("was n't temps cha chan",), ("o/h O&K l.h.s lxhxs",), (None,), ("",)]
+    one = F.col("s")
+    for wrong, right in text.ordered(text.CORRECTIONS):
+        one = F.regexp_replace(one, text.LEFT + wrong + text.RIGHT, f" {right} ")
+    got = spark.createDataFrame(rows, "s string").select(text.correct(F.col("s")).alias("a"), one.alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got]
+    assert got[2].a == "êchan  change  chanê"
+
+
 @pytest.mark.parametrize(("raw", "want"), [("$1,200.50", 1200.5), ("-50", 50.0), ("abc", 0.0), (None, None)])
 def test_clean_numeric(spark, raw, want):
     df = spark.createDataFrame([(raw,)], "raw string")

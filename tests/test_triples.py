@@ -1,11 +1,13 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from millwright.functions import naming, parse
-from millwright.operators import competency, evaluate, graph, score, summary
+from millwright.operators import competency, evaluate, extract, graph, score, summary
 from millwright.plans.graph_queries import CHART
+from millwright.plans.text_queries import LEMMAS
 
 VALIDATION = [
     ("leak", "State", "pump", "Object", "HAS_PATIENT", "valid"),
@@ -44,6 +46,65 @@ def test_scores(spark):
     assert nodes == {"leak": (3, 0.75), "pump": (3, 0.75), "valve": (1, 0.25), "seal": (1, 0.25)}
 
 
+def test_lemmas_of_words_outside_any_list(spark):
+    df = spark.createDataFrame(LEMMAS, "s string, root string, want string")
+    assert [(r.s, r.got) for r in df.select("s", naming.lemmatized(F.col("s"), F.col("root")).alias("got")).collect()] == [(s, want) for s, _, want in LEMMAS]
+
+
+def test_thresholds_of_normal_scores_are_by_deviations(spark):
+    rng = random.Random(5)
+    values = [rng.gauss(3, 2) for _ in range(400)]
+    median, low, high = score.thresholds(spark.createDataFrame([(v, 1) for v in values], "pmi double, frequency long")).first()
+    mean = sum(values) / 400
+    sd = math.sqrt(sum((v - mean) ** 2 for v in values) / 400)
+    assert math.isclose(low, median - 2 * sd) and math.isclose(high, median + 2 * sd)
+
+
+def test_predictions_fail_one_by_one(spark, tmp_path):
+    class Odd:
+        def outputs(self, inputs):
+            if "bad" in inputs:
+                raise ValueError
+            return [f"<entity> {x} <object>" for x in inputs if x != "short"]
+
+    records = spark.createDataFrame([(1, "pump"), (2, "bad"), (3, "pump"), (4, "short"), (5, None)], "id long, input string")
+    found, cache, failed = extract.run(records, Odd, None)
+    assert sorted((r.id, r.predicted, len(r.entities)) for r in found.collect()) == [(1, True, 1), (2, False, 0), (3, True, 1), (4, False, 0), (5, False, 0)]
+    assert [r.input for r in spark.read.parquet(cache).collect()] == ["pump"] and sorted(r.input for r in spark.read.json(failed).collect()) == ["bad", "short"]
+
+
+def test_coverage_and_guard(spark):
+    rows = spark.createDataFrame([([], []), (["a"], []), (["a"], ["r"]), ([], ["r"]), (None, None)], "entities array<string>, relations array<string>")
+    assert tuple(summary.coverage(rows).first()) == (2, 1, 5)
+    assert summary.non_empty(rows) is rows
+    with pytest.raises(ValueError, match="no rows"):
+        summary.non_empty(rows.limit(0))
+
+
+def test_evaluation_report(spark):
+    relation, entity = "item long, head string, relation string, tail string, head_type string, tail_type string", "item long, name string, type string"
+    labels = {"relations": spark.createDataFrame([(1, "a", "r", "b", "o", "o"), (2, "c", "r", "d", "o", "o")], relation), "entities": spark.createDataFrame([(1, "a", "o")], entity), "norms": spark.createDataFrame([(1, "x"), (1, "x")], "item long, head string")}
+    predictions = {"relations": spark.createDataFrame([(1, "a", "r", "b", "s", "o", 0)], relation + ", pos int"), "entities": spark.createDataFrame([], entity + ", pos int"), "norms": spark.createDataFrame([(1, "x"), (2, "y")], "item long, head string")}
+    got = {r.metric: (r.correct, r.total, r.score) for r in evaluate.report(labels, predictions, ["item", "head"]).collect()}
+    assert got == {"loose_relation": (1, 2, 0.5), "strict_relation": (0, 2, 0.0), "loose_entity": (0, 1, 0.0), "strict_entity": (0, 1, 0.0), "normalisation": (1, 2, 0.5)}
+    wrong = {tuple(r) for r in evaluate.incorrect(labels, predictions, ["item", "head"]).collect()}
+    assert wrong == {(1, "strict_relation", "a|r|b|o|o"), (2, "loose_relation", "c|r|d|o|o"), (2, "strict_relation", "c|r|d|o|o"), (1, "loose_entity", "a|o"), (1, "strict_entity", "a|o"), (2, "norm", "y")}
+    none = {k: v.limit(0) for k, v in labels.items()}
+    assert all(r.score is None for r in evaluate.report(none, predictions, ["item", "head"]).collect())
+
+
+def test_a_saved_graph_is_replaced(spark, tmp_path):
+    one = _graph(spark, [(1, "A", "2020-01-01", 1.0)], [(1, "Object", "pump", "HAS_PART", "Object", "seal")])
+    two = _graph(spark, [(1, "A", "2020-01-01", 1.0)], [(1, "Object", "pump", "HAS_PART", "Object", "hose"), (1, "State", "hose", "HAS_PATIENT", "Object", "pump")])
+    path = f"file://{tmp_path}/g"
+    graph.save(one, path)
+    g = graph.save(two, path)
+    assert sorted(r.tail for r in graph.edges(g).collect()) == ["hose", "pump"]
+    assert graph.edges_by_name(g).count() == 4  # hose stands for an object and a state
+    ids = graph.with_ids(graph.edges(g)).collect()
+    assert len({r.edge_id for r in ids}) == 2 and len({x for r in ids for x in (r.head_id, r.tail_id)}) == 3
+
+
 def test_thresholds_of_nothing(spark):
     assert score.thresholds(spark.createDataFrame([], "pmi double, frequency long")).count() == 0
 
@@ -67,7 +128,7 @@ def test_thresholds_judge_all_values(spark):
     few = [(float(round(v)), values[:2000].count(v) + 1) for v in values[:2000]]
     flat = [v for v, n in few for _ in range(n)]
     mean = sum(flat) / len(flat)
-    got = score.shapiro_wilk_of(spark.createDataFrame(few, "pmi double, frequency long"), len(flat), mean, sum((v - mean) ** 2 for v in flat))
+    got = score.shapiro_wilk_of(score.ranked(spark.createDataFrame(few, "pmi double, frequency long")), len(flat), mean, sum((v - mean) ** 2 for v in flat))
     assert math.isclose(got, score.shapiro_wilk(flat), rel_tol=1e-6, abs_tol=1e-12)
 
 
