@@ -267,7 +267,7 @@ def _root(of: dict[bytes, bytes], x: bytes) -> bytes:
 
 def _of_differences(members: DataFrame, table: Broadcast, num: int, den: int) -> DataFrame:
     """Pairs (a, b, sure) of one hub whose differences have enough in common, where at least one does not link with the hub: sure
-    links between components, as many as a list needs to join them, and pairs of sets that are too different from the hub to be sure.
+    links between components, as many as a task needs to join what its lists join, and pairs of sets that are too different from the hub to be sure.
 
     An entry of a difference d in the index is one of its first |d| - floor(w / (num + den)) shingles, since partners need at least
     floor(w / (num + den)) + 1 common ones; sets that do not link with the hub also look up further ones in the entries of those that do.
@@ -297,9 +297,11 @@ def _of_differences(members: DataFrame, table: Broadcast, num: int, den: int) ->
     cut = _in_pieces(listed, ["hub", "token"], sizes.filter("size > 1 and strays > 0 and n_indexed > 0").select("hub", "token", "size"), "node")
 
     def each(batches):
-        sent = _Sent(_FOUND)
+        sent, joined = _Sent(_FOUND), {}
         for (hub, _, low, high), group in groupby(rows(batches), key=lambda r: r[:4]):
-            known, joined = [], {}
+            known = []
+            if len(joined) >= NODES_KEPT:
+                joined.clear()
             for *_, own, indexed, kind, node, w, slack, d, pos, raw in group:  # entries of the index come first, those of the hub's own partners before others
                 x = Difference(own, node, node if kind == STRAY else hub, w, d, pos, raw)
                 if kind == STRAY:
