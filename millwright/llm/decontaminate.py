@@ -18,12 +18,14 @@ goes to the first; an empty table of documents or items gives an empty result; o
 
 from __future__ import annotations
 
+import functools
 from collections import Counter, defaultdict
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,6 +206,12 @@ class Items:
                 best[at] = (similarity, start, n + SHINGLE - 1)
 
 
+@functools.lru_cache(1)
+def index_of(shared: Broadcast) -> Items:
+    """The index of a broadcast block of items, made once by each worker for all its tasks."""
+    return Items(shared.value)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, first_word, n_words, similarity``: the best window of each item in each document that holds it."""
     spark = docs.sparkSession
@@ -218,7 +226,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         shared = spark.sparkContext.broadcast([(i, t) for i, t in block])
 
         def each(batches, shared=shared):
-            index, out = Items(shared.value), Batcher(schema)
+            index, out = index_of(shared), Batcher(schema)
             for i, text in rows(batches):
                 for at, start, n, similarity in sorted(index.found(word_hashes(text))):
                     if out.add((i, index.ids[at], start, n, similarity)):
