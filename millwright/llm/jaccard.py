@@ -54,7 +54,7 @@ PIECE, LIST_PIECE = 1024, 4096
 
 CORE, STRAY = 0, 1
 #: Differences of so many shingles at most are entries as they are; larger ones as a sketch of SKETCH bits, which takes as many bytes.
-EXACT, SKETCH = 32, 2048
+EXACT, SKETCH = 128, 8192
 
 _PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 _FOUND = pa.schema([*_PAIR, ("sure", pa.bool_())])
