@@ -39,7 +39,7 @@ BEGINNINGS = (4, 5, 6)
 SEGMENT, MOST_SEGMENTS = 32, 12_000
 ROUNDS, RATE, L2 = 50, 1.0, 1e-4
 #: A pass has settled when it is this near, relatively, to where it stays.
-SETTLED = 1e-14
+SETTLED = 1e-12
 THRESHOLD = 0.3
 #: Smaller weights are dropped.
 LEAST_WEIGHT = 0.5
@@ -225,7 +225,7 @@ class Scorer:
         r = 1.0
         for _ in range(100_000):
             r, before = step(r), r
-            if abs(r - before) <= SETTLED * r:
+            if r == before:
                 break
         return r
 
