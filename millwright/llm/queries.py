@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millwright.llm import bpe, decontaminate, jaccard, pii, quality, secrets, site_quality, substrings, toxicity, urls
+from millwright.llm import audit_sql, bpe, conversations, decontaminate, interactions, jaccard, licenses, pii, quality, secrets, site_quality, substrings, toxicity, urls
 from millwright.llm.common import table
 
 
@@ -52,6 +52,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(table(spark, sf_dir, "conversations"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP7_SQL = """
 WITH u AS (
   SELECT page_id,
@@ -106,6 +118,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_site_quality": op8_site_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_licenses": op11_licenses,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op7_url_filter": OP7_SQL}
+SQL: dict[str, str] = {
+    "op3_quality_rules": OP3_SQL,
+    "op7_url_filter": OP7_SQL,
+    "op11_licenses": audit_sql.licenses_sql(),
+    "op12_conversation_repair": audit_sql.REPAIR_SQL,
+    "op13_filter_audit": audit_sql.FILTERS_SQL,
+}
