@@ -6,7 +6,7 @@ moments finds: the variance of documents within a site over that of the true mea
 has it are shrunk altogether. A document's own probability is left out of its site's sums. The score adds to the document's log odds what its path's posterior differs from the global
 mean, times ``SITE_WEIGHT``, and is at most ``MOST_SHIFT`` away from it, so that a bad site does not reject clean documents.
 
-The classifier is fitted on at most ``MOST_LABELS`` labelled documents, those with the smallest hashes of their ids; sums cover all
+The classifier is fitted on at most ``MOST_LABELS`` labelled documents, those with the smallest hashes of their ids, each id once; sums cover all
 documents. They are grouped aggregates with partial sums, so a site that holds a third of all rows costs no more than others.
 
 Edge cases: null hosts and paths form a site of their own; null and empty texts are judged by their measures, which are zeros; without labels
@@ -77,7 +77,8 @@ def judge(docs: DataFrame, labels: DataFrame, host_col: str, path_col: str, id_c
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")).alias("path"), F.col(f"`{text_col}`").alias("text"))
     measured = saved(quality.measures(plain).select("doc_id", "host", "path", F.array(*features()).alias("x")))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label is not null")
-    sample = measured.join(F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELS)), "doc_id").select("doc_id", "label", "x").collect()
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))  # one row for each id, here and of the documents, else repeated ones would grow the sample
+    sample = measured.join(F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELS)), "doc_id").groupBy("doc_id", "label").agg(F.min("x").alias("x")).collect()
     sample.sort()
     y = np.array([r.label for r in sample], float)
     if len(set(y)) == 2:

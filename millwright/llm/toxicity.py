@@ -329,13 +329,15 @@ def fold(id_: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Chain | float:
     """A chain from the training fold; without both classes there, the mean label."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))  # one row for each id, else repeated ones would grow the sample
     n, positive = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not n or positive in (0, n):
         return positive / n if n else 0.0
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = [known.filter(F.col("label") == v).select("doc_id", "label").orderBy(*order).limit(most) for v, most in ((1, MOST_TOXIC), (0, MOST_OTHER))]
     texts = narrow(docs, "doc_id", "text").filter(F.coalesce(F.length("text"), F.lit(0)) <= MOST_CHARS)
-    sample = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text")).collect()
+    met = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    sample = met.collect()  # a text for each chosen id
     sample.sort()
     return fit([r.text for r in sample if r.label], [r.text for r in sample if not r.label], positive / n)
 
