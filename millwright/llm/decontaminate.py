@@ -9,7 +9,7 @@ The search is exact but for the radius: a window of similarity 0.8 has vectors a
 bits 19.5 differ on average, and more than 31 in one case of 400. Only windows that can be similar are formed: shingles that items have are looked up, and a window needs as many of them as the
 similarity asks for, in a document that holds so many of one item of that length.
 
-Items are handled in blocks of ``ITEMS`` and ``ITEM_BYTES`` at most, each block broadcast by itself; documents are never shuffled.
+Equal items are searched once and told apart by a join of what is found. Items are handled in blocks of ``ITEMS`` and ``ITEM_BYTES`` at most, each block broadcast by itself; documents are never shuffled.
 
 Edge cases: null and empty texts and items match nothing; items of fewer words than a shingle have one shingle of all their words; items with equal
 words, also those of equal or null ids, are all reported; repeated documents are reported row by row; very long texts are searched as a whole; a tie between windows
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from millwright.llm import fingerprints as fp
 from millwright.llm.common import Batcher, narrow, rows
+from millwright.llm.scratch import saved
 
 SHINGLE, LEAST = 5, 0.8
 #: Bits of a fingerprint, and in how many of them a window may differ from an item.
@@ -212,18 +213,48 @@ def index_of(shared: Broadcast) -> Items:
     return Items(shared.value)
 
 
+def _same(text: str):
+    """What equal texts have in common, nulls and empty ones included."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+
+
+def item_blocks(items: DataFrame, most: int = ITEMS, most_bytes: int = ITEM_BYTES) -> DataFrame:
+    """``item, text, block``: each distinct text once, in blocks that hold no more than so many texts and bytes (a longer text is alone in its own). ``items``: item, text.
+
+    Texts are dealt out by their digests to as many partitions as there would be full blocks, and each partition cuts its stream where a running count would go beyond a bound,
+    so there are twice as many blocks at most as full ones would be, and one more for each partition.
+    """
+    distinct = saved(items.groupBy("item").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")))
+    n_items, n_bytes = distinct.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n_parts = max(1, -(-n_items // most), -(-n_bytes // most_bytes))
+    schema = pa.schema([("item", pa.binary()), ("text", pa.string()), ("part", pa.int32()), ("cut", pa.int32())])
+
+    def each(batches):
+        out, cut, n, size = Batcher(schema), 0, 0, 0
+        for item, text, part in rows(batches):
+            length = len(text.encode())
+            if n and (n == most or size + length > most_bytes):
+                cut, n, size = cut + 1, 0, 0
+            n, size = n + 1, size + length
+            if out.add((item, text, part, cut), length):
+                yield out.take()
+        yield out.take()
+
+    dealt = distinct.repartition(n_parts, "item").sortWithinPartitions("item").withColumn("part", F.spark_partition_id())
+    return saved(dealt.mapInArrow(each, "item binary, text string, part int, cut int").select("item", "text", F.concat_ws(":", "part", "cut").alias("block")))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, first_word, n_words, similarity``: the best window of each item in each document that holds it."""
     spark = docs.sparkSession
-    items = narrow(benchmark, item_col, item_text_col, id_="item_id")
-    n_items, n_bytes = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    n_blocks = max(1, -(-n_items // ITEMS), -(-n_bytes // ITEM_BYTES))
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("similarity", pa.float64())])
+    items = narrow(benchmark, item_col, item_text_col, id_="item_id").withColumn("item", _same("text"))
+    blocks = item_blocks(items)
+    schema = pa.schema([("doc_id", pa.int64()), ("item", pa.binary()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("similarity", pa.float64())])
     texts = narrow(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))  # words are split as bytes anyway
-    found = []
-    for k in range(n_blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()
-        shared = spark.sparkContext.broadcast([(i, t) for i, t in block])
+    ddl = "doc_id long, item binary, first_word int, n_words int, similarity double"
+    found = [texts.select("doc_id", F.lit(None).cast("binary").alias("item"), F.lit(0).alias("first_word"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity")).filter(F.lit(False))]
+    for r in blocks.groupBy("block").agg(F.count("*").alias("n")).orderBy("block").collect():  # a row for each block
+        shared = spark.sparkContext.broadcast([(bytes(x.item), x.text) for x in blocks.filter(F.col("block") == r.block).select("item", "text").collect()])
 
         def each(batches, shared=shared):
             index, out = index_of(shared), Batcher(schema)
@@ -233,5 +264,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                         yield out.take()
             yield out.take()
 
-        found.append(texts.mapInArrow(each, "doc_id long, item_id long, first_word int, n_words int, similarity double"))
-    return reduce(DataFrame.union, found)
+        found.append(texts.mapInArrow(each, ddl))
+    met = reduce(DataFrame.union, found)
+    return met.join(items.select("item", "item_id"), "item").select("doc_id", "item_id", "first_word", "n_words", "similarity")
