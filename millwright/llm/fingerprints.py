@@ -80,10 +80,15 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(shingles(words(text), size))
 
 
+#: Fingerprints of a range, on average: what a reducer holds at once, at four bytes and a few copies each. A text has one for each six bytes or so.
+RANGE, BYTES_EACH = 8_000_000, 6
+
+
 def _range_bits(df: DataFrame) -> int:
-    """As many ranges as keep every reducer's share small: some for each shuffle partition."""
+    """As many ranges as keep every reducer's share small, whatever the number of shuffle partitions: by the size of the input, of which Parquet may hold a third, and some for each partition."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(TABLE_BITS - 4, max(7, math.ceil(math.log2(2 * partitions))))
+    size = 3 * int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(TABLE_BITS - 4, max(7, math.ceil(math.log2(2 * partitions)), math.ceil(math.log2(max(1, size / BYTES_EACH / RANGE)))))
 
 
 def levels(docs: DataFrame, fingerprints: Callable[[str | None], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:

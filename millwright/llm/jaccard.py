@@ -16,7 +16,7 @@ joins:
 * Sets of different hubs meet in the lists of the shingle index, which are read in order of set size and cut into
   blocks by position: a block whose positions leave too little room for the overlap that is needed is skipped as a whole.
 
-Long lists are split into pieces, and each pair of pieces is a group of its own, so that no task holds a list as a whole.
+Long lists are split into pieces by classes of set sizes, and each pair of pieces whose sets may link is a group of its own, so that no task holds a list as a whole.
 
 Edge cases: null and empty texts have empty sets and link with nothing; texts with fewer words than a shingle have one shingle of
 all their words; very long texts have large sets and need nothing special; repeated rows are repeated in the result; rows of equal ids and other
@@ -27,6 +27,7 @@ an empty table gives an empty one; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import OrderedDict, deque
 from collections.abc import Iterable, Iterator
 from itertools import groupby
@@ -34,7 +35,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwright.llm import fingerprints as fp
@@ -207,13 +208,29 @@ def _moved(members: DataFrame, moves: DataFrame) -> DataFrame:
     return members.join(moves, "hub").select("node", "added", "removed", "hub_added", "hub_removed", "to", "to_n").mapInArrow(each, _MEMBER_DDL)
 
 
-def _in_pieces(lists: DataFrame, keys: list[str], sizes: DataFrame, node: str) -> DataFrame:
-    """``lists`` with ``own``, an entry's piece of its list, and ``low, high``, for each group of two pieces that it is part of.
-    ``sizes``: keys and ``size``. Lists of LIST_PIECE entries or less are one piece in one group."""
-    pieces = F.ceil(F.col("size") / LIST_PIECE).cast("int")
-    owned = lists.join(sizes, keys).withColumn("pieces", pieces).withColumn("own", F.pmod(F.xxhash64(node), F.col("pieces")).cast("int"))
-    other = owned.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    return other.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("pieces", "other", "size")
+def size_class(n: Column, num: int, den: int) -> Column:
+    """Sets that link are of one class or of neighbouring ones: sizes of a class differ by a factor of ``den / num`` at most, and a bit, for rounding."""
+    return F.floor(F.log(n.cast("double")) / (math.log(den / num) + 1e-9)).cast("long")
+
+
+def _in_pieces(lists: DataFrame, keys: list[str], sizes: DataFrame, node: str, of_class: Column | None = None) -> DataFrame:
+    """``lists`` with ``own``, an entry's piece of its list, and ``low, high``, for each group of two pieces that it is part of. ``sizes``: keys and ``size``.
+
+    Lists of LIST_PIECE entries or less are one piece in one group. Of longer ones each class has pieces of its own, and only pieces of one class
+    or of neighbouring ones meet, since no other sets link: entries are copied for those alone. A list has a few dozen classes at most."""
+    of_class = F.lit(0).cast("long") if of_class is None else of_class
+    place = lambda c, piece: c * (1 << 24) + piece
+    known = lists.join(sizes, keys).withColumn("class", F.when(F.col("size") > LIST_PIECE, of_class).otherwise(F.lit(0).cast("long")))
+    long = lists.join(sizes.filter(F.col("size") > LIST_PIECE), keys).groupBy(*keys, of_class.alias("class")).agg(F.ceil(F.count("*") / LIST_PIECE).cast("long").alias("n"))
+    pieces = long.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("pieces"))
+    owned = known.join(pieces, keys, "left")
+    of = lambda c: F.coalesce(F.try_element_at("pieces", c), F.lit(0).cast("long"))
+    here = F.greatest(of(F.col("class")), F.lit(1).cast("long"))
+    owned = owned.withColumn("own", place(F.col("class"), F.pmod(F.xxhash64(node), here)))
+    near = lambda by, n: F.transform(F.sequence(F.lit(1).cast("long"), n), lambda k: place(F.col("class") + by, k - 1))
+    some = lambda by: F.when(of(F.col("class") + by) > 0, near(by, of(F.col("class") + by))).otherwise(F.array().cast("array<bigint>"))
+    other = owned.withColumn("other", F.explode(F.concat(some(-1), near(0, here), some(1))))
+    return other.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("pieces", "other", "size", "class")
 
 
 class _Sent:
@@ -375,7 +392,7 @@ def _candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
                     yield sent.out.take()
         yield sent.out.take()
 
-    cut = _in_pieces(entries, ["token"], sizes, "node").select("token", "low", "high", "n", "node", "pos", "hub", "own")
+    cut = _in_pieces(entries, ["token"], sizes, "node", size_class(F.col("n"), num, den)).select("token", "low", "high", "n", "node", "pos", "hub", "own")
     return cut.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "node").mapInArrow(each, "a binary, b binary").distinct()
 
 

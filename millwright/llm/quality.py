@@ -106,7 +106,7 @@ def judge(docs: DataFrame, table: tuple[Threshold, ...] = TABLE, id_col: str = "
 
 def keep(docs: DataFrame, table: tuple[Threshold, ...] = TABLE, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that the base rule and the table let pass."""
-    plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text_col}`").alias("text"))
+    plain = docs.select(F.struct(*(F.col(f"`{c.replace("`", "``")}`") for c in docs.columns)).alias("_row"), F.col(f"`{text_col}`").alias("text"))
     # The row number makes the verdict nondeterministic for the optimizer. Else it pushes the filter below the projections and copies
     # their nested expressions into it once for each use, which multiplies with every projection.
     verdict = ~base_failed() & passes(table) & (F.monotonically_increasing_id() >= 0)
