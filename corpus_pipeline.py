@@ -4,7 +4,7 @@ Each stage gets all rows that the one before it kept, written as Parquet in the
 effect: rejected documents, copies and contaminated documents go, personal data is replaced. All stages but the last return the columns of
 ``documents``; the last returns ids and the digest of the text that they decode to.
 
-Edge cases: null and empty texts fail the quality rules; very long texts and columns of any other name need nothing special; an empty table passes through all stages. The two stages that join by doc_id take
+Edge cases: null and empty texts fail the quality rules; very long texts and columns of any other name, with dots or that of a stage's own key, need nothing special; an empty table passes through all stages. The two stages that join by doc_id take
 equal ids for one document, of which one row stays, and give rows without an id one that their text decides and that stands behind all real ones.
 """
 
@@ -19,8 +19,18 @@ from millwright.llm.common import table
 from millwright.llm.scratch import saved
 
 
-#: A column name that no table has.
-ID = "_pipeline_id"
+
+def own_name(docs: DataFrame) -> str:
+    """A column name that the table does not have, in any case of letters."""
+    taken, name = {c.lower() for c in docs.columns}, "_pipeline_id"
+    while name in taken:
+        name += "_"
+    return name
+
+
+def columns(docs: DataFrame) -> list[Column]:
+    """All columns of the table, whatever is in their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
 
 
 def identity() -> Column:
@@ -35,26 +45,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents with a similarity of 0.8 or more over five-word shingles, the smallest id stays."""
-    known = docs.withColumn(ID, identity())
-    found = jaccard.join(known, size=5, num=4, den=5, id_col=ID)
-    gone = found.groupBy(F.col("doc_id").alias(ID)).agg(F.min("component_id").alias("kept"), F.count("*").alias("rows"))
-    gone = saved(gone.filter((F.col("kept") < F.col(ID)) | (F.col("rows") > 1)))  # written, so that its size decides how it is joined with the texts
-    repeated = gone.filter(F.col("kept") == F.col(ID)).select(ID)
-    one = known.join(repeated, ID, "left_semi").dropDuplicates([ID]).select(docs.columns)  # ids with several rows, of which one stays
-    return known.join(gone.select(ID), ID, "left_anti").select(docs.columns).union(one)
+    key = own_name(docs)
+    known = docs.withColumn(key, identity())
+    found = jaccard.join(known, size=5, num=4, den=5, id_col=key)
+    gone = found.groupBy(F.col("doc_id").alias(key)).agg(F.min("component_id").alias("kept"), F.count("*").alias("rows"))
+    gone = saved(gone.filter((F.col("kept") < F.col(key)) | (F.col("rows") > 1)))  # written, so that its size decides how it is joined with the texts
+    repeated = gone.filter(F.col("kept") == F.col(key)).select(key)
+    one = known.join(repeated, key, "left_semi").dropDuplicates([key]).select(columns(docs))  # ids with several rows, of which one stays
+    return known.join(gone.select(key), key, "left_anti").select(columns(docs)).union(one)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    known = docs.withColumn(ID, identity())
-    hit = decontaminate.matches(known, table(spark, sf_dir, "benchmark"), id_col=ID)
-    hit = saved(hit.select(F.col("doc_id").alias(ID)).distinct())
-    return known.join(hit, ID, "left_anti").select(docs.columns)
+    key = own_name(docs)
+    known = docs.withColumn(key, identity())
+    hit = decontaminate.matches(known, table(spark, sf_dir, "benchmark"), id_col=key)
+    hit = saved(hit.select(F.col("doc_id").alias(key)).distinct())
+    return known.join(hit, key, "left_anti").select(columns(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind in brackets, and counts the characters anew."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(columns(docs))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
