@@ -394,3 +394,38 @@ def test_pipeline_against_brute_force(spark):
             assert set(after) == set(before)
     last = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert last.count() == kept.count() and min(r.n_tokens for r in last.collect()) > 0
+
+
+def test_pipeline_stages_take_columns_of_any_name(spark, tmp_path):
+    """Dots, the stage's own key, and letters in either case."""
+    rows = [(i, " ".join(f"{'the of ' if k == 7 else ''}w{(i // 2) * 1000 + k}" for k in range(80)), "en", "s", 0, "kept", "mine", "upper") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, _pipeline_id string, `x``y` string")
+    spark.createDataFrame([(1, "nothing like it here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "a.b", "_pipeline_id", "x`y"], name
+        assert {tuple(r)[5:] for r in docs.collect()} == {("kept", "mine", "upper")}, name
+    assert docs.count() == 3
+
+
+def test_lists_are_split_by_set_size_only_where_sets_may_link(spark, monkeypatch):
+    """Every pair of sets that may link meets, and an entry of a long list is copied for its own and the neighbouring classes alone."""
+    monkeypatch.setattr(jaccard, "LIST_PIECE", 8)
+    rng = random.Random(6)
+    rows = [(1, f"n{i}".encode(), rng.choice([1, 2, 3, 5, 8, 10, 11, 13, 50, 62, 63, 64, 65, 80, 81, 100, 1000])) for i in range(300)] + [(2, f"m{i}".encode(), i + 1) for i in range(8)]
+    df = spark.createDataFrame(rows, "token long, node binary, n int")
+    sizes = df.groupBy("token").agg(F.count("*").alias("size"))
+    cut = jaccard._in_pieces(df, ["token"], sizes, "node", jaccard.size_class(F.col("n"), 4, 5)).collect()
+    groups = {}
+    for r in cut:
+        groups.setdefault((r.token, r.low, r.high), []).append((bytes(r.node), r.own))
+    met = Counter()
+    for (_, low, high), found in groups.items():
+        for i, (a, own) in enumerate(found):
+            for b, other in found[i + 1 :]:
+                if low == high or own != other:
+                    met[min(a, b), max(a, b)] += 1
+    sizes_of = {bytes(node): n for _, node, n in rows}
+    links = {(a, b) for a in sizes_of for b in sizes_of if a < b and a[:1] == b[:1] and 5 * min(sizes_of[a], sizes_of[b]) >= 4 * max(sizes_of[a], sizes_of[b])}
+    assert links <= met.keys() and set(met.values()) == {1}
+    assert len(cut) < 300 * 38  # all pieces with all pieces would be 38 copies of each
