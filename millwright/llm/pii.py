@@ -172,14 +172,15 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns with spans replaced in the text; null texts stay null."""
-    fields, at = docs.schema, docs.columns.index(text_col)
+    at = docs.columns.index(text_col)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names with dots would be taken for fields of structs
 
     def each(batches):
         for batch in batches:
             texts = pa.array((redacted(t, find(t)) for t in map(as_py, batch.column(at))), pa.string())
             yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return docs.mapInArrow(each, fields)
+    return plain.mapInArrow(each, plain.schema).toDF(*docs.columns)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
