@@ -2,8 +2,8 @@
 
 Documents are range-sorted by the fingerprint of their text, the text itself and doc_id, so that copies are neighbours and also very many copies of one text are spread over partitions. Each task reads its partition as
 a stream and compares a document with the first one of its run of equal texts; it holds one text of a run. A run that goes on across partitions has its least id in an earlier one: each
-partition writes the digests and least ids of its first and its last run (two rows for each partition, whatever its size), and the least id of each such text, an aggregation
-of these rows, decides the documents of first runs.
+partition writes the digests and least ids of its first and its last run (two rows for each partition, whatever its size). An aggregation of these rows gives the least id of each such text, and so of the
+first run of each partition; documents of first runs look it up by the number of their partition, not by their text, so that many copies stay spread.
 
 What fails is a mask of bits, one for each filter. Masks are counted by part with partial aggregation, together with the labels: these counters are additive, so those of two sets of documents
 add up. Every order and step follows from the counters of a part, without another look at documents.
@@ -19,6 +19,7 @@ import hashlib
 from itertools import permutations
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,8 @@ _UPPER, _SYMBOLS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
 #: Bytes that go on with a character of UTF-8.
 _LATER = bytes(range(0x80, 0xC0))
 
-#: Kinds of rows: a document of a run that began in its partition, one of the first run of its partition, a partition's edge.
-INSIDE, FIRST, EDGE = 0, 1, 2
+#: Kinds of rows: a document of a run that began in its partition, one of the first run of its partition, the first and the last run of a partition.
+INSIDE, FIRST, FIRST_RUN, LAST_RUN = range(4)
 
 
 def mask_of(text: bytes) -> int:
@@ -48,8 +49,8 @@ def mask_of(text: bytes) -> int:
     return sum(1 << k for k, failed in enumerate(fails) if failed)
 
 
-_ROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("run", pa.binary())])
-_ROW_DDL = "kind int, doc_id long, part string, mask int, run binary"
+_ROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("at", pa.int32()), ("run", pa.binary())])
+_ROW_DDL = "kind int, doc_id long, part string, mask int, at int, run binary"
 
 
 def _run(text: bytes) -> bytes:
@@ -64,29 +65,27 @@ def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_
     ordered = plain.withColumn("print", F.xxhash64("text")).repartitionByRange(*keys).sortWithinPartitions(*keys).select("print", "text", "doc_id", "part")
 
     def each(batches):
-        out = Batcher(_ROW, most_rows=20_000)
-        at, of, least, own, digest = None, b"", None, 0, None  # of the run: its text, least id and mask; a digest in the first run of a partition
-        n_runs = 0
-        for fingerprint, text, doc_id, part in rows(batches):
-            if fingerprint != at or text != of or not n_runs:
-                if n_runs == 1 and out.add((EDGE, least, None, None, digest)):
+        out, number = Batcher(_ROW, most_rows=20_000), TaskContext.get().partitionId()
+        fingerprint, text, least, own, n_runs = None, b"", None, 0, 0  # of the run: its fingerprint, text, least id and mask
+        for its_print, its_text, doc_id, part in rows(batches):
+            if its_print != fingerprint or its_text != text or not n_runs:
+                if n_runs == 1 and out.add((FIRST_RUN, least, None, None, number, _run(text))):
                     yield out.take()
                 n_runs += 1
-                at, of, least, own = fingerprint, text, doc_id, mask_of(text)
-                digest = _run(text) if n_runs == 1 else None
+                fingerprint, text, least, own = its_print, its_text, doc_id, mask_of(its_text)
             copy = doc_id is not None and least is not None and doc_id > least
-            if out.add((FIRST if n_runs == 1 else INSIDE, doc_id, part, own | (COPY if copy else 0), digest)):
+            if out.add((FIRST if n_runs == 1 else INSIDE, doc_id, part, own | (COPY if copy else 0), number, None)):
                 yield out.take()
         if n_runs:
-            out.add((EDGE, least, None, None, _run(of)))
+            out.add((LAST_RUN if n_runs > 1 else FIRST_RUN, least, None, None, number, _run(text)))
         yield out.take()
 
     found = saved(ordered.mapInArrow(each, _ROW_DDL))
-    across = found.filter(F.col("kind") == EDGE).groupBy("run").agg(F.min("doc_id").alias("least"))
-    inside = found.filter(F.col("kind") == INSIDE).select("doc_id", "part", "mask")
-    first = found.filter(F.col("kind") == FIRST).join(across, "run")
+    edges = found.filter(F.col("kind").isin(FIRST_RUN, LAST_RUN))
+    starts = edges.filter(F.col("kind") == FIRST_RUN).select("at", "run").join(edges.groupBy("run").agg(F.min("doc_id").alias("least")), "run").select("at", "least")
+    first = found.filter(F.col("kind") == FIRST).join(starts, "at")
     settled = F.when(F.col("doc_id") > F.col("least"), F.col("mask").bitwiseOR(F.lit(COPY))).otherwise(F.col("mask"))
-    return inside.unionByName(first.select("doc_id", "part", settled.alias("mask")))
+    return found.filter(F.col("kind") == INSIDE).select("doc_id", "part", "mask").unionByName(first.select("doc_id", "part", settled.alias("mask")))
 
 
 def counters(found: DataFrame, labels: DataFrame, id_col: str = "doc_id", good_col: str = "quality", toxic_col: str = "toxic") -> DataFrame:
