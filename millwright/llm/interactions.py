@@ -15,7 +15,6 @@ round; several label rows of an id count once, if any of them says 1; very long
 
 from __future__ import annotations
 
-import hashlib
 from itertools import permutations
 
 import pyarrow as pa
@@ -53,23 +52,20 @@ _ROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("part", pa.stri
 _ROW_DDL = "kind int, doc_id long, part string, mask int, at int, run binary"
 
 
-def _run(text: bytes) -> bytes:
-    return hashlib.sha256(text).digest()
-
-
 def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
     """``doc_id, part, mask`` of each document."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{part_col}`").cast("string"), F.lit("")).alias("part"), text.alias("text"))
-    keys = ["print", "text", F.col("doc_id").asc_nulls_last()]
-    ordered = plain.withColumn("print", F.xxhash64("text")).repartitionByRange(*keys).sortWithinPartitions(*keys).select("print", "text", "doc_id", "part")
+    by_id = F.col("doc_id").asc_nulls_last()
+    # Fingerprints are SHA-256, so ranges of them and of ids are those of texts and of ids; the samples that bound the ranges hold no texts.
+    ordered = plain.withColumn("print", F.unhex(F.sha2("text", 256))).repartitionByRange("print", by_id).sortWithinPartitions("print", "text", by_id).select("print", "text", "doc_id", "part")
 
     def each(batches):
         out, number = Batcher(_ROW, most_rows=20_000), TaskContext.get().partitionId()
         fingerprint, text, least, own, n_runs = None, b"", None, 0, 0  # of the run: its fingerprint, text, least id and mask
         for its_print, its_text, doc_id, part in rows(batches):
             if its_print != fingerprint or its_text != text or not n_runs:
-                if n_runs == 1 and out.add((FIRST_RUN, least, None, None, number, _run(text))):
+                if n_runs == 1 and out.add((FIRST_RUN, least, None, None, number, fingerprint)):
                     yield out.take()
                 n_runs += 1
                 fingerprint, text, least, own = its_print, its_text, doc_id, mask_of(its_text)
@@ -77,7 +73,7 @@ def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_
             if out.add((FIRST if n_runs == 1 else INSIDE, doc_id, part, own | (COPY if copy else 0), number, None)):
                 yield out.take()
         if n_runs:
-            out.add((LAST_RUN if n_runs > 1 else FIRST_RUN, least, None, None, number, _run(text)))
+            out.add((LAST_RUN if n_runs > 1 else FIRST_RUN, least, None, None, number, fingerprint))
         yield out.take()
 
     found = saved(ordered.mapInArrow(each, _ROW_DDL))
