@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from statistics import NormalDist
 
 import pyarrow as pa
@@ -21,16 +22,45 @@ def triple_counts(triples: DataFrame) -> DataFrame:
     return triples.groupBy("head", "relation", "tail").agg(F.count("*").alias("frequency"))
 
 
+def merged_counts(*counts: DataFrame) -> DataFrame:
+    """The counts of several disjoint sets of occurrences as one: counts are partial sums, so those of a new batch are all that is added."""
+    return reduce(DataFrame.unionByName, counts).groupBy("head", "relation", "tail").agg(F.sum("frequency").alias("frequency"))
+
+
+#: What is counted, and the names under which one distinct triple counts there.
+COUNTED = {"head": ("head",), "tail": ("tail",), "relation": ("relation",), "triple": (), "node": ("head", "tail")}
+
+
+def frequencies(counts: DataFrame) -> DataFrame:
+    """``kind, head, relation, tail, frequency, probability`` of heads, tails, relations, triples and nodes, in the column that names them (nodes: ``head``), others null.
+
+    A row of ``counts`` becomes six, which are summed before the shuffle; all probabilities are over the number of triples."""
+    null = F.lit(None).cast("string")
+    row = lambda kind, **own: F.struct(F.lit(kind).alias("kind"), *(own.get(c, null).alias(c) for c in ("head", "relation", "tail")))
+    key = {c: F.col(c) for c in ("head", "relation", "tail")}
+    rows = [row(kind, **key) if not names else row(kind, **({"head": F.col(n)} if kind == "node" else {n: F.col(n)})) for kind, names in COUNTED.items() for n in (names or ("head",))]
+    found = counts.select("frequency", F.explode(F.array(*rows)).alias("k")).groupBy("k.kind", "k.head", "k.relation", "k.tail").agg(F.sum("frequency").alias("frequency"))
+    return found.crossJoin(counts.agg(F.sum("frequency").alias("_n"))).select("kind", "head", "relation", "tail", "frequency", (F.col("frequency") / F.col("_n")).alias("probability"))
+
+
 def node_stats(triples: DataFrame) -> DataFrame:
     """``name, frequency, probability``: a name's occurrences at either end over the number of triples."""
-    counts = triple_counts(triples)
+    return node_stats_of(triple_counts(triples))
+
+
+def node_stats_of(counts: DataFrame) -> DataFrame:
+    """The same from counts."""
     ends = counts.select(F.explode(F.array("head", "tail")).alias("name"), "frequency").groupBy("name").agg(F.sum("frequency").alias("frequency"))
     return ends.crossJoin(counts.agg(F.sum("frequency").alias("_n"))).select("name", "frequency", (F.col("frequency") / F.col("_n")).alias("probability"))
 
 
 def scored(triples: DataFrame) -> DataFrame:
     """``head, relation, tail, frequency, probability, pmi``. Marginals are sums over the distinct triples, not over occurrences."""
-    counts = stage(triple_counts(triples))
+    return scored_of(stage(triple_counts(triples)))
+
+
+def scored_of(counts: DataFrame) -> DataFrame:
+    """The same from counts, which are read several times: they should be a written table."""
     total = counts.agg(F.sum("frequency").alias("_n"))
     marginal = lambda c: counts.groupBy(c).agg(F.sum("frequency").alias(f"_{c}"))
     df = counts.join(marginal("head"), "head").join(marginal("relation"), "relation").join(marginal("tail"), "tail").crossJoin(total)

@@ -20,11 +20,37 @@ def new_path(spark: SparkSession) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="millwright-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    hadoop, system = _hadoop(spark, path)
+    system.deleteOnExit(hadoop)
     return path
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """A path and the file system that it is on, whichever that is."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop, system = _hadoop(spark, path)
+    return bool(system.exists(hadoop))
+
+
+def _listed(spark: SparkSession, path: str) -> list:
+    hadoop, system = _hadoop(spark, path)
+    return list(system.listStatus(hadoop)) if system.exists(hadoop) else []
+
+
+def written_folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders of a table's partitions."""
+    return sorted(str(s.getPath()) for s in _listed(spark, path) if s.isDirectory() and "=" in s.getPath().getName())
+
+
+def files_of(spark: SparkSession, path: str) -> dict[str, int]:
+    """The data files below a folder and when they were changed."""
+    return {str(s.getPath()): s.getModificationTime() for s in _listed(spark, path) if s.isFile() and not s.getPath().getName().startswith(("_", "."))}
+
+
 def write_csv(df: DataFrame, path: str | None = None) -> str:
     path = path or new_path(df.sparkSession)
     df.write.csv(path, header=True, escape='"')
@@ -69,5 +95,5 @@ def remove(spark: SparkSession, path: str, below: str) -> bool:
     """Deletes an output folder. It must lie below ``below``, so that a wrong path deletes nothing else; false if there was none."""
     if not path.startswith(below.rstrip("/") + "/") or ".." in path.split("/"):
         raise ValueError(f"{path} does not lie below {below}")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True))
+    hadoop, system = _hadoop(spark, path)
+    return bool(system.delete(hadoop, True))
