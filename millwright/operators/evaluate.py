@@ -14,20 +14,22 @@ ENTITY = (["item", "name"], ["type"])
 def tried(labels: DataFrame, predictions: DataFrame, of: tuple[list[str], list[str]]) -> DataFrame:
     """``labels`` with ``loose, strict``: predictions are tried by ``pos`` for each label until one matches with its types, too.
 
-    Each loose match up to that one counts, so loose may exceed 1.
+    Each loose match up to that one counts, so loose may exceed 1. Labels and predictions are not paired: they stand below each other, one shuffle by the loose key brings
+    them together, and running counts tell how many predictions a label tries. So a key costs its labels and predictions, not their product. A null in a loose
+    key matches nothing; null types are equal.
     """
     keys, types = of
-    p = predictions.select(*keys, "pos", *(F.col(t).alias(f"p_{t}") for t in types))
-    numbered = labels.withColumn("_label", F.monotonically_increasing_id())
-    same = [F.col(f"p_{t}").eqNullSafe(F.col(t)) for t in types]
-    strict = F.col("pos").isNotNull()
-    for s in same:
-        strict = strict & s
-    met = numbered.join(p, keys, "left").withColumn("_strict", strict)
-    met = met.withColumn("_first", F.min(F.when(F.col("_strict"), F.col("pos"))).over(W.partitionBy("_label")))
-    upto = F.col("pos").isNotNull() & (F.col("_first").isNull() | (F.col("pos") <= F.col("_first")))
-    found = met.groupBy("_label", *keys, *types).agg(F.count_if(upto).alias("loose"), F.count_if(F.col("_strict") & (F.col("pos") == F.col("_first"))).alias("strict"))
-    return found.drop("_label")
+    names = [*keys, *types]
+    found = predictions.dropna(subset=keys).filter("pos is not null").select(*names, F.col("pos").cast("long").alias("_pos"))
+    both = labels.select(*names, F.lit(None).cast("long").alias("_pos")).unionByName(found).repartition(*keys)
+    upto = W.partitionBy(*keys).orderBy(F.col("_pos").asc_nulls_first()).rangeBetween(W.unboundedPreceding, W.currentRow)
+    counted = both.withColumns({"_upto": F.count("_pos").over(upto), "_all": F.count("_pos").over(W.partitionBy(*keys))})
+    same = W.partitionBy(*keys, *types)
+    # The first prediction with a label's types: how many it takes to get there, and how many stand at that place.
+    counted = counted.withColumn("_first", F.min(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_upto"))).over(same))
+    counted = counted.withColumn("_strict", F.count_if(F.col("_pos") == F.col("_first._pos")).over(same))
+    tried_ = F.coalesce("_first._upto", "_all").alias("loose")
+    return counted.filter("_pos is null").select(*names, tried_, F.col("_strict").alias("strict"))
 
 
 def _metrics(found: DataFrame, kind: str) -> DataFrame:

@@ -191,3 +191,27 @@ def test_typing_report_of_an_absent_root_is_null(spark):
     t = spark.createDataFrame([("Object/X", "Object")], "head_type string, tail_type string")
     got = {r.root: r.percent for r in summary.typing_report(t).collect()}
     assert got["Object"] == 67.0 and got["State"] is None
+
+
+def test_matching_is_linear_in_a_hot_key(spark):
+    """30,000 labels and predictions of one loose key, of which pairs would be 900 million, beside small keys against brute force."""
+    import random
+
+    rng = random.Random(4)
+    types = ["o", "s", "p", None]
+    labels = [("hot", "a", "r", "b", rng.choice(types), "o") for _ in range(30_000)] + [(f"i{rng.randint(0, 9)}", rng.choice("ab"), "r", rng.choice(["b", None]), rng.choice(types), "o") for _ in range(200)]
+    predictions = [("hot", "a", "r", "b", "z" if k < 29_990 else rng.choice(types), "o", k) for k in range(30_000)] + [(f"i{rng.randint(0, 9)}", rng.choice("ab"), "r", rng.choice(["b", None]), rng.choice(types), "o", rng.choice([0, 1, 2, 3, None])) for _ in range(200)]
+    df = spark.createDataFrame(labels, "item string, head string, relation string, tail string, head_type string, tail_type string")
+    found = evaluate.tried(df, spark.createDataFrame(predictions, "item string, head string, relation string, tail string, head_type string, tail_type string, pos int"), evaluate.RELATION)
+    by_key = {}
+    for p in predictions:
+        if p[3] is not None and p[6] is not None:
+            by_key.setdefault(p[:4], []).append(p[4:])
+    want = {}
+    for x in set(labels):
+        near = by_key.get(x[:4], []) if x[3] is not None else []
+        first = min((pos for a, b, pos in near if (a, b) == x[4:]), default=None)
+        want[x] = (sum(first is None or pos <= first for _, _, pos in near), sum((a, b, pos) == (*x[4:], first) for a, b, pos in near))
+    got = found.collect()
+    assert len(got) == len(labels) and {tuple(r)[:6]: tuple(r)[6:] for r in got} == want
+    assert "Join" not in found._jdf.queryExecution().toString()
