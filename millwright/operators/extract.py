@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwright.functions.parse import structured
+from millwright.sources import cache as cached
 from millwright.sources import sinks
 
 
@@ -42,6 +44,20 @@ def each_output(model: Extractor, inputs: list[str]) -> list[str | None]:
     return [y for x in inputs for y in each_output(model, [x])]
 
 
+#: Models that this worker has loaded, by the call that asked for them; Spark uses a worker for many tasks.
+_LOADED: dict[str, Extractor] = {}
+
+
+def loaded(call: str, model: Extractor | Callable[[], Extractor]) -> Extractor:
+    """The model itself, or what a function gives that loads one: once in each worker process, not in each task. Only the latest call's model stays."""
+    if hasattr(model, "outputs") and not isinstance(model, type):
+        return model
+    if call not in _LOADED:
+        _LOADED.clear()
+        _LOADED[call] = model()
+    return _LOADED[call]
+
+
 def predictions(inputs: DataFrame, model: Extractor | Callable[[], Extractor], cache: DataFrame | None = None) -> DataFrame:
     """``input, gen_output`` and the structured output for each distinct input that the cache does not hold.
 
@@ -52,10 +68,11 @@ def predictions(inputs: DataFrame, model: Extractor | Callable[[], Extractor], c
     if cache is not None:
         todo = todo.join(cache.select("input"), "input", "left_anti")
 
+    call = uuid.uuid4().hex
+
     def each(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loaded = model if hasattr(model, "outputs") and not isinstance(model, type) else model()
         for frame in frames:
-            yield frame.assign(gen_output=each_output(loaded, frame["input"].tolist()))
+            yield frame.assign(gen_output=each_output(loaded(call, model), frame["input"].tolist()))
 
     raw = todo.mapInPandas(each, "input string, gen_output string")
     found = raw.withColumn("_r", structured(F.col("input"), F.coalesce("gen_output", F.lit(""))))
@@ -71,12 +88,14 @@ def with_predictions(records: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def run(records: DataFrame, model: Extractor | Callable[[], Extractor], cache: str | None) -> tuple[DataFrame, str, str]:
-    """Records with predictions, the cache to which new results that passed were added, and the path of a report of failed inputs. ``cache``: a table of
-    predictions that an earlier run has returned, or none."""
+    """Records with predictions, the cache to which new results that passed were added, and the path of a report of failed inputs. ``cache``: the path of
+    one that an earlier run has returned, or none."""
     spark = records.sparkSession
-    known = spark.read.parquet(cache) if cache else None
-    new = sinks.stage(predictions(records, model, known))
     cache = cache or sinks.new_path(spark)
-    new.filter("passed").write.mode("append").parquet(cache)
+    inputs = sinks.stage(records.select("input").filter("input is not null").distinct())
+    schema = predictions(inputs.limit(0), DictionaryExtractor({})).schema
+    known = sinks.stage(cached.probe(cache, inputs, schema))
+    new = sinks.stage(predictions(inputs, model, known))
+    cached.append(cache, new.filter("passed"))
     failed = sinks.write_json(new.filter("not passed").select("input", "gen_output"))
-    return with_predictions(records, spark.read.schema(new.schema).parquet(cache)), cache, failed
+    return with_predictions(records, known.unionByName(new)), cache, failed

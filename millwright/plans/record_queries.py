@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millwright.functions import text
 from millwright.operators import sampling, summary
 from millwright.plans.oracle import clean, sql
 from millwright.plans.registry import query
-from millwright.sources import sinks, tables
+from millwright.sources import cache, sinks, tables
 from millwright.sources.tables import PLANNED, UNPLANNED, table, work_orders
 
 U, P = "('1-URGENT', '2-HIGH')", "('4-NOT SPECIFIED', '5-LOW')"
@@ -39,11 +40,12 @@ def s04(spark, d):
 
 @query("s05_cache_probe", "SELECT DISTINCT text AS input, conv_id % 2 = 0 AS hit FROM (SELECT text, min(conv_id) AS conv_id FROM conversations GROUP BY text)")
 def s05(spark, d):
-    """Inputs split by a cache of earlier results."""
+    """Inputs split by a cache of earlier results, of which only the folders are read that an input can be in."""
     inputs = table(spark, d, "conversations").groupBy("text").agg(F.min("conv_id").alias("conv_id")).withColumnRenamed("text", "input")
-    cache = inputs.filter("conv_id % 2 = 0").select("input")
-    hits, misses = inputs.join(cache, "input", "left_semi"), inputs.join(cache, "input", "left_anti")
-    return hits.select("input", F.lit(True).alias("hit")).unionByName(misses.select("input", F.lit(False).alias("hit")))
+    path = sinks.new_path(spark)
+    cache.append(path, inputs.filter("conv_id % 2 = 0").select("input"))
+    hits = cache.probe(path, inputs, T.StructType([T.StructField("input", T.StringType())]))
+    return inputs.select("input").join(hits.withColumn("hit", F.lit(True)), "input", "left").fillna(False, ["hit"])
 
 
 @query("s06_jsonl_corpus", "SELECT text AS input, role AS output FROM conversations")
@@ -54,11 +56,13 @@ def s06(spark, d):
 
 @query("k03_cache_append", "SELECT DISTINCT text AS input FROM conversations WHERE turn < 2")
 def k03(spark, d):
-    """Passed results appended to a cache table in two runs; what is cached is not appended again."""
+    """Passed results appended to a cache in two runs at once, which bring some inputs twice, then compacted."""
     df = table(spark, d, "conversations").select(F.col("text").alias("input"), (F.col("turn") < 2).alias("passed"), "turn")
-    path = sinks.append_passed(df.filter("turn = 0").select("input", "passed"), None)
-    sinks.append_passed(df.select("input", "passed"), path)
-    return spark.read.parquet(path)
+    path, schema = sinks.new_path(spark), T.StructType([T.StructField("input", T.StringType())])
+    for run in (df.filter("turn = 0"), df):
+        cache.append(path, run.filter("passed").select("input").distinct())
+    cache.compact(spark, path, schema)
+    return cache.read(spark, path, schema).select("input")
 
 
 @query("k04_failed_report", "SELECT text AS input FROM conversations WHERE turn >= 2")

@@ -73,17 +73,6 @@ def report(df: DataFrame) -> str:
     return json.dumps(rows[0] if len(rows) == 1 else rows, indent=2, sort_keys=True)
 
 
-def append_passed(df: DataFrame, path: str | None) -> str:
-    """Adds the inputs of passed rows that the cache does not hold yet."""
-    spark = df.sparkSession
-    new = df.filter("passed").select("input").distinct()
-    if path:
-        new = new.join(spark.read.parquet(path), "input", "left_anti")
-    path = path or new_path(spark)
-    new.write.mode("append").parquet(path)
-    return path
-
-
 def stage(df: DataFrame) -> DataFrame:
     """The rows of a stage that several later ones read, written once as Parquet: not computed again, and not lost with an executor."""
     path = new_path(df.sparkSession)
