@@ -25,6 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -218,43 +219,47 @@ def _same(text: str):
     return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
 
 
-def item_blocks(items: DataFrame, most: int = ITEMS, most_bytes: int = ITEM_BYTES) -> DataFrame:
-    """``item, text, block``: each distinct text once, in blocks that hold no more than so many texts and bytes (a longer text is alone in its own). ``items``: item, text.
+def item_blocks(items: DataFrame, most: int = ITEMS, most_bytes: int = ITEM_BYTES) -> list[DataFrame]:
+    """Tables of ``item, text``: each distinct text once, no more than so many texts and bytes in a table (a longer text is alone in its own). ``items``: item, text.
 
-    Texts are dealt out by their digests to as many partitions as there would be full blocks, and each partition cuts its stream where a running count would go beyond a bound,
-    so there are twice as many blocks at most as full ones would be, and one more for each partition.
+    Each partition cuts its stream of texts where a running count would go beyond a bound; then the pieces, of which there are few more than full ones would be and
+    partitions, are packed into blocks one after the other, so that two neighbouring blocks are more than one full one, however texts are dealt out.
     """
-    distinct = saved(items.groupBy("item").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")))
-    n_items, n_bytes = distinct.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    n_parts = max(1, -(-n_items // most), -(-n_bytes // most_bytes))
-    schema = pa.schema([("item", pa.binary()), ("text", pa.string()), ("part", pa.int32()), ("cut", pa.int32())])
+    schema = pa.schema([("item", pa.binary()), ("text", pa.string()), ("piece", pa.string())])
 
     def each(batches):
-        out, cut, n, size = Batcher(schema), 0, 0, 0
-        for item, text, part in rows(batches):
+        out, part, cut, n, size = Batcher(schema), TaskContext.get().partitionId(), 0, 0, 0
+        for item, text in rows(batches):
             length = len(text.encode())
             if n and (n == most or size + length > most_bytes):
                 cut, n, size = cut + 1, 0, 0
             n, size = n + 1, size + length
-            if out.add((item, text, part, cut), length):
+            if out.add((item, text, f"{part}:{cut}"), length):
                 yield out.take()
         yield out.take()
 
-    dealt = distinct.repartition(n_parts, "item").sortWithinPartitions("item").withColumn("part", F.spark_partition_id())
-    return saved(dealt.mapInArrow(each, "item binary, text string, part int, cut int").select("item", "text", F.concat_ws(":", "part", "cut").alias("block")))
+    distinct = items.groupBy("item").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    pieces = saved(distinct.mapInArrow(each, "item binary, text string, piece string"))
+    blocks, n, size = [], most, most_bytes
+    for r in pieces.groupBy("piece").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).orderBy("piece").collect():
+        if n + r.n > most or size + r.size > most_bytes:
+            blocks.append([])
+            n = size = 0
+        blocks[-1].append(r.piece)
+        n, size = n + r.n, size + r.size
+    return [pieces.filter(F.col("piece").isin(block)).select("item", "text") for block in blocks]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, first_word, n_words, similarity``: the best window of each item in each document that holds it."""
     spark = docs.sparkSession
     items = narrow(benchmark, item_col, item_text_col, id_="item_id").withColumn("item", _same("text"))
-    blocks = item_blocks(items)
     schema = pa.schema([("doc_id", pa.int64()), ("item", pa.binary()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("similarity", pa.float64())])
     texts = narrow(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))  # words are split as bytes anyway
     ddl = "doc_id long, item binary, first_word int, n_words int, similarity double"
     found = [texts.select("doc_id", F.lit(None).cast("binary").alias("item"), F.lit(0).alias("first_word"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity")).filter(F.lit(False))]
-    for r in blocks.groupBy("block").agg(F.count("*").alias("n")).orderBy("block").collect():  # a row for each block
-        shared = spark.sparkContext.broadcast([(bytes(x.item), x.text) for x in blocks.filter(F.col("block") == r.block).select("item", "text").collect()])
+    for block in item_blocks(items):
+        shared = spark.sparkContext.broadcast([(bytes(x.item), x.text) for x in block.collect()])
 
         def each(batches, shared=shared):
             index, out = index_of(shared), Batcher(schema)
