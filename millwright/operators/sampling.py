@@ -53,10 +53,13 @@ def uniform(key: Column, k: int, seed: int) -> Column:
     return ((F.pmod(key + F.lit(k * 7919 + seed), F.lit(1 << 31)) * F.lit(2654435761)) % F.lit(1 << 32)).cast("double") / F.lit(float(1 << 32))
 
 
-def dummy_columns(df: DataFrame, key: str, seed: int) -> DataFrame:
+def dummy_values(key: str, seed: int) -> dict[str, Column]:
+    """A date, a cost and a time that look random, from a row's key."""
     u = lambda k: uniform(F.col(key).cast("long"), k, seed)
     whole = lambda k, low, n: (F.floor(u(k) * n) + low).cast("int")
-    return df.select(
-        "*", F.make_date(whole(0, 2000, 21), whole(1, 1, 12), whole(2, 1, 28)).alias("start_date"),
-        skewed(u(3), 0, 50000).cast("double").alias("cost"), skewed(u(4), 0, 84).cast("double").alias("time"),
-    )
+    return {"start_date": F.make_date(whole(0, 2000, 21), whole(1, 1, 12), whole(2, 1, 28)), "cost": skewed(u(3), 0, 50000).cast("double"), "time": skewed(u(4), 0, 84).cast("double")}
+
+
+def dummy_columns(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """``df`` with those of the three columns that it lacks."""
+    return df.withColumns({name: value for name, value in dummy_values(key, seed).items() if name not in df.columns})

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwright.functions import text
-from millwright.operators import sampling, summary
+from millwright.operators import sampling, setup, summary
 from millwright.plans.oracle import clean, sql
 from millwright.plans.registry import query
 from millwright.sources import cache, sinks, tables
+from millwright.sources.settings import Input, Settings
 from millwright.sources.tables import PLANNED, UNPLANNED, table, work_orders
 
 U, P = "('1-URGENT', '2-HIGH')", "('4-NOT SPECIFIED', '5-LOW')"
@@ -20,12 +21,35 @@ WO = "id, type, text, floc, start_date, cost, \"time\""
 
 @query("s01_csv_scan", sql(f"SELECT {WO} FROM wo", "wo"))
 def s01(spark: SparkSession, d: str) -> DataFrame:
-    """A written CSV file read back, typed again."""
-    path = sinks.write_csv(work_orders(spark, d))
-    df = tables.read_csv(spark, path, [f.name for f in tables.WORK_ORDER])
+    """A written CSV file, whose columns stand in another order among others, read back by name and typed again."""
+    names = [f.name for f in tables.WORK_ORDER]
+    path = sinks.write_csv(work_orders(spark, d).select(F.lit("x").alias("remark"), *reversed(names), F.col("id").alias("number")))
+    df = tables.read_csv(spark, path, names)
     return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in tables.WORK_ORDER))
 
 
+#: Every so many orders have a date, a cost or a line that can't be read.
+_BAD = (("date", 7, 0), ("cost", 11, 1), ("line", 13, 2))
+
+
+@query("s01_quarantine", sql("SELECT coalesce(reason, 'loaded') AS reason, count(*) AS n FROM (SELECT unnest(CASE WHEN id % 13 = 2 THEN ['line'] WHEN id % 7 = 0 AND id % 11 = 1 THEN ['cost', 'start_date'] WHEN id % 7 = 0 THEN ['start_date'] WHEN id % 11 = 1 THEN ['cost'] ELSE ['loaded'] END) AS reason FROM wo) GROUP BY 1", "wo"))
+def s01_quarantine(spark, d):
+    """Both sides of a load: rows, and what could not be read, by reason."""
+    bad = {what: F.col("id") % every == rest for what, every, rest in _BAD}
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    date = F.when(bad["date"], "31/02/1995").otherwise(F.date_format("start_date", "dd/MM/yyyy"))
+    cost = F.when(bad["cost"], "1.2.3").otherwise(F.concat(F.lit("$"), F.format_string("%.2f", "cost")))
+    line = F.concat_ws(",", quoted(F.coalesce("text", F.lit(""))), F.col("id").cast("string"), F.lit("remark"), "type", "floc", date, cost, F.when(~bad["line"], F.coalesce(F.col("time").cast("string"), F.lit(""))))
+    path = sinks.new_path(spark)
+    lines = work_orders(spark, d).select(line.alias("value"), F.lit(1).alias("at"))
+    header = spark.range(1).select(F.lit("text,id,remark,type,floc,start_date,cost,time").alias("value"), F.lit(0).alias("at"))
+    header.unionByName(lines).repartition(1).sortWithinPartitions("at").select("value").write.text(path)  # one file, whose first line is the header
+    loaded = setup.load(spark, Settings(input=Input(csv_filename=path, start_date_col="start_date", cost_col="cost", time_col="time", date_format="%d/%m/%Y")))
+    rejected = sinks.stage(loaded.rejected)
+    rows = loaded.orders.agg(F.lit("loaded").alias("reason"), F.count("*").alias("n")).select("reason", "n")
+    return rows.unionByName(rejected.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n")))
+
+
 @query("s03_json_stage", sql("SELECT id, floc, start_date, cost FROM wo", "wo"))
 def s03(spark, d):
     """A stage's JSON output read back with its schema."""

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _loaded() -> None:
-    from millwright.plans import graph_queries, record_queries, store_queries, text_queries, triple_queries  # noqa: F401
+    from millwright.plans import graph_queries, record_queries, run_queries, store_queries, text_queries, triple_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

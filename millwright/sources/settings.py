@@ -28,6 +28,9 @@ class Processing:
     remove_subsumption: bool = False
     remove_rare_outliers: bool = True
     site_codes: tuple[str, ...] = ()
+    systems: tuple[str, ...] = ()
+    unplanned_only: bool = False
+    add_dummy_cols: bool = False
     limit: int | None = None
 
 

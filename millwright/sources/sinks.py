@@ -46,9 +46,9 @@ def written_folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(str(s.getPath()) for s in _listed(spark, path) if s.isDirectory() and "=" in s.getPath().getName())
 
 
-def files_of(spark: SparkSession, path: str) -> dict[str, int]:
-    """The data files below a folder and when they were changed."""
-    return {str(s.getPath()): s.getModificationTime() for s in _listed(spark, path) if s.isFile() and not s.getPath().getName().startswith(("_", "."))}
+def files_of(spark: SparkSession, path: str) -> dict[str, tuple[int, int]]:
+    """The data files below a folder (or the file itself), their sizes and when they were changed."""
+    return {str(s.getPath()): (s.getLen(), s.getModificationTime()) for s in _listed(spark, path) if s.isFile() and not s.getPath().getName().startswith(("_", "."))}
 
 
 def write_csv(df: DataFrame, path: str | None = None) -> str:

@@ -30,10 +30,23 @@ def missing_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.when(~F.col(f.name).isin(*NULL_TOKENS), F.col(f.name)) for f in df.schema if isinstance(f.dataType, T.StringType)})
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A CSV file with a header as strings; missing values are null."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return missing_to_null(spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"'))
+#: Holds a line that is no row of its table.
+BROKEN = "_broken"
+
+
+def read_csv(spark: SparkSession, path: str, columns: list[str] | dict[str, str]) -> DataFrame:
+    """The named columns of CSV files with a header, as strings; missing values are null. ``columns``: names in the header, or those with the names that they get.
+
+    Columns are found by their names, wherever they stand among others; one that is missing raises, and so does a file whose header differs from the first one's.
+    A line with another number of fields than the header is kept in ``_broken``, with the fields that it has."""
+    names = columns if isinstance(columns, dict) else {c: c for c in columns}
+    header = spark.read.csv(path, header=True, multiLine=True, escape='"').columns
+    if missing := [c for c in names if c not in header]:
+        raise ValueError(f"{path} has no column {', '.join(map(repr, missing))}; it has {', '.join(map(repr, header))}")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, BROKEN]])
+    df = spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"', enforceSchema=False, columnNameOfCorruptRecord=BROKEN)
+    quoted = lambda c: f"`{c.replace('`', '``')}`"
+    return missing_to_null(df.select(*(F.col(quoted(c)).alias(n) for c, n in names.items()), BROKEN))
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
