@@ -1,4 +1,4 @@
-"""Extraction: a pluggable model over distinct inputs, loaded once by each worker and applied to Arrow batches."""
+"""Extraction: a pluggable model over distinct inputs, loaded once by each worker and applied to batches of like length."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwright.functions.parse import structured
+from millwright.operators.batches import MOST_PADDED, by_length
 from millwright.sources import cache as cached
 from millwright.sources import sinks
 
@@ -58,10 +59,10 @@ def loaded(call: str, model: Extractor | Callable[[], Extractor]) -> Extractor:
     return _LOADED[call]
 
 
-def predictions(inputs: DataFrame, model: Extractor | Callable[[], Extractor], cache: DataFrame | None = None) -> DataFrame:
+def predictions(inputs: DataFrame, model: Extractor | Callable[[], Extractor], cache: DataFrame | None = None, most_padded: int = MOST_PADDED) -> DataFrame:
     """``input, gen_output`` and the structured output for each distinct input that the cache does not hold.
 
-    ``model``: an extractor, or a function that loads one, which each worker calls once. An input whose prediction failed has a null output, empty
+    ``model``: an extractor, or a function that loads one, which each worker calls once. It is given inputs of like length together, of ``most_padded`` bytes at most with the shorter ones padded. An input whose prediction failed has a null output, empty
     arrays, and ``passed`` false.
     """
     todo = inputs.select("input").filter("input is not null").distinct()
@@ -72,9 +73,11 @@ def predictions(inputs: DataFrame, model: Extractor | Callable[[], Extractor], c
 
     def each(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(gen_output=each_output(loaded(call, model), frame["input"].tolist()))
+            for _, batch in frame.groupby("batch", sort=False):
+                yield batch[["input"]].assign(gen_output=each_output(loaded(call, model), batch["input"].tolist()))
 
-    raw = todo.mapInPandas(each, "input string, gen_output string")
+    batched = by_length(todo.withColumn("n", F.octet_length("input")), "n", most_padded)
+    raw = batched.select("input", "batch").mapInPandas(each, "input string, gen_output string")
     found = raw.withColumn("_r", structured(F.col("input"), F.coalesce("gen_output", F.lit(""))))
     return found.select("input", "gen_output", "_r.norms", "_r.entities", "_r.relations", "_r.issues", (F.col("_r.passed") & F.col("gen_output").isNotNull()).alias("passed"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millwright.functions import naming, parse, text, training
-from millwright.operators import extract, sampling, summary
+from millwright.operators import batches, extract, sampling, summary
 from millwright.plans import oracle as o
 from millwright.plans.registry import query
 from millwright.sources.tables import table
@@ -34,7 +34,17 @@ _step("f21_f23_relation_type", naming.format_relation, "upper(replace(replace(te
 _step("f25_negations", lambda c: naming.negated(F.replace(c, F.lit("the"), F.lit("wont"))), o._negated("replace(text, 'the', 'wont')"))
 #: As long as an input of the extraction model may be.
 LENGTH = 512
-_step("s11_t02_byte_tokens", lambda c: F.array_join(training.byte_tokens(c, LENGTH), ","), f"(SELECT string_agg(x, ',' ORDER BY i) FROM (SELECT i, CASE WHEN 2 * i - 1 <= length(h) THEN (('0x' || h[2 * i - 1:2 * i])::INTEGER + 3) ELSE 0 END::VARCHAR AS x FROM (SELECT hex(encode(text)) AS h), unnest(range(1, {LENGTH + 1})) AS u(i)))")
+_BYTES = "SELECT i, CASE WHEN i <= n THEN ('0x' || h[2 * i - 1:2 * i])::INTEGER + 3 WHEN i = n + 1 THEN 1 ELSE 0 END AS x FROM (SELECT hex(encode(text)) AS h, least(length(hex(encode(text))) // 2, {most}) AS n), unnest(range(1, {to})) AS u(i)"
+_step("s11_t02_byte_tokens", lambda c: F.array_join(training.byte_tokens(c, LENGTH), ","), f"(SELECT string_agg(x::VARCHAR, ',' ORDER BY i) FROM ({_BYTES.replace('{most}', str(LENGTH - 1)).replace('{to}', str(LENGTH + 1))}))")
+
+
+@query("s11_f59_batched_ids", f"SELECT conv_id, turn, (SELECT string_agg(x::VARCHAR, ',' ORDER BY i) FROM ({_BYTES.replace('{most}', str(LENGTH - 1)).replace('{to}', str(LENGTH + 1))}) WHERE x > 0) AS ids, true AS fits FROM conversations")
+def s11(spark, d):
+    """Ids of texts in batches by length, padded to the longest of each: without the padding they are those of the texts alone."""
+    df = table(spark, d, "conversations").select("conv_id", "turn", training.byte_ids(F.col("text"), LENGTH).alias("ids")).withColumn("n", F.size("ids"))
+    batched = batches.by_length(df, "n", most_padded=1 << 14).withColumn("padded", training.padded(F.col("ids"), F.col("longest")))
+    fits = (F.size("padded") == F.col("longest")) & (F.col("longest") >= F.col("n"))
+    return batched.select("conv_id", "turn", F.array_join(F.filter("padded", lambda x: x != training.PAD), ",").alias("ids"), fits.alias("fits"))
 
 
 @query("f24_colloquialism", "SELECT s, CASE s WHEN 'air conditioning' THEN 'air conditioner' WHEN 'piping' THEN 'pipe' WHEN 'leaky' THEN 'leak' ELSE s END AS out FROM (VALUES ('air conditioning'), ('piping'), ('leaky'), ('leaky hose')) AS v(s)")
