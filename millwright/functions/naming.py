@@ -111,7 +111,7 @@ def negated(c: Column) -> Column:
     return c
 
 
-def _by_rules(word: Column, irregular: dict[str, str], rules: list[tuple[str, str]]) -> Column:
+def by_rules(word: Column, irregular: dict[str, str], rules: list[tuple[str, str]]) -> Column:
     first = F.lit(None).cast("string")
     for pattern, lemma in reversed(rules):
         first = F.when(word.rlike(pattern), F.regexp_replace(word, pattern, lemma.replace("\\1", "$1"))).otherwise(first)
@@ -121,7 +121,15 @@ def _by_rules(word: Column, irregular: dict[str, str], rules: list[tuple[str, st
 def lemmatized(c: Column, root: Column) -> Column:
     """The last word's lemma: a noun's for objects and properties, a verb's for others. Only words of small letters have another one."""
     noun = root.isin("object", "property")
-    return _last_mapped(c, lambda last: F.when(noun, _by_rules(last, IRREGULAR_NOUNS, NOUN_RULES)).otherwise(_by_rules(last, IRREGULAR_VERBS, VERB_RULES)))
+    return _last_mapped(c, lambda last: F.when(noun, by_rules(last, IRREGULAR_NOUNS, NOUN_RULES)).otherwise(by_rules(last, IRREGULAR_VERBS, VERB_RULES)))
+
+
+def spelt(name: Column, type_: Column) -> Column:
+    """struct(name, ops): colloquialism, then negation for states; ops that changed the name. What is left is the lemma."""
+    root = F.lower(F.substring_index(type_, "/", 1))
+    first = F.when(F.trim(name) == "", name).otherwise(colloquial(name))
+    told = lambda one, two: F.struct(two.alias("name"), F.array_compact(F.array(F.when(one != name, "colloquialism"), F.when(two != one, "negation"))).alias("ops"))
+    return let(first, lambda one: let(F.when(root == "state", negated(one)).otherwise(one), lambda two: told(one, two)))
 
 
 def normalised(name: Column, type_: Column) -> Column:

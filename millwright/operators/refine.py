@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwright.functions import naming
+from millwright.operators import lemmas
 from millwright.sources.sinks import stage
 
 
@@ -21,18 +22,25 @@ def typed(names: DataFrame, gazetteer: DataFrame) -> DataFrame:
     return names.join(places, ["_of", "_name"], "left").withColumn("_path", F.coalesce("_path", "_of"))
 
 
-def name_table(valid: DataFrame, gazetteer: DataFrame) -> DataFrame:
+def name_table(valid: DataFrame, gazetteer: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """``_from, _of`` to ``_name, _ops, _path``: each distinct name of a type once. It is far smaller than the triples, and written, so
-    that Spark knows its size when it chooses how to join it."""
+    that Spark knows its size when it chooses how to join it. ``vocabulary``: word counts (``lemmas.word_counts``) that decide on lemmas; without it rules do."""
     ends = F.array(*(F.struct(F.col(s).alias("_from"), F.col(f"{s}_type").alias("_of")) for s in ("head", "tail")))
     distinct = valid.select(F.explode(ends).alias("_e")).select("_e.*").distinct()
-    named = distinct.withColumn("_n", naming.normalised(F.col("_from"), F.col("_of"))).select("_from", "_of", F.col("_n.name").alias("_name"), F.col("_n.ops").alias("_ops"))
+    if vocabulary is None:
+        named = distinct.withColumn("_n", naming.normalised(F.col("_from"), F.col("_of"))).select("_from", "_of", F.col("_n.name").alias("_name"), F.col("_n.ops").alias("_ops"))
+    else:
+        root = F.lower(F.substring_index("_of", "/", 1))
+        spelt = distinct.withColumns({"_root": root, "_n": naming.spelt(F.col("_from"), F.col("_of"))}).withColumn("_spelt", F.col("_n.name"))
+        found = lemmas.lemmatized(spelt, vocabulary, "_spelt", "_root")
+        ops = F.array_compact(F.concat("_n.ops", F.array(F.when(F.col("lemma") != F.col("_spelt"), "lemmatize"))))
+        named = found.select("_from", "_of", F.col("lemma").alias("_name"), ops.alias("_ops"))
     return stage(typed(named, gazetteer).select("_from", "_of", "_name", "_ops", "_path"))
 
 
-def normalised(valid: DataFrame, gazetteer: DataFrame) -> DataFrame:
+def normalised(valid: DataFrame, gazetteer: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """Names normalised, with the operations that changed them, then typed."""
-    names = name_table(valid, gazetteer)
+    names = name_table(valid, gazetteer, vocabulary)
     df = valid
     for s in ("head", "tail"):
         side = names.select(*(F.col(c).alias(f"_{s}{c}") for c in names.columns))
@@ -41,11 +49,11 @@ def normalised(valid: DataFrame, gazetteer: DataFrame) -> DataFrame:
     return df
 
 
-def refined(raw: DataFrame, gazetteer: DataFrame, remove_subsumption: bool = False) -> DataFrame:
+def refined(raw: DataFrame, gazetteer: DataFrame, remove_subsumption: bool = False, vocabulary: DataFrame | None = None) -> DataFrame:
     """Triples that are valid before and after normalisation."""
     df = formatted(raw).filter(F.col("message") == "valid").drop("message")
     if remove_subsumption:
         df = df.filter(F.col("relation") != "IS_A")
-    df = normalised(stage(df), gazetteer)  # its names are looked for and then replaced
+    df = normalised(stage(df), gazetteer, vocabulary)  # its names are looked for and then replaced
     again = naming.validation(*map(F.col, ("head", "head_type", "relation", "tail", "tail_type")))
     return df.filter(again == "valid").select("record_id", "head", "head_type", "relation", "tail", "tail_type")

@@ -1,10 +1,12 @@
-"""Samples, shuffles and splits that are the same in every run."""
+"""Samples, shuffles, splits and numbers that are the same in every run."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millwright.sources.sinks import stage
+
 
 def permuted(key: Column) -> Column:
     """A fixed permutation of 32-bit keys, by a multiplicative hash."""
@@ -16,8 +18,23 @@ def exact_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(permuted(F.col(key)), F.col(key)).limit(n)
 
 
-def shuffled(df: DataFrame, seed: int) -> DataFrame:
-    return df.orderBy(F.rand(seed))
+def numbered(df: DataFrame, order: list[str], first: int) -> DataFrame:
+    """``df`` with ``id``: first, first + 1, ... in an order. Each partition of a range sort numbers its rows, and the sizes of those before it are added: one row for each partition
+    reaches the driver. Rows are written before they are numbered, so a lost executor cannot change a number."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), place.alias("_at")))
+    starts, at = [], first
+    for part, n in sorted(placed.groupBy("_part").count().collect()):
+        starts.append((part, at))
+        at += n
+    starts = df.sparkSession.createDataFrame(starts, "_part int, _start long")
+    return placed.join(F.broadcast(starts), "_part").withColumn("id", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+
+
+def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """``df`` with ``place``, from 1 on, in an order that looks random: that of the seeded hashes of a key, equal ones by the key."""
+    mixed = df.withColumn("_h", permuted(F.pmod(F.col(key).cast("long") + F.lit(seed), F.lit(1 << 31))))
+    return numbered(mixed, ["_h", key], 1).drop("_h").withColumnRenamed("id", "place").orderBy("place")
 
 
 def split_exact(df: DataFrame, key: str, share: float) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from millwright.operators import graph, score
 from millwright.operators.graph import KEY, Graph
+from millwright.operators.sampling import numbered
 from millwright.sources.sinks import exists, files_of, remove, stage, written_folders
 
 NODE = ["label", "name"]
@@ -43,19 +44,6 @@ def keys(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(_schema(name)).parquet(f"{path}/{name}")
 
 
-def numbered(df: DataFrame, order: list[str], first: int) -> DataFrame:
-    """``df`` with ``id``: first, first + 1, ... in an order. Each partition of a range sort numbers its rows, and the sizes of those before it are added: one row for each partition
-    reaches the driver. Rows are written before they are numbered, so a lost executor cannot change a number."""
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), place.alias("_at")))
-    starts, at = [], first
-    for part, n in sorted(placed.groupBy("_part").count().collect()):
-        starts.append((part, at))
-        at += n
-    starts = df.sparkSession.createDataFrame(starts, "_part int, _start long")
-    return placed.join(F.broadcast(starts), "_part").withColumn("id", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
-
-
 def add_keys(path: str, name: str, batch: str, found: DataFrame) -> int:
     """Appends the keys that are not there yet, and gives their number."""
     spark, key = found.sparkSession, KEYS[name]

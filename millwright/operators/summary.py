@@ -86,7 +86,10 @@ def density(stats: DataFrame, value: str, weight: str, points: int = 50) -> Data
     Each distinct value meets each of the fixed places once, and partial sums are all that is moved.
     """
     v, w = F.col(value), F.col(weight)
-    one = stats.agg(F.sum(w).alias("_n"), F.sum(w * v).alias("_s"), F.sum(w * v * v).alias("_q"), F.min(v).alias("_low"), F.max(v).alias("_high"))
+    # Values are taken from the least one on: else the difference of two large sums would stand for a small spread.
+    ends = stats.agg(F.min(v).alias("_low"), F.max(v).alias("_high"))
+    from_low = v - F.col("_low")
+    one = stats.crossJoin(F.broadcast(ends)).groupBy("_low", "_high").agg(F.sum(w).alias("_n"), F.sum(w * from_low).alias("_s"), F.sum(w * from_low * from_low).alias("_q"))
     n = F.col("_n")
     spread = F.sqrt((F.col("_q") - F.col("_s") * F.col("_s") / n) / (n - 1)) * F.pow(n.cast("double"), F.lit(-0.2))
     places = one.withColumn("_h", spread).withColumn("x", F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.col("_low") + (F.col("_high") - F.col("_low")) * k / (points - 1))))

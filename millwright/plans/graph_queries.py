@@ -11,7 +11,7 @@ from millwright.plans.oracle import sql
 from millwright.plans.registry import query
 from millwright.plans.triple_queries import surviving, surviving_of, triples
 from millwright.sources.sinks import new_path, stage
-from millwright.sources.tables import GAZETTEER, work_orders
+from millwright.sources.tables import GAZETTEER, table, work_orders
 
 FAILED = "State/UndesirableState/FailedState"
 
@@ -173,8 +173,6 @@ def p19(spark, d):
 
 @query("cq5_j09_replacement_costs", sql(f"SELECT year(start_date)::BIGINT AS year, count(*) AS eventCount, list_sort(list_distinct(list(m))) AS components, round(sum(cost), 4) AS totalCost FROM mu AS x {_R} WHERE relation = 'HAS_PATIENT' AND n_label = 'Activity/MaintenanceActivity/Replace' AND floc = (SELECT min(n_name) FROM nation) AND year(start_date) BETWEEN 1993 AND 1997 GROUP BY 1", "wo", "stats"))
 def cq5(spark, d):
-    from millwright.sources.tables import table
-
     asset = table(spark, d, "nation").agg(F.min("n_name")).first()[0]
     return cq.replacement_costs(the_graph(spark, d), asset, 1993, 1997).withColumn("totalCost", F.round("totalCost", 4))
 
@@ -226,9 +224,13 @@ CHART = [
     ("D", "not cool", 2), ("D", "blowing hot air", 3), ("D", "no power", 3), ("D", "blowing hot", 3), ("D", "not getting cold", 4), ("D", "not work", 12),
     ("E", "not work", 2), ("E", "not cool", 7),
 ]
+_CHART = "(VALUES " + ", ".join(f"('{a}', '{b}', {c})" for a, b, c in CHART) + ") AS v(system, state, n)"
 
 
-@query("s12_literal_chart", "SELECT system, state, round(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY system), 2) AS percentage FROM (VALUES " + ", ".join(f"('{a}', '{b}', {c})" for a, b, c in CHART) + ") AS v(system, state, n)")
+@query("s12_literal_chart", f"SELECT asset, state, round(100.0::DOUBLE * sum(n) / sum(sum(n)) OVER (PARTITION BY asset), 6) AS percentage FROM (SELECT n_name AS asset, chr(65 + n_regionkey) AS system FROM nation) JOIN {_CHART} USING (system) GROUP BY asset, state")
 def s12(spark, d) -> DataFrame:
-    df = spark.createDataFrame(CHART, "system string, state string, n long")
-    return score.shares(df, ["system"], "n").select("system", "state", F.round("percentage", 2).alias("percentage"))
+    """The literal table beside given ones: each nation has the chart of the system that its region stands for."""
+    chart = spark.createDataFrame(CHART, "system string, state string, n long")
+    nations = table(spark, d, "nation").select(F.col("n_name").alias("asset"), F.char(F.lit(65) + F.col("n_regionkey")).alias("system"))
+    df = nations.join(chart, "system").groupBy("asset", "state").agg(F.sum("n").alias("n"))
+    return score.shares(df, ["asset"], "n").select("asset", "state", F.round("percentage", 6).alias("percentage"))

@@ -57,9 +57,11 @@ def s03(spark, d):
     return spark.read.schema("id long, floc string, start_date date, cost double").json(path)
 
 
-@query("s04_gazetteer", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{n}', '{p}')" for t, pairs in tables.GAZETTEER.items() for n, p in dict(pairs).items()) + ") AS g(type, name, path)")
+@query("s04_gazetteer", "SELECT 'Object' AS type, p_name AS name, 'Object/PhysicalObject/' || max_by(p_brand, p_partkey) AS path FROM part GROUP BY p_name")
 def s04(spark, d):
-    return tables.read_gazetteer(spark, tables.GAZETTEER)
+    """A gazetteer of {type: [[name, path], ...]}, of which the last path of a name holds; here its lists are made of parts in order."""
+    pairs = table(spark, d, "part").select(F.lit("Object").alias("type"), F.col("p_partkey").alias("at"), F.col("p_name").alias("name"), F.concat(F.lit("Object/PhysicalObject/"), "p_brand").alias("path"))
+    return tables.gazetteer_of(pairs)
 
 
 @query("s05_cache_probe", "SELECT DISTINCT text AS input, conv_id % 2 = 0 AS hit FROM (SELECT text, min(conv_id) AS conv_id FROM conversations GROUP BY text)")
@@ -106,9 +108,9 @@ def p02(spark, d):
     return work_orders(spark, d).select("id", "type", "text", "floc")
 
 
-@query("p03_p04_drop_missing", sql("SELECT id, nullif(floc, 'FRANCE') AS floc, text FROM wo WHERE nullif(floc, 'FRANCE') IS NOT NULL AND text IS NOT NULL", "wo"))
+@query("p03_p04_drop_missing", sql("SELECT id, nullif(floc, 'NATION_3') AS floc, text FROM wo WHERE nullif(floc, 'NATION_3') IS NOT NULL AND text IS NOT NULL", "wo"))
 def p03(spark, d):
-    return work_orders(spark, d).select("id", F.nullif("floc", F.lit("FRANCE")).alias("floc"), "text").dropna(subset=["floc"]).filter(F.col("text").isNotNull())
+    return work_orders(spark, d).select("id", F.nullif("floc", F.lit("NATION_3")).alias("floc"), "text").dropna(subset=["floc"]).filter(F.col("text").isNotNull())
 
 
 def _u(k: int) -> str:
@@ -144,9 +146,9 @@ def p08(spark, d):
     return work_orders(spark, d).filter(F.col("type").isin(*UNPLANNED)).select("id", "type")
 
 
-@query("p09_system_filter", sql("SELECT id, floc FROM wo WHERE coalesce(regexp_matches(floc, '(?i)fra|ger.*y|^united'), false)", "wo"))
+@query("p09_system_filter", sql("SELECT id, floc FROM wo WHERE coalesce(regexp_matches(floc, '(?i)tion_1$|n.*_2[0-3]|^nation_7'), false)", "wo"))
 def p09(spark, d):
-    systems = ["fra", "ger.*y", "^united"]
+    systems = ["tion_1$", "n.*_2[0-3]", "^nation_7"]
     return work_orders(spark, d).filter(F.coalesce(F.col("floc").rlike("(?i)" + "|".join(systems)), F.lit(False))).select("id", "floc")
 
 
@@ -232,6 +234,16 @@ def a27(spark, d):
     return work_orders(spark, d).groupBy("floc").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
+@query("a27_grouped_files", sql("SELECT floc, count(*) AS n, min(id) AS low, max(id) AS high, 0::BIGINT AS descents FROM wo GROUP BY floc", "wo"))
+def a27_files(spark, d):
+    """The records of each asset as a sorted stream of files, read back in the files' order; no list of them stands anywhere."""
+    df = work_orders(spark, d).select("floc", "id")
+    back = sinks.read_groups(spark, sinks.write_groups(df, "floc", ["id"], rows_per_file=200), df)
+    before = F.lag("id").over(W.partitionBy("floc").orderBy("file", "at"))
+    seen = back.withColumn("_down", F.coalesce(F.col("id") < before, F.lit(False)))
+    return seen.groupBy("floc").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.count_if("_down").alias("descents"))
+
+
 @query("w04_last_wins", "SELECT c_mktsegment AS segment, c_custkey AS id, c_name AS name FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey DESC) AS k FROM customer) WHERE k = 1")
 def w04(spark, d):
     """Of rows with one key the last: a partial aggregate, not a sort."""
@@ -247,9 +259,13 @@ def w02(spark, d):
     return df.filter("gap is not null")
 
 
-@query("o07_seeded_shuffle", "SELECT o_orderkey FROM orders")
+_HASH = "(((o_orderkey + 1337) % 2147483648) * 2654435761) % 4294967296"
+
+
+@query("o07_seeded_shuffle", f"SELECT o_orderkey, row_number() OVER (ORDER BY {_HASH}, o_orderkey) AS place FROM orders")
 def o07(spark, d):
-    return sampling.shuffled(table(spark, d, "orders").select("o_orderkey"), seed=1337)
+    """The order of a shuffle by a seed, the same in every run and however rows are dealt out."""
+    return sampling.shuffled(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", seed=1337)
 
 
 @query("t01_split", "WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY (o_orderkey * 2654435761) % 4294967296, o_orderkey) AS k, count(*) OVER () AS n FROM orders) SELECT o_orderkey, CASE WHEN k <= ceil(0.05 * n) THEN 'val' ELSE 'train' END AS part FROM r")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millwright.functions import naming, parse, text, training
-from millwright.operators import batches, extract, sampling, summary
+from millwright.operators import batches, competency, extract, lemmas, sampling, summary
 from millwright.plans import oracle as o
 from millwright.plans.registry import query
 from millwright.sources.tables import table
@@ -47,9 +47,10 @@ def s11(spark, d):
     return batched.select("conv_id", "turn", F.array_join(F.filter("padded", lambda x: x != training.PAD), ",").alias("ids"), fits.alias("fits"))
 
 
-@query("f24_colloquialism", "SELECT s, CASE s WHEN 'air conditioning' THEN 'air conditioner' WHEN 'piping' THEN 'pipe' WHEN 'leaky' THEN 'leak' ELSE s END AS out FROM (VALUES ('air conditioning'), ('piping'), ('leaky'), ('leaky hose')) AS v(s)")
+@query("f24_colloquialism", "SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN ' conditioner' WHEN 1 THEN ' pipe' WHEN 2 THEN ' leak' ELSE ' leaky hose' END AS out FROM part")
 def f24(spark, d):
-    return spark.createDataFrame([("air conditioning",), ("piping",), ("leaky",), ("leaky hose",)], "s string").select("s", naming.colloquial(F.col("s")).alias("out"))
+    last = F.element_at(F.array(*map(F.lit, (" conditioning", " piping", " leaky", " leaky hose"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", naming.colloquial(F.concat("p_name", last)).alias("out"))
 
 
 #: Name, root type and what becomes of it, by hand.
@@ -63,9 +64,22 @@ LEMMAS = [
 ]
 
 
-@query("f26_lemma", "SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{root}', '{lemma}')" for s, root, lemma in LEMMAS) + ") AS v(s, root, out)")
+@query("f26_lemma", "SELECT p_partkey, p_name || ' ' || out AS out FROM part JOIN (VALUES " + ", ".join(f"({k}, '{lemma}')" for k, (_, _, lemma) in enumerate(LEMMAS)) + f") AS v(k, out) ON k = p_partkey % {len(LEMMAS)} WHERE out <> ''")
 def f26(spark, d):
-    return spark.createDataFrame([x[:2] for x in LEMMAS], "s string, root string").select("s", "root", naming.lemmatized(F.col("s"), F.col("root")).alias("out"))
+    """Rules alone, on a given name and what follows it."""
+    k = (F.col("p_partkey") % len(LEMMAS) + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*(F.lit(x[i]) for x in LEMMAS)), k)
+    df = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", pick(0)).alias("s"), pick(1).alias("root"), pick(0).alias("own")).filter("own <> ''")
+    return df.select("p_partkey", naming.lemmatized(F.col("s"), F.col("root")).alias("out"))
+
+
+@query("f26_attested_lemmas", "SELECT DISTINCT split_part(p_name, ' ', 2) || e AS name, root, split_part(p_name, ' ', 2) AS lemma FROM part, (VALUES ('s', 'object'), ('s', 'state'), ('ed', 'activity'), ('ing', 'process'), ('', 'object')) AS v(e, root)")
+def f26_attested(spark, d):
+    """Forms of the words that parts are named by, and the corpus of their names as the vocabulary."""
+    words = table(spark, d, "part").select(F.element_at(F.split("p_name", " "), 2).alias("w")).distinct()
+    forms = F.array(*(F.struct(F.lit(e).alias("e"), F.lit(root).alias("root")) for e, root in (("s", "object"), ("s", "state"), ("ed", "activity"), ("ing", "process"), ("", "object"))))
+    names = words.select("w", F.explode(forms).alias("f")).select(F.concat("w", "f.e").alias("name"), "f.root")
+    return lemmas.lemmatized(names, lemmas.word_counts(table(spark, d, "part"), "p_name"), "name", "root").select("name", "root", "lemma")
 
 
 @query("f53_date_text", "SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS out FROM orders")
@@ -83,11 +97,10 @@ def f55(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.round(F.log("o_totalprice"), 9).alias("ln"), F.bround(F.col("o_totalprice") * 100, 0).alias("even"), F.abs(-F.col("o_totalprice")).alias("a"), F.expr("o_custkey div 7").alias("q"))
 
 
-@query("f57_activity_type", "SELECT * FROM (VALUES ('Activity/MaintenanceActivity/Replace', 'Maintenance'), ('Activity/SupportingActivity/Move', 'Supporting')) AS v(label, out)")
+@query("f57_activity_type", "SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN 'Maintenance' ELSE 'Supporting' END AS out FROM part")
 def f57(spark, d):
-    from millwright.operators.competency import activity_type
-
-    return spark.createDataFrame([("Activity/MaintenanceActivity/Replace",), ("Activity/SupportingActivity/Move",)], "label string").select("label", activity_type(F.col("label")).alias("out"))
+    kind = F.when(F.col("p_partkey") % 2 == 0, "MaintenanceActivity/").otherwise("SupportingActivity/")
+    return table(spark, d, "part").select("p_partkey", competency.activity_type(F.concat(F.lit("Activity/"), kind, "p_type")).alias("out"))
 
 
 @query("f58_unwind_positions", "SELECT conv_id, turn, i - 1 AS pos, w[i] AS word FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations), unnest(range(1, len(w) + 1)) AS u(i)")
@@ -117,9 +130,10 @@ def f62(spark, d):
     return dumped.select("event_id", "k", "dumped", F.from_json("dumped", "event_type string, k long")["event_type"].alias("loaded"))
 
 
-@query("f64_learning_rate", "SELECT s AS step, CASE WHEN s < 1000 THEN (1e-7::DOUBLE + s * ((5e-5::DOUBLE - 1e-7::DOUBLE) / 1000)) / 5e-5::DOUBLE ELSE sqrt(1000::DOUBLE) * s ** -0.5::DOUBLE END AS lr FROM range(0, 5000, 50) AS r(s)")
+@query("f64_learning_rate", "SELECT s AS step, round(CASE WHEN s < 1000 THEN (1e-7::DOUBLE + s * ((5e-5::DOUBLE - 1e-7::DOUBLE) / 1000)) / 5e-5::DOUBLE ELSE sqrt(1000::DOUBLE) * s ** -0.5::DOUBLE END, 12) AS lr FROM (SELECT o_orderkey AS s FROM orders)")
 def f64(spark, d):
-    return spark.range(0, 5000, 50).select(F.col("id").alias("step"), training.learning_rate(F.col("id")).alias("lr"))
+    """The curve at the steps that orders number."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("step"), F.round(training.learning_rate(F.col("o_orderkey")), 12).alias("lr"))
 
 
 @query("f65_f66_shift_mask", "SELECT conv_id, turn, list_concat(a[2:], [0]) AS shifted, list_transform(a, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END) AS masked FROM (SELECT conv_id, turn, [conv_id::INTEGER, turn::INTEGER, 0, 0] AS a FROM conversations)")

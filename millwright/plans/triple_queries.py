@@ -147,7 +147,7 @@ def a26(spark, d):
 _KDE = "WITH o AS (SELECT count(*)::DOUBLE AS n, min(pmi) AS lo, max(pmi) AS hi, stddev_samp(pmi) * count(*) ** -0.2::DOUBLE AS h FROM occurrences), g AS (SELECT lo + (hi - lo) * k / 49 AS x, h, n FROM o, range(50) AS r(k)) SELECT round(x, 6) AS x, round(sum(exp(-0.5::DOUBLE * ((x - pmi) / h) ** 2) / (h * sqrt(2 * pi()))) / first(n), 6) AS density FROM g, occurrences GROUP BY g.x"
 
 
-@query("a26_density", sql(f"SELECT * FROM ({_KDE.replace('WITH o AS', 'WITH o AS', 1)})", "stats"))
+@query("a26_density", sql(f"SELECT * FROM ({_KDE})", "stats"))
 def a26b(spark, d):
     """A kernel estimate of the scores' density at 50 places."""
     return summary.density(score.scored(triples(spark, d)), "pmi", "frequency").select(F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))

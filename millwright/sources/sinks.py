@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of a report at most.
 MOST_REPORTED = 1000
@@ -73,6 +74,22 @@ def report(df: DataFrame) -> str:
     return json.dumps(rows[0] if len(rows) == 1 else rows, indent=2, sort_keys=True)
 
 
+def write_groups(df: DataFrame, by: str, order: list[str], path: str | None = None, rows_per_file: int = 1_000_000) -> str:
+    """The rows of each group as a sorted stream: a folder for each value of ``by``, whose files, read by name, hold its rows in order.
+
+    Ranges are of the group and the order together, so a group of very many rows is spread over tasks and files, and no task holds more than the row that it writes.
+    """
+    path = path or new_path(df.sparkSession)
+    df.repartitionByRange(by, *order).sortWithinPartitions(by, *order).write.option("maxRecordsPerFile", rows_per_file).partitionBy(by).parquet(path)
+    return path
+
+
+def read_groups(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """What ``write_groups`` wrote, with ``file`` and ``at``, by which the rows of a group are ordered. ``like``: a table of the same columns."""
+    df = spark.read.schema(like.schema).parquet(path)
+    return df.select(*like.columns, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+
+
 def stage(df: DataFrame) -> DataFrame:
     """The rows of a stage that several later ones read, written once as Parquet: not computed again, and not lost with an executor."""
     path = new_path(df.sparkSession)

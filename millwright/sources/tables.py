@@ -59,6 +59,11 @@ def read_gazetteer(spark: SparkSession, groups: dict[str, list[list[str]]]) -> D
     return spark.createDataFrame([(t, n, p) for t, pairs in groups.items() for n, p in dict(pairs).items()], "type string, name string, path string")
 
 
+def gazetteer_of(pairs: DataFrame) -> DataFrame:
+    """``type, name, path`` of rows that also have ``at``, their place in the list: of equal (type, name) the last one holds. For gazetteers that are tables."""
+    return pairs.groupBy("type", "name").agg(F.max_by("path", "at").alias("path"))
+
+
 #: The parameter table that gives names their place in the type hierarchy.
 GAZETTEER = {
     "State": [["oil leak", "State/UndesirableState/FailedState"], ["leak", "State/UndesirableState/FailedState"], ["no power", "State/UndesirableState/FailedState"], ["will not start", "State/UndesirableState/FailedState"], ["not work", "State/UndesirableState/FailedState"]],
