@@ -23,8 +23,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def oracle(name: str) -> str:
+    """The SQL of a query that is registered already, for another way to the same rows."""
+    return _SQL[name]
+
+
 def _loaded() -> None:
-    from millwright.plans import graph_queries, record_queries, run_queries, store_queries, text_queries, triple_queries  # noqa: F401
+    from millwright.plans import graph_queries, pattern_queries, record_queries, run_queries, store_queries, text_queries, triple_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
