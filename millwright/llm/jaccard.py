@@ -220,9 +220,11 @@ def _in_pieces(lists: DataFrame, keys: list[str], sizes: DataFrame, node: str, o
     or of neighbouring ones meet, since no other sets link: entries are copied for those alone. A list has a few dozen classes at most."""
     of_class = F.lit(0).cast("long") if of_class is None else of_class
     place = lambda c, piece: c * (1 << 24) + piece
+    sizes = saved(sizes)
     known = lists.join(sizes, keys).withColumn("class", F.when(F.col("size") > LIST_PIECE, of_class).otherwise(F.lit(0).cast("long")))
-    long = lists.join(sizes.filter(F.col("size") > LIST_PIECE), keys).groupBy(*keys, of_class.alias("class")).agg(F.ceil(F.count("*") / LIST_PIECE).cast("long").alias("n"))
-    pieces = long.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("pieces"))
+    # Long lists are few. Written, they have a known size, and joins with them spare the entries another shuffle.
+    long = lists.join(saved(sizes.filter(F.col("size") > LIST_PIECE).select(*keys)), keys).groupBy(*keys, of_class.alias("class")).agg(F.ceil(F.count("*") / LIST_PIECE).cast("long").alias("n"))
+    pieces = saved(long.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("pieces")))
     owned = known.join(pieces, keys, "left")
     of = lambda c: F.coalesce(F.try_element_at("pieces", c), F.lit(0).cast("long"))
     here = F.greatest(of(F.col("class")), F.lit(1).cast("long"))
