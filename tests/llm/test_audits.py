@@ -226,7 +226,7 @@ def brute_audit(docs, labels):
     return out
 
 
-@pytest.mark.parametrize("partitions", [1, 7, 64])
+@pytest.mark.parametrize("partitions", [1, 23])
 def test_filter_audit_matches_brute_force(spark, partitions):
     """Runs of equal texts go on over many partitions."""
     rng = random.Random(13)
