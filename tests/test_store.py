@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 from millwright.operators import graph, score, store
 from millwright.sources.sinks import files_of, remove, written_folders
 
+
+
+@pytest.fixture(autouse=True, scope="module")
+def few_buckets():
+    kept, store.BUCKETS = store.BUCKETS, 8
+    yield
+    store.BUCKETS = kept
+
+
 TRIPLE = "record_id long, head_type string, head string, relation string, tail_type string, tail string"
 RECORD = "id long, floc string, start_date date, cost double"
 
