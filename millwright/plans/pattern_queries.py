@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwright.operators import competency, graph, patterns, score
 from millwright.plans import graph_queries as fixed
 from millwright.plans.registry import oracle, query
-from millwright.sources.sinks import new_path
+from millwright.sources.sinks import once
 
 COMPONENT, PART_OF = "gear", "Brand#13"
 ASKED = patterns.questions(COMPONENT, PART_OF)
@@ -18,15 +16,7 @@ ASKED = patterns.questions(COMPONENT, PART_OF)
 
 def saved_graph(spark: SparkSession, d: str) -> graph.Graph:
     """The graph of the given tables, built and saved once in an application, however many questions are asked."""
-    return graph.load(spark, _saved(spark.sparkContext.applicationId, d))
-
-
-@functools.lru_cache(8)
-def _saved(application: str, d: str) -> str:
-    spark = SparkSession.active()
-    path = new_path(spark)
-    graph.save(fixed.the_graph(spark, d), path)
-    return path
+    return graph.load(spark, once(spark, ("graph", d), lambda path: graph.save(fixed.the_graph(spark, d), path), "record_edges/_SUCCESS"))
 
 
 def _found(spark: SparkSession, d: str, question: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from millwright.operators import score, store
 from millwright.plans.oracle import sql
 from millwright.plans.registry import query
 from millwright.plans.triple_queries import triples
-from millwright.sources.sinks import new_path, stage
+from millwright.sources.sinks import once, stage
 from millwright.sources.tables import work_orders
 
 #: Two batches of unequal size, by the record's number.
@@ -20,16 +18,13 @@ BATCHES = (("first", "{} % 3 <> 0"), ("second", "{} % 3 = 0"))
 
 def merged(spark: SparkSession, d: str) -> str:
     """The path of a graph into which both batches were merged; the second one twice, as after a run that was repeated. Queries of one application share it."""
-    return _merged(spark.sparkContext.applicationId, d)
 
+    def make(path: str) -> None:
+        t, orders = stage(triples(spark, d)), work_orders(spark, d)
+        for name, test in (*BATCHES, BATCHES[1]):
+            store.merge(path, name, orders.filter(test.format("id")), t.filter(test.format("record_id")))
 
-@functools.lru_cache(8)
-def _merged(application: str, d: str) -> str:
-    spark = SparkSession.active()
-    path, t, orders = new_path(spark), stage(triples(spark, d)), work_orders(spark, d)
-    for name, test in (*BATCHES, BATCHES[1]):
-        store.merge(path, name, orders.filter(test.format("id")), t.filter(test.format("record_id")))
-    return path
+    return once(spark, ("merged", d), make, "counts/batch=second/_SUCCESS")
 
 
 _BATCH = "CASE WHEN record_id % 3 <> 0 THEN 1 ELSE 2 END"

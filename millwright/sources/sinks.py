@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,19 @@ def report(df: DataFrame) -> str:
     return json.dumps(rows[0] if len(rows) == 1 else rows, indent=2, sort_keys=True)
 
 
+_MADE: dict[tuple[str, ...], str] = {}
+
+
+def once(spark: SparkSession, key: tuple[str, ...], make: Callable[[str], None], mark: str) -> str:
+    """The path below which ``make`` has written, once in an application for each key, and again if it is gone. ``mark``: what is there when it is complete."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _MADE or not exists(spark, f"{_MADE[key]}/{mark}"):
+        path = new_path(spark)
+        make(path)
+        _MADE[key] = path
+    return _MADE[key]
+
+
 def write_groups(df: DataFrame, by: str, order: list[str], path: str | None = None, rows_per_file: int = 1_000_000) -> str:
     """The rows of each group as a sorted stream: a folder for each value of ``by``, whose files, read by name, hold its rows in order.
 

@@ -8,6 +8,7 @@ import pytest
 
 from millwright.operators import graph
 from millwright.operators.patterns import Edge, Mention, Node, Pattern, match, of_one_record, questions, with_records
+from millwright.sources import sinks
 
 LABELS, NAMES = ["State/Bad", "Object", "Object/Part"], ["leak", "oil leak", "pump", "seal"]
 
@@ -90,3 +91,17 @@ def test_records_of_bindings_and_terms_that_hang_together_nowhere(spark):
         match(g, Pattern((), (Edge("a", "HAS_PART", "b"), Edge("c", "HAS_PART", "d"))))
     with pytest.raises(ValueError, match="edges or mentions"):
         match(g, Pattern((N,)))
+
+
+def test_what_is_made_once_is_made_again_when_it_is_gone(spark, tmp_path):
+    made = []
+
+    def make(path):
+        made.append(path)
+        spark.range(3).write.parquet(f"{path}/t")
+
+    first = sinks.once(spark, ("x", str(tmp_path)), make, "t/_SUCCESS")
+    assert sinks.once(spark, ("x", str(tmp_path)), make, "t/_SUCCESS") == first and made == [first]
+    sinks.remove(spark, f"{first}/t", first)
+    assert sinks.once(spark, ("x", str(tmp_path)), make, "t/_SUCCESS") == made[1] != first
+    assert sinks.once(spark, ("y", str(tmp_path)), make, "t/_SUCCESS") == made[2]
