@@ -164,11 +164,11 @@ def _cq4(spark, d):
 query("cq4_p14_yearly_costs", sql(CQ4, "wo", "stats"))(_cq4)
 
 
-@query("p19_a23_cost_pivot", sql(f"SELECT year, asset, coalesce(round(sum(totalCost / 1e6) FILTER (activityType = 'Maintenance'), 6), 0) AS Maintenance, coalesce(round(sum(totalCost / 1e6) FILTER (activityType = 'Supporting'), 6), 0) AS Supporting FROM ({CQ4}) WHERE totalCost > 10000 GROUP BY ALL", "wo", "stats"))
+@query("p19_a23_cost_pivot", sql(f"SELECT year, asset, coalesce(round(sum(totalCost / 1e6) FILTER (activityType = 'Maintenance'), 8), 0) AS Maintenance, coalesce(round(sum(totalCost / 1e6) FILTER (activityType = 'Supporting'), 8), 0) AS Supporting FROM ({CQ4}) WHERE totalCost > 10000 GROUP BY ALL", "wo", "stats"))
 def p19(spark, d):
     kinds = ["Maintenance", "Supporting"]
     df = _cq4(spark, d).filter("totalCost > 10000").withColumn("totalCost", F.col("totalCost") / 1e6)
-    return df.groupBy("year", "asset").pivot("activityType", kinds).sum("totalCost").fillna(0.0, kinds).select("year", "asset", *(F.round(k, 6).alias(k) for k in kinds))
+    return df.groupBy("year", "asset").pivot("activityType", kinds).sum("totalCost").fillna(0.0, kinds).select("year", "asset", *(F.round(k, 8).alias(k) for k in kinds))
 
 
 @query("cq5_j09_replacement_costs", sql(f"SELECT year(start_date)::BIGINT AS year, count(*) AS eventCount, list_sort(list_distinct(list(m))) AS components, round(sum(cost), 4) AS totalCost FROM mu AS x {_R} WHERE relation = 'HAS_PATIENT' AND n_label = 'Activity/MaintenanceActivity/Replace' AND floc = (SELECT min(n_name) FROM nation) AND year(start_date) BETWEEN 1993 AND 1997 GROUP BY 1", "wo", "stats"))
@@ -195,10 +195,10 @@ def a22_years(spark, d):
     return df.select("asset", "year", *(F.coalesce(F.round(a, 2), F.lit(0.0)).alias(a) for a in ACTIVITIES)).orderBy("asset", "year")
 
 
-@query("cq6_grid", sql(f"SELECT * FROM (WITH c AS (SELECT year, asset, string_split(activity, '/')[-1] AS activity, totalCost / 1e6 AS totalCost FROM ({CQ6})) SELECT asset, activity, year, round(coalesce(totalCost, 0), 6) AS totalCost FROM (SELECT * FROM (SELECT DISTINCT asset FROM c) CROSS JOIN (SELECT DISTINCT activity FROM c) CROSS JOIN (SELECT DISTINCT year FROM c)) LEFT JOIN c USING (asset, activity, year))", "wo", "stats"))
+@query("cq6_grid", sql(f"SELECT * FROM (WITH c AS (SELECT year, asset, string_split(activity, '/')[-1] AS activity, totalCost / 1e6 AS totalCost FROM ({CQ6})) SELECT asset, activity, year, round(coalesce(totalCost, 0), 8) AS totalCost FROM (SELECT * FROM (SELECT DISTINCT asset FROM c) CROSS JOIN (SELECT DISTINCT activity FROM c) CROSS JOIN (SELECT DISTINCT year FROM c)) LEFT JOIN c USING (asset, activity, year))", "wo", "stats"))
 def cq6_grid(spark, d):
     df = cq6(spark, d).select("year", "asset", F.element_at(F.split("activity", "/"), -1).alias("activity"), (F.col("totalCost") / 1e6).alias("totalCost"))
-    return cq.grid(df, ["asset", "activity", "year"], "totalCost").withColumn("totalCost", F.round("totalCost", 6))
+    return cq.grid(df, ["asset", "activity", "year"], "totalCost").withColumn("totalCost", F.round("totalCost", 8))
 
 
 @query("cq7_j10_leak_costs", sql(f"SELECT system, component, event, substance, n AS \"count\", round(c, 4) AS totalCost FROM (SELECT r.floc AS system, a.m AS component, x.n AS event, x.m AS substance, count(*) AS n, sum(cost) AS c FROM m AS x JOIN mu AS a ON a.record_id = x.record_id AND a.n = x.n AND a.n_label = x.n_label {_R} WHERE x.relation = 'HAS_PATIENT' AND a.relation = 'HAS_AGENT' AND contains(x.n, 'leak') AND (a.m <> x.m OR a.m_label <> x.m_label) GROUP BY ALL) WHERE c > 5000", "wo", "stats"))
