@@ -52,6 +52,8 @@ NODES_KEPT = 500_000
 LEADERS = 16
 #: Sets of a list that look for their hub together, and entries of a list that are compared together.
 PIECE, LIST_PIECE = 1024, 4096
+#: Pieces of a list from which on it is split by classes of set sizes first: each class meets two others, so fewer pieces would be copied more often by classes.
+CLASSED = 5
 
 CORE, STRAY = 0, 1
 #: Differences of so many shingles at most are entries as they are; larger ones as a sketch of SKETCH bits, which takes as many bytes.
@@ -216,14 +218,15 @@ def size_class(n: Column, num: int, den: int) -> Column:
 def _in_pieces(lists: DataFrame, keys: list[str], sizes: DataFrame, node: str, of_class: Column | None = None) -> DataFrame:
     """``lists`` with ``own``, an entry's piece of its list, and ``low, high``, for each group of two pieces that it is part of. ``sizes``: keys and ``size``.
 
-    Lists of LIST_PIECE entries or less are one piece in one group. Of longer ones each class has pieces of its own, and only pieces of one class
+    Lists of LIST_PIECE entries or less are one piece in one group, and a few pieces all meet. Of a list of CLASSED pieces or more each class has pieces of its own, and only pieces of one class
     or of neighbouring ones meet, since no other sets link: entries are copied for those alone. A list has a few dozen classes at most."""
     of_class = F.lit(0).cast("long") if of_class is None else of_class
     place = lambda c, piece: c * (1 << 24) + piece
     sizes = saved(sizes)
-    known = lists.join(sizes, keys).withColumn("class", F.when(F.col("size") > LIST_PIECE, of_class).otherwise(F.lit(0).cast("long")))
+    of_class = F.when(F.col("size") > (CLASSED - 1) * LIST_PIECE, of_class).otherwise(F.lit(0).cast("long"))
+    known = lists.join(sizes, keys).withColumn("class", of_class)
     # Long lists are few. Written, they have a known size, and joins with them spare the entries another shuffle.
-    long = lists.join(saved(sizes.filter(F.col("size") > LIST_PIECE).select(*keys)), keys).groupBy(*keys, of_class.alias("class")).agg(F.ceil(F.count("*") / LIST_PIECE).cast("long").alias("n"))
+    long = lists.join(saved(sizes.filter(F.col("size") > LIST_PIECE)), keys).groupBy(*keys, of_class.alias("class")).agg(F.ceil(F.count("*") / LIST_PIECE).cast("long").alias("n"))
     pieces = saved(long.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("pieces")))
     owned = known.join(pieces, keys, "left")
     of = lambda c: F.coalesce(F.try_element_at("pieces", c), F.lit(0).cast("long"))
