@@ -215,19 +215,23 @@ def size_class(n: Column, num: int, den: int) -> Column:
     return F.floor(F.log(n.cast("double")) / (math.log(den / num) + 1e-9)).cast("long")
 
 
-def _in_pieces(lists: DataFrame, keys: list[str], sizes: DataFrame, node: str, of_class: Column | None = None) -> DataFrame:
-    """``lists`` with ``own``, an entry's piece of its list, and ``low, high``, for each group of two pieces that it is part of. ``sizes``: keys and ``size``.
-
-    Lists of LIST_PIECE entries or less are one piece in one group, and a few pieces all meet. Of a list of CLASSED pieces or more each class has pieces of its own, and only pieces of one class
-    or of neighbouring ones meet, since no other sets link: entries are copied for those alone. A list has a few dozen classes at most."""
-    of_class = F.lit(0).cast("long") if of_class is None else of_class
+def _in_pieces(lists: DataFrame, keys: list[str], sizes: DataFrame, node: str) -> DataFrame:
+    """``lists`` with ``own``, an entry's piece of its list, and ``low, high``, for each group of two pieces that it is part of.
+    ``sizes``: keys and ``size``. Lists of LIST_PIECE entries or less are one piece in one group."""
+    pieces = F.ceil(F.col("size") / LIST_PIECE).cast("long")
+    owned = lists.join(sizes, keys).withColumn("pieces", pieces).withColumn("own", F.pmod(F.xxhash64(node), F.col("pieces")))
+    other = owned.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    return other.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("pieces", "other", "size")
+
+
+def _in_classed_pieces(lists: DataFrame, keys: list[str], sizes: DataFrame, node: str, of_class: Column) -> DataFrame:
+    """The same for lists of which some are very long: of a list of CLASSED pieces or more each class has pieces of its own, and only pieces of one class or of
+    neighbouring ones meet, since no other sets link. Entries are copied for those alone. A list has a few dozen classes at most."""
     place = lambda c, piece: c * (1 << 24) + piece
-    sizes = saved(sizes)
     of_class = F.when(F.col("size") > (CLASSED - 1) * LIST_PIECE, of_class).otherwise(F.lit(0).cast("long"))
     known = lists.join(sizes, keys).withColumn("class", of_class)
-    # Long lists are few. Written, they have a known size, and joins with them spare the entries another shuffle.
-    long = lists.join(saved(sizes.filter(F.col("size") > LIST_PIECE)), keys).groupBy(*keys, of_class.alias("class")).agg(F.ceil(F.count("*") / LIST_PIECE).cast("long").alias("n"))
-    pieces = saved(long.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("pieces")))
+    long = lists.join(sizes.filter(F.col("size") > LIST_PIECE), keys).groupBy(*keys, of_class.alias("class")).agg(F.ceil(F.count("*") / LIST_PIECE).cast("long").alias("n"))
+    pieces = long.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("pieces"))
     owned = known.join(pieces, keys, "left")
     of = lambda c: F.coalesce(F.try_element_at("pieces", c), F.lit(0).cast("long"))
     here = F.greatest(of(F.col("class")), F.lit(1).cast("long"))
@@ -384,8 +388,8 @@ def _pairs_of_list(entries: Iterable[tuple], apart: bool, num: int, den: int) ->
         blocks.setdefault(j // BLOCK, deque()).append((n, node, j, hub, own))
 
 
-def _candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of different hubs; ``entries``: token, n, node, pos, hub."""
+def _candidates(entries: DataFrame, longest: int, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of different hubs; ``entries``: token, n, node, pos, hub; ``longest``: the number of entries of the longest list."""
     sizes = entries.groupBy("token").agg(F.count("*").alias("size"), F.min("hub").alias("first"), F.max("hub").alias("last"))
     sizes = sizes.filter("first <> last").select("token", "size")
 
@@ -397,7 +401,9 @@ def _candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
                     yield sent.out.take()
         yield sent.out.take()
 
-    cut = _in_pieces(entries, ["token"], sizes, "node", size_class(F.col("n"), num, den)).select("token", "low", "high", "n", "node", "pos", "hub", "own")
+    # Classes cost further joins, so they are for tables that have lists which they shorten; results are the same.
+    made = _in_classed_pieces(entries, ["token"], sizes, "node", size_class(F.col("n"), num, den)) if longest > (CLASSED - 1) * LIST_PIECE else _in_pieces(entries, ["token"], sizes, "node")
+    cut = made.select("token", "low", "high", "n", "node", "pos", "hub", "own")
     return cut.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "node").mapInArrow(each, "a binary, b binary").distinct()
 
 
@@ -436,7 +442,7 @@ def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, id_col: str
 
     inside = _links_in_hubs(saved(_of_differences(members, table, num, den)), members, num, den)
     place = members.select("node", "hub", "comp")
-    across = _verified(_candidates(entries.drop("size").join(place, "node"), num, den), sets, num, den)
+    across = _verified(_candidates(entries.drop("size").join(place, "node"), entries.agg(F.max("size")).first()[0] or 0, num, den), sets, num, den)
     ends = [place.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")) for c in ("a", "b")]
     across = across.join(ends[0], "a").join(ends[1], "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
     last = components(inside.union(across)).select(F.col("id").alias("comp"), "component")

@@ -415,7 +415,7 @@ def test_lists_are_split_by_set_size_only_where_sets_may_link(spark, monkeypatch
     rows = [(1, f"n{i}".encode(), rng.choice([1, 2, 3, 5, 8, 10, 11, 13, 50, 62, 63, 64, 65, 80, 81, 100, 1000])) for i in range(300)] + [(2, f"m{i}".encode(), i + 1) for i in range(8)]
     df = spark.createDataFrame(rows, "token long, node binary, n int")
     sizes = df.groupBy("token").agg(F.count("*").alias("size"))
-    cut = jaccard._in_pieces(df, ["token"], sizes, "node", jaccard.size_class(F.col("n"), 4, 5)).collect()
+    cut = jaccard._in_classed_pieces(df, ["token"], sizes, "node", jaccard.size_class(F.col("n"), 4, 5)).collect()
     groups = {}
     for r in cut:
         groups.setdefault((r.token, r.low, r.high), []).append((bytes(r.node), r.own))
