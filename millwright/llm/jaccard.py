@@ -436,7 +436,8 @@ def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, id_col: str
     home = entries.groupBy("node").agg(F.max(F.struct("size", "token")).alias("home")).select("node", "home.token", F.pmod(F.xxhash64("node"), F.ceil(F.col("home.size") / PIECE)).alias("piece"))
     members = saved(hubs(sets.join(home, "node"), num, den))
     moves = saved(_moves(members, entries, sets))
-    members = members.join(moves, "hub", "left_anti").select(_MEMBER.names).union(_moved(members, moves))
+    moved = saved(moves.select("hub"))  # narrow, so that its size decides on joins that need no more, and members of other hubs stay where they are
+    members = members.join(moved, "hub", "left_anti").select(_MEMBER.names).union(_moved(members.join(moved, "hub", "left_semi"), moves))
     with_hub = num * F.length("added") / 8 + den * F.length("removed") / 8 <= (den - num) * F.col("hub_n")
     members = saved(members.withColumn("comp", F.when(with_hub, F.col("hub")).otherwise(F.col("node"))))
 
