@@ -5,9 +5,11 @@ from statistics import median
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
 from millwright.plans import registry
 from millwright.sources import sinks
+from millwright.sources import sinks
 
 
 def test_bounds_of_scores_taken_for_normal_are_by_deviations_in_large_tables_too(spark, tmp_path):
@@ -17,3 +19,8 @@ def test_bounds_of_scores_taken_for_normal_are_by_deviations_in_large_tables_too
     mean, middle = sum(scores) / 2000, median(scores)
     sd = math.sqrt(sum((v - mean) ** 2 for v in scores) / 2000)
     assert list(got) == pytest.approx([middle, middle - 2 * sd, middle + 2 * sd], abs=1e-8)
+
+def test_a_group_of_more_than_a_thousand_files_is_read_in_order(spark):
+    df = spark.range(1003).select(F.lit("g").alias("g"), "id")
+    back = sinks.read_groups(spark, sinks.write_groups(df, "g", ["id"], rows_per_file=1), df)
+    assert [r.id for r in back.orderBy("file", "at").collect()] == list(range(1003))
