@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
+from millwright.operators import graph, patterns
 from millwright.plans import registry
 from millwright.sources import sinks
 from millwright.sources import sinks
@@ -24,3 +25,12 @@ def test_a_group_of_more_than_a_thousand_files_is_read_in_order(spark):
     df = spark.range(1003).select(F.lit("g").alias("g"), "id")
     back = sinks.read_groups(spark, sinks.write_groups(df, "g", ["id"], rows_per_file=1), df)
     assert [r.id for r in back.orderBy("file", "at").collect()] == list(range(1003))
+
+
+def test_an_undirected_edge_of_a_pattern_needs_no_shuffle(spark):
+    edge = "record_id long, head_type string, head string, relation string, tail_type string, tail string, frequency long, probability double, pmi double"
+    rows = [(1, "State", "leak", "HAS_PATIENT", "Object", "pump", 2, 0.5, 0.1), (2, "State", "leak", "HAS_PATIENT", "State", "leak", 1, 0.2, 0.1)]
+    g = graph.Graph(spark.createDataFrame([(1,), (2,)], "id long"), spark.createDataFrame(rows, edge))
+    found = patterns.match(g, patterns.Pattern(edges=(patterns.Edge("n", "HAS_PATIENT", "m", "r", False),)))
+    assert "Exchange" not in found._jdf.queryExecution().sparkPlan().toString() and "Aggregate" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert sorted((r.r, r.n, r.m) for r in found.collect()) == [(1, "leak", "pump"), (1, "pump", "leak"), (2, "leak", "leak")]
