@@ -41,9 +41,9 @@ def s01_quarantine(spark, d):
     cost = F.when(bad["cost"], "1.2.3").otherwise(F.concat(F.lit("$"), F.format_string("%.2f", "cost")))
     line = F.concat_ws(",", quoted(F.coalesce("text", F.lit(""))), F.col("id").cast("string"), F.lit("remark"), "type", "floc", date, cost, F.when(~bad["line"], F.coalesce(F.col("time").cast("string"), F.lit(""))))
     path = sinks.new_path(spark)
-    lines = work_orders(spark, d).select(line.alias("value"), F.lit(1).alias("at"))
-    header = spark.range(1).select(F.lit("text,id,remark,type,floc,start_date,cost,time").alias("value"), F.lit(0).alias("at"))
-    header.unionByName(lines).repartition(1).sortWithinPartitions("at").select("value").write.text(path)  # one file, whose first line is the header
+    # As many files as there are tasks, each with the header as its first line. A line is one field, so nothing in it is quoted again.
+    lines = work_orders(spark, d).select(line.alias("text,id,remark,type,floc,start_date,cost,time"))
+    lines.write.csv(path, header=True, sep="\x01", quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     loaded = setup.load(spark, Settings(input=Input(csv_filename=path, start_date_col="start_date", cost_col="cost", time_col="time", date_format="%d/%m/%Y")))
     rejected = sinks.stage(loaded.rejected)
     rows = loaded.orders.agg(F.lit("loaded").alias("reason"), F.count("*").alias("n")).select("reason", "n")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
 from millwright.operators import graph, patterns
-from millwright.plans import registry
+from millwright.plans import record_queries, registry
 from millwright.sources import sinks
 from millwright.sources import sinks
 
@@ -34,3 +34,16 @@ def test_an_undirected_edge_of_a_pattern_needs_no_shuffle(spark):
     found = patterns.match(g, patterns.Pattern(edges=(patterns.Edge("n", "HAS_PATIENT", "m", "r", False),)))
     assert "Exchange" not in found._jdf.queryExecution().sparkPlan().toString() and "Aggregate" not in found._jdf.queryExecution().sparkPlan().toString()
     assert sorted((r.r, r.n, r.m) for r in found.collect()) == [(1, "leak", "pump"), (1, "pump", "leak"), (2, "leak", "leak")]
+
+
+def test_lines_to_be_loaded_stand_in_many_files_with_one_header_each(spark, monkeypatch):
+    seen, load = [], record_queries.setup.load
+    monkeypatch.setattr(record_queries.setup, "load", lambda s, known: seen.append(known.input.csv_filename) or load(s, known))
+    monkeypatch.setattr(record_queries, "work_orders", lambda s, d: s.range(0, 1000, 1, 4).selectExpr("id", "'1-URGENT' AS type", "' a \"b\"' AS text", "'N' AS floc", "date'1995-01-02' AS start_date", "1.5D AS cost", "2D AS time"))
+    got = {r.reason: r.n for r in record_queries.s01_quarantine(spark, "").collect()}
+    lines = [i for i in range(1000) if i % 13 == 2]
+    dates, costs = ([i for i in range(1000) if i % 13 != 2 and i % every == rest] for every, rest in ((7, 0), (11, 1)))
+    assert got == {"line": len(lines), "start_date": len(dates), "cost": len(costs), "loaded": 1000 - len({*lines, *dates, *costs})}
+    files = spark.read.text(seen[0]).filter("value = 'text,id,remark,type,floc,start_date,cost,time'")
+    assert files.select(F.col("_metadata.file_name")).distinct().count() == files.count() == 4
+    assert spark.read.text(seen[0]).filter(F.col("value").startswith('" a ""b""",')).count() == 1000
