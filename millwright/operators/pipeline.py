@@ -95,7 +95,8 @@ def stages(model, model_name: str, gazetteer: dict[str, list[list[str]]]) -> lis
         return {"stats": stats, "surviving": score.without_rare_outliers(t["triples"], stats, score.thresholds(stats))}
 
     def build(spark: SparkSession, settings: Settings, t: Tables) -> Tables:
-        return graph.build(t["orders"], t["surviving"])._asdict()
+        g = graph.build(t["orders"], t["surviving"])
+        return {name: getattr(g, name) for name in graph.STORED}
 
     own = lambda group, *names: tuple((group, n) for n in names)
     processing = own("processing", "site_codes", "systems", "unplanned_only", "add_dummy_cols", "limit")

@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from millwright.operators import graph, patterns
+from millwright.operators import graph, patterns, refine, score
 from millwright.plans import record_queries, registry
-from millwright.sources import sinks
-from millwright.sources import sinks
+from millwright.sources import sinks, tables
+from millwright.sources import sinks, tables
 
 
 def test_bounds_of_scores_taken_for_normal_are_by_deviations_in_large_tables_too(spark, tmp_path):
@@ -47,3 +47,27 @@ def test_lines_to_be_loaded_stand_in_many_files_with_one_header_each(spark, monk
     files = spark.read.text(seen[0]).filter("value = 'text,id,remark,type,floc,start_date,cost,time'")
     assert files.select(F.col("_metadata.file_name")).distinct().count() == files.count() == 4
     assert spark.read.text(seen[0]).filter(F.col("value").startswith('" a ""b""",')).count() == 1000
+
+
+def test_sums_of_normal_scores_take_no_step_for_each_rank():
+    direct = [score._normal_score(i, 30_000) for i in range(501, 29_501)]
+    assert score.score_sums(500, 29_500, 30_000) == pytest.approx((math.fsum(direct), math.fsum(v * v for v in direct)), abs=1e-8)
+    one, two = score.score_sums(0, 10**9, 10**9)
+    assert abs(one) < 1e-3 and 0.999999 < two / 10**9 < 1
+
+
+def test_numbered_triples_make_the_same_graph(spark):
+    raw = [
+        (1, "leaky", "<state>", "pumps", "<object>", "has patient"), (1, "leak", "<state>", "pump", "<object>", "has patient"), (2, "leak", "<state>", "pump", "<object>", "has patient"),
+        (2, "pump", "<object>", "pump", "<object>", "has part"), (3, None, "<state>", "pump", "<object>", "has patient"), (3, "pump", "<object>", "seal", "<object>", "has part"),
+    ]
+    raw = spark.createDataFrame(raw, "record_id long, head string, head_type string, tail string, tail_type string, relation string")
+    found = refine.indexed(raw, tables.read_gazetteer(spark, tables.GAZETTEER))
+    assert found.occurrences.columns == ["record_id", "t"] and found.occurrences.count() == 5 and found.triples.count() == 3
+    stats = {"frequency": F.lit(1), "probability": F.lit(0.1), "pmi": F.lit(0.2)}
+    plain = graph.build(raw.select("record_id"), found.occurrences.join(found.triples, "t").withColumns(stats))
+    numbered = graph.build_indexed(raw.select("record_id"), found.occurrences, found.triples.withColumns(stats))
+    rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert rows(plain.record_edges) == rows(numbered.record_edges) and len(rows(plain.record_edges)) == 4
+    assert rows(graph.edges(plain)) == rows(graph.edges(numbered)) and rows(graph.mentions(plain)) == rows(graph.mentions(numbered))
+    assert rows(graph.mentions(plain, F.col("label") == "State")) == rows(graph.mentions(numbered, F.col("label") == "State"))
