@@ -20,7 +20,7 @@ def merged(spark: SparkSession, d: str) -> str:
     """The path of a graph into which both batches were merged; the second one twice, as after a run that was repeated. Queries of one application share it."""
 
     def make(path: str) -> None:
-        t, orders = stage(triples(spark, d)), work_orders(spark, d)
+        t, orders = stage(triples(spark, d)), stage(work_orders(spark, d))  # each merge reads both
         for name, test in (*BATCHES, BATCHES[1]):
             store.merge(path, name, orders.filter(test.format("id")), t.filter(test.format("record_id")))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
 from millwright.operators import graph, patterns, refine, score
-from millwright.plans import record_queries, registry
+from millwright.plans import record_queries, registry, store_queries
 from millwright.sources import sinks, tables
 from millwright.sources import sinks, tables
 
@@ -71,3 +71,13 @@ def test_numbered_triples_make_the_same_graph(spark):
     assert rows(plain.record_edges) == rows(numbered.record_edges) and len(rows(plain.record_edges)) == 4
     assert rows(graph.edges(plain)) == rows(graph.edges(numbered)) and rows(graph.mentions(plain)) == rows(graph.mentions(numbered))
     assert rows(graph.mentions(plain, F.col("label") == "State")) == rows(graph.mentions(numbered, F.col("label") == "State"))
+
+
+def test_batches_of_a_merge_are_cut_from_written_orders(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(store_queries, "triples", lambda s, d: s.range(3).selectExpr("id AS record_id"))
+    monkeypatch.setattr(store_queries, "work_orders", lambda s, d: s.range(3))
+    monkeypatch.setattr(store_queries.store, "merge", lambda path, name, records, triples: seen.append(records))
+    monkeypatch.setattr(store_queries, "once", lambda s, key, make, mark: make("unused"))
+    store_queries.merged(spark, "")
+    assert len(seen) == 3 and all(df.inputFiles() for df in seen)
