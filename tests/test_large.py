@@ -81,3 +81,41 @@ def test_batches_of_a_merge_are_cut_from_written_orders(spark, monkeypatch):
     monkeypatch.setattr(store_queries, "once", lambda s, key, make, mark: make("unused"))
     store_queries.merged(spark, "")
     assert len(seen) == 3 and all(df.inputFiles() for df in seen)
+
+
+def _numbered(spark, monkeypatch):
+    written, stage = [], sinks.stage
+    for module in (refine, graph):
+        monkeypatch.setattr(module, "stage", lambda df: written.append(df.columns) or stage(df))
+    rows = [(r, head, "<state>", tail, "<object>", "has patient") for r in (1, 2, 2) for head, tail in (("leak", "pump"), ("leaky", "pumps"), ("no power", "seal"))]
+    raw = spark.createDataFrame([*rows, (3, "pump", "<object>", "seal", "<object>", "has part")], "record_id long, head string, head_type string, tail string, tail_type string, relation string")
+    found = refine.indexed(raw, tables.read_gazetteer(spark, tables.GAZETTEER))
+    stats = {"frequency": F.lit(1), "probability": F.lit(0.1), "pmi": F.lit(0.2)}
+    triples = sinks.stage(found.triples.withColumns(stats))
+    return graph.build_indexed(spark.range(1, 5), found.occurrences, triples), found.occurrences.join(triples, "t"), written
+
+
+def test_no_occurrence_is_written_with_its_names_and_none_is_written_twice(spark, monkeypatch):
+    _, _, written = _numbered(spark, monkeypatch)
+    assert [c for c in written if "record_id" in c] == [["record_id", "t"]]
+
+
+def test_a_question_shuffles_wanted_occurrences_once_and_by_record(spark, monkeypatch):
+    g, occurrences, _ = _numbered(spark, monkeypatch)
+    failed = lambda n_label, n, m_label, m: (n_label == "State/UndesirableState/FailedState") & (m == "pump")
+    m, plain = graph.motif(g, "HAS_PATIENT", failed), graph.motif(graph.build(g.records, occurrences), "HAS_PATIENT", failed)
+    assert sorted(m.collect()) == sorted(plain.collect()) and sorted(r.record_id for r in m.collect()) == [1, 2]
+    either = graph.undirected_motif(g, "HAS_PATIENT", lambda n_label, n, m_label, m: n == "pump")
+    assert sorted((r.record_id, r.n, r.m) for r in either.collect()) == [(1, "pump", "leak"), (2, "pump", "leak")]
+    for df in (m, graph.mentions(g, F.col("name") == "pump")):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning(record_id") == 1
+
+
+def test_relations_of_numbered_triples_are_the_same(spark, monkeypatch):
+    g, occurrences, _ = _numbered(spark, monkeypatch)
+    own, keys = g.numbered
+    df = graph.record_relations_indexed(g.records, own, keys)
+    got, want = ({r.id: r.relationIds for r in x.collect()} for x in (df, graph.record_relations(g.records, occurrences)))
+    assert got == want and {k: len(v) for k, v in got.items()} == {1: 3, 2: 6, 3: 1, 4: 0}
+    assert "hashpartitioning(edge" not in df._jdf.queryExecution().executedPlan().toString()
