@@ -91,35 +91,45 @@ def _range_bits(df: DataFrame) -> int:
     return min(TABLE_BITS - 4, max(7, math.ceil(math.log2(2 * partitions)), math.ceil(math.log2(max(1, size / BYTES_EACH / RANGE)))))
 
 
-def levels(docs: DataFrame, fingerprints: Callable[[str | None], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """The table of levels over all documents; ``fingerprints`` gives those of one text."""
-    bits = _range_bits(docs)
-    low = np.uint64(64 - bits - 32)
-
-    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
-        value, count = np.unique(np.concatenate(held), return_counts=True)
-        edges = np.searchsorted(value, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+#: Ranges are counted in so many groups, since what counting takes besides the fingerprints goes with the size of a group.
+GROUP_BITS = 5
+
+
+def packed(held: np.ndarray, bits: int) -> pa.RecordBatch:
+    """For each of ``2**bits`` ranges of which there are fingerprints, those that occur once, others, and their counts; of each the 32 bits below the range's prefix. Sorts ``held`` itself."""
+    held.sort()
+    low, within = np.uint64(64 - bits - 32), 1 << (bits - GROUP_BITS)
+    out = []
+    for group, of_group in enumerate(np.split(held, np.searchsorted(held, np.arange(1, 1 << GROUP_BITS, dtype=np.uint64) << np.uint64(64 - GROUP_BITS)))):
+        value, count = np.unique(of_group, return_counts=True)
+        edges = np.searchsorted(value, np.arange(group * within + 1, (group + 1) * within, dtype=np.uint64) << np.uint64(64 - bits))
         short = (value >> low).astype(np.uint32)
-        out = []
-        for part, (v, c) in enumerate(zip(np.split(short, edges), np.split(count, edges), strict=True)):
+        for part, (v, c) in enumerate(zip(np.split(short, edges), np.split(count, edges), strict=True), group * within):
             if len(v):
                 one = c == 1
                 out.append((part, v[one].tobytes(), v[~one].tobytes(), c[~one].astype(np.uint32).tobytes()))
-        parts, *payload = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *(pa.array(p, pa.binary()) for p in payload)], names=["part", "single", "many", "counts"])
+    parts, *payload = zip(*out, strict=True) if out else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *(pa.array(p, pa.binary()) for p in payload)], names=["part", "single", "many", "counts"])
+
+
+def levels(docs: DataFrame, fingerprints: Callable[[str | None], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """The table of levels over all documents; ``fingerprints`` gives those of one text."""
+    bits = _range_bits(docs)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size = np.empty(FLUSH, np.uint64), 0
         for _, text in rows(batches):
             found = fingerprints(text)
-            if len(found):
-                held.append(found)
-                size += len(found)
-            if size >= FLUSH:
-                yield packed(held)
-                held, size = [], 0
+            if size + len(found) > FLUSH:
+                yield packed(held[:size], bits)
+                size = 0
+            if len(found) > FLUSH:
+                yield packed(found, bits)
+                continue
+            held[size : size + len(found)] = found
+            size += len(found)
         if size:
-            yield packed(held)
+            yield packed(held[:size], bits)
 
     cells = 1 << (TABLE_BITS - bits)
 

@@ -36,14 +36,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millwright.llm import fingerprints as fp
 from millwright.llm.common import Batcher, narrow, rows
 from millwright.llm.components import components
-from millwright.llm.scratch import saved
+from millwright.llm.scratch import likely, saved
 
-INFO, ENTRY, SET = 0, 1, 2
+INFO, ENTRY, SET, FREQUENT = 0, 1, 2, 3
+#: From this occurrence level on the entries of a shingle are of kind FREQUENT. A shingle below it occurs in fewer than 8,192 documents, so its list may be counted by one task.
+FREQUENT_LEVEL = 13
 #: Positions of an index list that make up a block.
 BLOCK = 8
 #: Nodes of a task whose entries are not sent twice, and pairs that it does not send twice.
@@ -75,9 +78,10 @@ def overlap_needed(n: int, m: int, num: int, den: int) -> int:
 def index(docs: DataFrame, table: Broadcast, size: int, num: int, den: int) -> DataFrame:
     """The nodes of all documents, index entries of rare shingles, and the sets of nodes with entries, in one table.
 
-    Kinds: INFO (doc_id, node, n), ENTRY (token, node, n, pos), SET (node, n, set).
+    Kinds: INFO (doc_id, node, n), ENTRY and FREQUENT (token, node, n, pos), SET (node, n, set).
     """
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), ("token", pa.int64()), ("pos", pa.int32()), ("set", pa.binary())])
+    frequent = FREQUENT_LEVEL
 
     def each(batches):
         levels, out, sent = np.frombuffer(table.value, np.uint8), Batcher(schema, most_rows=20_000), set()
@@ -98,7 +102,7 @@ def index(docs: DataFrame, table: Broadcast, size: int, num: int, den: int) -> D
             sent.add(node)
             order = np.argsort(level, kind="stable")[:prefix]
             for pos, (token, shared) in enumerate(zip(s[order].view(np.int64).tolist(), level[order].tolist(), strict=True)):
-                if shared and out.add((ENTRY, None, node, n, token, pos, None), 48):
+                if shared and out.add((ENTRY if shared < frequent else FREQUENT, None, node, n, token, pos, None), 48):
                     yield out.take()
             if out.add((SET, None, node, n, None, None, s.tobytes()), 8 * n):
                 yield out.take()
@@ -164,6 +168,8 @@ def hubs(homes: DataFrame, num: int, den: int) -> DataFrame:
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, *keep: str) -> DataFrame:
     """``a, b, x, y``: pairs with their sets. A set may be there more than once; then so is its pair."""
+    pairs = saved(pairs)  # read for their sets' names first, so that no other sets are shuffled
+    sets = likely(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y", *keep)
 
@@ -320,7 +326,8 @@ def _of_differences(members: DataFrame, table: Broadcast, num: int, den: int) ->
     strays = members.filter(F.col("comp") != F.col("hub")).select("hub").distinct()
     listed = saved(members.join(strays, "hub", "left_semi").select(_MEMBER.names).mapInArrow(entries, ddl))
     sizes = listed.groupBy("hub", "token").agg(F.count("*").alias("size"), F.sum((F.col("kind") == STRAY).cast("int")).alias("strays"), F.sum(F.col("indexed").cast("int")).alias("n_indexed"))
-    cut = _in_pieces(listed, ["hub", "token"], sizes.filter("size > 1 and strays > 0 and n_indexed > 0").select("hub", "token", "size"), "node")
+    sizes = saved(sizes.filter("size > 1 and strays > 0 and n_indexed > 0").select("hub", "token", "size"))
+    cut = _in_pieces(likely(listed, sizes, "hub", "token"), ["hub", "token"], sizes, "node")
 
     def each(batches):
         sent, joined = _Sent(_FOUND), {}
@@ -422,19 +429,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return _with_sets(pairs, sets).mapInArrow(each, "a binary, b binary")
 
 
+def _lists(made: DataFrame) -> DataFrame:
+    """``token, n, node, pos, size``: entries of lists of two nodes or more. Lists that are known to be short are dealt out by token, once; others are counted in parts."""
+    of = lambda kind: made.filter(F.col("kind") == kind).select("token", "n", "node", "pos")
+    short = of(ENTRY).repartition("token").dropDuplicates(["token", "node"]).withColumn("size", F.count("*").over(W.partitionBy("token"))).filter("size > 1")
+    frequent = of(FREQUENT).dropDuplicates(["token", "node"])
+    return short.unionByName(frequent.join(frequent.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"), "token"))
+
+
 def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each document: components of the links at Jaccard ``num / den``."""
     texts = narrow(docs, id_col, text_col)
     table = docs.sparkSession.sparkContext.broadcast(fp.levels(texts, lambda text: fp.shingle_set(text, size)).tobytes())
     made = saved(index(texts, table, size, num, den), "kind")
     info = made.filter(F.col("kind") == INFO).select("doc_id", "node", "n")
-    listed = made.filter(F.col("kind") == ENTRY).select("token", "n", "node", "pos").dropDuplicates(["token", "node"])
-    lists = listed.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
-    entries = saved(listed.join(lists, "token"))
+    entries = saved(_lists(made))
     sets = made.filter(F.col("kind") == SET).select("node", "set")
 
     home = entries.groupBy("node").agg(F.max(F.struct("size", "token")).alias("home")).select("node", "home.token", F.pmod(F.xxhash64("node"), F.ceil(F.col("home.size") / PIECE)).alias("piece"))
-    members = saved(hubs(sets.join(home, "node"), num, den))
+    home = saved(home)
+    members = saved(hubs(likely(sets, home, "node").join(home, "node"), num, den))
     moves = saved(_moves(members, entries, sets))
     moved = saved(moves.select("hub"))  # narrow, so that its size decides on joins that need no more, and members of other hubs stay where they are
     members = members.join(moved, "hub", "left_anti").select(_MEMBER.names).union(_moved(members.join(moved, "hub", "left_semi"), moves))
