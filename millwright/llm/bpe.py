@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from millwright.llm.common import Batcher, narrow, rows
+from millwright.llm.common import Batcher, narrow, rows, task_of
 
 #: Distinct splits, and segments of a text, that a worker keeps; a fuller cache starts anew.
 CACHE_SPLITS = 250_000
@@ -170,7 +170,7 @@ class Codec:
 
 @functools.lru_cache(2)
 def codec(path: str, pattern: str) -> Codec:
-    """One codec for each worker process."""
+    """One codec for each worker process, as long as that has no tasks of other operators."""
     return Codec(path, pattern)
 
 
@@ -189,6 +189,7 @@ def grouped(pairs: Iterable[tuple[int, str | None]]):
 
 def _mapped(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, schema: pa.Schema, ddl: str, row) -> DataFrame:
     def each(batches):
+        task_of("bpe", codec.cache_clear)
         c, out = codec(path, pattern), Batcher(schema)
         for held in grouped(rows(batches)):
             for (i, _), ids in zip(held, c.encode_all([t for _, t in held]), strict=True):
@@ -218,6 +219,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def each(batches):
+        task_of("bpe", codec.cache_clear)
         c, out = codec(path, pattern), Batcher(schema)
         for i, ids in rows(batches):
             if out.add((i, c.decode(ids or ()).decode(errors="replace")), 8 * len(ids or ())):

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import operator
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,3 +56,24 @@ class Batcher:
         columns = list(zip(*self.held, strict=True)) or [()] * len(self.schema)
         self.held, self.bytes = [], 0
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, self.schema.types, strict=True)], schema=self.schema)
+
+
+#: How this worker process forgets what it keeps for later tasks of an operator, by the operator's name.
+_KEPT: dict[str, Callable[[], object]] = {}
+
+
+def returned() -> None:
+    """Gives memory that has been freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def task_of(owner: str, forget: Callable[[], object]) -> None:
+    """To be called where a task begins: what other operators keep in this worker process goes. ``forget``: clears the caches of this one.
+
+    Workers outlive their tasks, so those of a pipeline would hold the caches of all its stages at once."""
+    for other in [k for k in _KEPT if k != owner]:
+        _KEPT.pop(other)()
+    _KEPT[owner] = forget
+    returned()

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwright.llm import fingerprints as fp
-from millwright.llm.common import Batcher, narrow, rows
+from millwright.llm.common import Batcher, narrow, rows, task_of
 from millwright.llm.scratch import saved
 
 SHINGLE, LEAST = 5, 0.8
@@ -214,6 +214,11 @@ def index_of(shared: Broadcast) -> Items:
     return Items(shared.value)
 
 
+def _forget() -> None:
+    index_of.cache_clear()
+    _stripped.clear()
+
+
 def _same(text: str):
     """What equal texts have in common, nulls and empty ones included."""
     return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
@@ -262,6 +267,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         shared = spark.sparkContext.broadcast([(bytes(x.item), x.text) for x in block.collect()])
 
         def each(batches, shared=shared):
+            task_of("decontaminate", _forget)
             index, out = index_of(shared), Batcher(schema)
             for i, text in rows(batches):
                 for at, start, n, similarity in sorted(index.found(word_hashes(text))):

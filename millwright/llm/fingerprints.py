@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from millwright.llm.common import narrow, rows
+from millwright.llm.common import narrow, returned, rows, task_of
 
 TABLE_BITS = 24
 #: Fingerprints that a task gathers before it sends them.
@@ -42,6 +42,7 @@ class WordHashes(dict):
 
 
 _hashes = WordHashes()
+forget = _hashes.clear
 
 
 def words(text: str | bytes | None) -> list[bytes]:
@@ -117,6 +118,7 @@ def levels(docs: DataFrame, fingerprints: Callable[[str | None], np.ndarray], id
     bits = _range_bits(docs)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("fingerprints", forget)
         held, size = np.empty(FLUSH, np.uint64), 0
         for _, text in rows(batches):
             found = fingerprints(text)
@@ -130,6 +132,8 @@ def levels(docs: DataFrame, fingerprints: Callable[[str | None], np.ndarray], id
             size += len(found)
         if size:
             yield packed(held[:size], bits)
+        del held
+        returned()
 
     cells = 1 << (TABLE_BITS - bits)
 

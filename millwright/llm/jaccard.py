@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millwright.llm import fingerprints as fp
-from millwright.llm.common import Batcher, narrow, rows
+from millwright.llm.common import Batcher, narrow, rows, task_of
 from millwright.llm.components import components
 from millwright.llm.scratch import likely, saved
 
@@ -84,6 +84,7 @@ def index(docs: DataFrame, table: Broadcast, size: int, num: int, den: int) -> D
     frequent = FREQUENT_LEVEL
 
     def each(batches):
+        task_of("fingerprints", fp.forget)
         levels, out, sent = np.frombuffer(table.value, np.uint8), Batcher(schema, most_rows=20_000), set()
         for i, text in rows(batches):
             s = fp.shingle_set(text, size)

@@ -2,12 +2,15 @@
 
 import random
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millwright.llm import fingerprints, jaccard
+from millwright.llm import bpe, fingerprints, jaccard
 from millwright.llm.scratch import likely, saved
 
 
@@ -74,3 +77,26 @@ def test_counting_takes_little_besides_the_fingerprints():
         got |= dict(zip(whole(r["part"], arrays(r, "many", np.uint32)).tolist(), arrays(r, "counts", np.uint32).tolist(), strict=True))
     assert got == {int(k) >> 23 << 23: int(v) for k, v in want.items()}
     assert fingerprints.packed(held[:0], 9).num_rows == 0
+
+
+def test_a_worker_keeps_the_caches_of_one_operator(monkeypatch):
+    """What the byte pairs' codec holds goes when a task of the join begins in the same process, and the reverse; caches stay from one task to the next of an operator."""
+
+    class Docs:
+        """Runs what a task would, in this process."""
+
+        def mapInArrow(self, f, ddl):
+            list(f([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words of a text that is long enough"]})]))
+
+    for module in (bpe, jaccard):
+        monkeypatch.setattr(module, "narrow", lambda docs, *_: docs)
+    encode = lambda: bpe.digest(Docs(), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    table = SimpleNamespace(value=bytes(1 << fingerprints.TABLE_BITS))
+    bpe.codec.cache_clear()
+    encode()
+    encode()
+    assert bpe.codec.cache_info().currsize == 1 and bpe.codec.cache_info().misses == 1
+    jaccard.index(Docs(), table, 5, 4, 5)
+    assert bpe.codec.cache_info().currsize == 0 and fingerprints._hashes
+    encode()
+    assert bpe.codec.cache_info().currsize == 1 and not fingerprints._hashes
