@@ -222,13 +222,37 @@ def size_class(n: Column, num: int, den: int) -> Column:
     return F.floor(F.log(n.cast("double")) / (math.log(den / num) + 1e-9)).cast("long")
 
 
-def _in_pieces(lists: DataFrame, keys: list[str], sizes: DataFrame, node: str) -> DataFrame:
+def _wanted(sizes: DataFrame, wanted: str) -> tuple[DataFrame, DataFrame]:
+    """The lists that may give pairs, and those of more than LIST_PIECE entries with ``wanted``. The latter are at most one for so many entries, and written, so that their size
+    lets them be broadcast and entries stay where they are until they are cut."""
+    sizes = saved(sizes.withColumn("wanted", F.expr(wanted)).filter(F.col("wanted") | (F.col("size") > LIST_PIECE)))
+    return sizes.filter("wanted").drop("wanted"), saved(sizes.filter(F.col("size") > LIST_PIECE))
+
+
+def _in_pieces(lists: DataFrame, keys: list[str], long: DataFrame, node: str) -> DataFrame:
     """``lists`` with ``own``, an entry's piece of its list, and ``low, high``, for each group of two pieces that it is part of.
-    ``sizes``: keys and ``size``. Lists of LIST_PIECE entries or less are one piece in one group."""
-    pieces = F.ceil(F.col("size") / LIST_PIECE).cast("long")
-    owned = lists.join(sizes, keys).withColumn("pieces", pieces).withColumn("own", F.pmod(F.xxhash64(node), F.col("pieces")))
-    other = owned.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-    return other.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("pieces", "other", "size")
+    ``long``: keys, ``size`` and ``wanted`` of lists of more than LIST_PIECE entries; others are one piece in one group."""
+    pieces = F.coalesce(F.ceil(F.col("size") / LIST_PIECE), F.lit(1)).cast("long")
+    owned = lists.join(long, keys, "left").filter(F.coalesce("wanted", F.lit(True))).withColumn("pieces", pieces).withColumn("own", F.pmod(F.xxhash64(node), F.col("pieces")))
+    return _met(owned, F.col("pieces")).drop("pieces", "size", "wanted")
+
+
+def _met(owned: DataFrame, others: Column) -> DataFrame:
+    """``low, high`` of the groups in which an entry's own piece meets the first ``others`` ones."""
+    other = owned.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
+    return other.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
+
+
+def _in_pieces_of_strays(lists: DataFrame, keys: list[str], long: DataFrame, node: str) -> DataFrame:
+    """The same for lists of which only strays meet others: they have the first pieces of a list, with which all its pieces meet, and no two pieces of other entries do.
+    ``long`` has ``strays`` too, their number."""
+    count = lambda n: F.coalesce(F.ceil(n / LIST_PIECE), F.lit(0)).cast("long")
+    first, rest, stray = F.greatest(count(F.col("strays")), F.lit(1).cast("long")), count(F.col("size") - F.col("strays")), F.col("kind") == STRAY
+    owned = lists.join(long, keys, "left").filter(F.coalesce("wanted", F.lit(True))).withColumns({"first": first, "rest": rest})
+    at = F.xxhash64(node)
+    own = F.when(stray | (F.col("rest") == 0), F.pmod(at, F.col("first"))).otherwise(F.col("first") + F.pmod(at, F.greatest("rest", F.lit(1).cast("long"))))
+    met = _met(owned.withColumn("own", own), F.col("first") + F.when(stray, F.col("rest")).otherwise(F.lit(0)))
+    return met.drop("first", "rest", "size", "strays", "wanted")
 
 
 def _in_classed_pieces(lists: DataFrame, keys: list[str], sizes: DataFrame, node: str, of_class: Column) -> DataFrame:
@@ -327,8 +351,8 @@ def _of_differences(members: DataFrame, table: Broadcast, num: int, den: int) ->
     strays = members.filter(F.col("comp") != F.col("hub")).select("hub").distinct()
     listed = saved(members.join(strays, "hub", "left_semi").select(_MEMBER.names).mapInArrow(entries, ddl))
     sizes = listed.groupBy("hub", "token").agg(F.count("*").alias("size"), F.sum((F.col("kind") == STRAY).cast("int")).alias("strays"), F.sum(F.col("indexed").cast("int")).alias("n_indexed"))
-    sizes = saved(sizes.filter("size > 1 and strays > 0 and n_indexed > 0").select("hub", "token", "size"))
-    cut = _in_pieces(likely(listed, sizes, "hub", "token"), ["hub", "token"], sizes, "node")
+    sizes, long = _wanted(sizes, "size > 1 and strays > 0 and n_indexed > 0")
+    cut = _in_pieces_of_strays(likely(listed, sizes, "hub", "token"), ["hub", "token"], long.drop("n_indexed"), "node")  # a short list that is not wanted gives no pairs
 
     def each(batches):
         sent, joined = _Sent(_FOUND), {}
@@ -396,10 +420,12 @@ def _pairs_of_list(entries: Iterable[tuple], apart: bool, num: int, den: int) ->
         blocks.setdefault(j // BLOCK, deque()).append((n, node, j, hub, own))
 
 
-def _candidates(entries: DataFrame, longest: int, num: int, den: int) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of different hubs; ``entries``: token, n, node, pos, hub; ``longest``: the number of entries of the longest list."""
-    sizes = entries.groupBy("token").agg(F.count("*").alias("size"), F.min("hub").alias("first"), F.max("hub").alias("last"))
-    sizes = sizes.filter("first <> last").select("token", "size")
+def _candidates(entries: DataFrame, place: DataFrame, longest: int, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of different hubs; ``entries``: token, n, node, pos; ``place``: node, hub; ``longest``: the number of entries of the longest list."""
+    sizes = entries.select("token", "node").join(place, "node").groupBy("token").agg(F.count("*").alias("size"), F.min("hub").alias("first"), F.max("hub").alias("last"))
+    sizes, long = _wanted(sizes, "first <> last")  # lists of one hub are most, and only entries of others are shuffled as a whole
+    sizes, long = sizes.select("token", "size"), long.select("token", "size", "wanted")
+    entries = likely(entries, sizes, "token").join(place, "node")
 
     def each(batches):
         sent = _Sent()
@@ -410,7 +436,7 @@ def _candidates(entries: DataFrame, longest: int, num: int, den: int) -> DataFra
         yield sent.out.take()
 
     # Classes cost further joins, so they are for tables that have lists which they shorten; results are the same.
-    made = _in_classed_pieces(entries, ["token"], sizes, "node", size_class(F.col("n"), num, den)) if longest > (CLASSED - 1) * LIST_PIECE else _in_pieces(entries, ["token"], sizes, "node")
+    made = _in_classed_pieces(entries, ["token"], sizes, "node", size_class(F.col("n"), num, den)) if longest > (CLASSED - 1) * LIST_PIECE else _in_pieces(entries, ["token"], long, "node")
     cut = made.select("token", "low", "high", "n", "node", "pos", "hub", "own")
     return cut.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "node").mapInArrow(each, "a binary, b binary").distinct()
 
@@ -458,7 +484,7 @@ def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, id_col: str
 
     inside = _links_in_hubs(saved(_of_differences(members, table, num, den)), members, num, den)
     place = members.select("node", "hub", "comp")
-    across = _verified(_candidates(entries.drop("size").join(place, "node"), entries.agg(F.max("size")).first()[0] or 0, num, den), sets, num, den)
+    across = _verified(_candidates(entries.drop("size"), place.select("node", "hub"), entries.agg(F.max("size")).first()[0] or 0, num, den), sets, num, den)
     ends = [place.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")) for c in ("a", "b")]
     across = across.join(ends[0], "a").join(ends[1], "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
     last = components(inside.union(across)).select(F.col("id").alias("comp"), "component")

@@ -100,3 +100,22 @@ def test_a_worker_keeps_the_caches_of_one_operator(monkeypatch):
     assert bpe.codec.cache_info().currsize == 0 and fingerprints._hashes
     encode()
     assert bpe.codec.cache_info().currsize == 1 and not fingerprints._hashes
+
+
+@pytest.mark.parametrize("strays", [3, 40])
+def test_entries_of_long_lists_meet_strays_alone(spark, monkeypatch, strays):
+    monkeypatch.setattr(jaccard, "LIST_PIECE", 16)
+    rows = [(1, n, jaccard.STRAY if n < strays else jaccard.CORE) for n in range(200)] + [(2, 7, jaccard.CORE), (2, 8, jaccard.STRAY)] + [(3, n, jaccard.CORE) for n in range(30)]
+    lists = saved(spark.createDataFrame(rows, "token long, node long, kind int"))
+    sizes = lists.groupBy("token").agg(F.count("*").alias("size"), F.sum((F.col("kind") == jaccard.STRAY).cast("int")).alias("strays"))
+    wanted, long = jaccard._wanted(sizes, "strays > 0")
+    assert {r.token for r in wanted.collect()} == {1, 2} and {(r.token, r.wanted) for r in long.collect()} == {(1, True), (3, False)}
+    df = jaccard._in_pieces_of_strays(lists, ["token"], long, "node")
+    assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+    groups = {}
+    for r in df.collect():
+        groups.setdefault((r.token, r.low, r.high), []).append(r)
+    met = [(k[0], *sorted((a.node, b.node))) for k, g in groups.items() for i, a in enumerate(g) for b in g[:i] if jaccard.STRAY in (a.kind, b.kind) and (k[1] == k[2] or a.own != b.own)]
+    assert len(met) == len(set(met)) and set(met) == {(1, a, b) for b in range(200) for a in range(min(b, strays))} | {(2, 7, 8)}
+    pieces = -(-strays // 16)
+    assert sum(r.kind == jaccard.CORE and r.token == 1 for g in groups.values() for r in g) == (200 - strays) * pieces  # before: one for each of 13 pieces
